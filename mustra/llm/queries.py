@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm import byte_bpe, chat, merkle, mixing, token_count, url_filter
+from mustra.llm import byte_bpe, chat, merkle, mixing, quality, token_count, url_filter
 from mustra.llm.common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUTOFF).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,5 +51,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.neighbour_likeness(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_mixing, op5_chat_format, op7_byte_bpe, op8_url_filter, op9_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op5_chat_format, op7_byte_bpe, op8_url_filter, op9_fingerprints)}
 SQL: dict[str, str] = {}
