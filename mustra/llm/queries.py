@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm import byte_bpe, chat, merkle, mixing, quality, token_count, url_filter
+from mustra.llm import byte_bpe, chat, line_dedup, merkle, mixing, quality, token_count, url_filter
 from mustra.llm.common import read
 
 
@@ -51,5 +51,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.neighbour_likeness(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op5_chat_format, op7_byte_bpe, op8_url_filter, op9_fingerprints)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.clean(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op5_chat_format, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup)}
 SQL: dict[str, str] = {}
