@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm import byte_bpe, chat, line_dedup, merkle, mixing, quality, token_count, url_filter, voronoi
+from mustra.llm import byte_bpe, chat, line_dedup, merkle, mixing, near_dedup, quality, token_count, url_filter, voronoi
 from mustra.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_windows(chat.format_windows(turns.unionByName(control)))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
