@@ -22,9 +22,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mustra.llm.common import text_or_empty
 
@@ -126,18 +128,24 @@ def _coder(ranks_path: str, pattern: str) -> TreeBpe:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with a column ``ids_col`` of token ids (array of int)."""
-    out = docs.drop(ids_col)
-    fields = [*out.schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode_all(texts: pd.Series) -> pd.Series:
         coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            texts = batch.column(len(fields)).to_pylist()
-            ids = pa.array([coder.encode(t) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], ids], names=[*(f.name for f in fields), ids_col])
+        return texts.map(coder.encode)
+
+    return docs.withColumn(ids_col, encode_all(text_or_empty(text_col)))
+
+
+def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` replaced by what ``ids_col`` decodes to; null ids are an empty text."""
+
+    @F.pandas_udf(T.StringType())
+    def decode_all(ids: pd.Series) -> pd.Series:
+        coder = _coder(ranks_path, pattern)
+        return ids.map(lambda x: coder.decode([] if x is None else list(x)).decode("utf-8", "replace"))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*fields]) + f", `{ids_col}` array<int>"
-    return out.withColumn("_text_", text_or_empty(text_col)).mapInArrow(run, schema)
+    return docs.withColumn(text_col, decode_all(ids_col))
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
