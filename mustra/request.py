@@ -111,7 +111,7 @@ def _clauses(tree, make) -> Clauses:
         return Clauses()
     if not isinstance(tree, Mapping):
         raise RequestError("filters are an object of lists")
-    lists = [tree.get(k) or [] for k in ("allOf", "anyOf", "exclude")]
+    lists = [[] if tree.get(k) is None else tree[k] for k in ("allOf", "anyOf", "exclude")]
     if not all(isinstance(x, list) for x in lists):
         raise RequestError("allOf, anyOf and exclude are lists")
     return Clauses(*(tuple(map(make, x)) for x in lists))
