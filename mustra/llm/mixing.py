@@ -37,7 +37,6 @@ BUCKETS = 1 << 16
 #: The knapsack's budget in words, and how many of the shortest lengths it may use.
 FIT_WORDS = 1 << 16
 FIT_LENGTHS = 256
-FIT_RETURNS = 4
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -65,7 +64,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, shar
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that their words come as near to ``budget`` as found, not above."""
+    """How many documents of each length to take so that their words come as near to ``budget`` as found."""
     total = sum(length * n for length, n in counts.items())
     lengths = sorted((x for x in counts if x > 0), reverse=True)
     if budget >= total:
@@ -76,22 +75,25 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         if x <= left and take[x] < counts[x]:
             take[x] += 1
             left -= x
-    pool = [x for x in reversed(lengths) if x <= FIT_WORDS // 2][:FIT_LENGTHS]
-    if left > FIT_WORDS // 2 or not left:
+    if left > FIT_WORDS or not left:
         return take
+    pool = [x for x in reversed(lengths) if x <= FIT_WORDS][:FIT_LENGTHS]
     for x in pool:
-        back = min(take[x], FIT_RETURNS, (FIT_WORDS - left) // x)
+        back = min(take[x], (FIT_WORDS - left) // x)
         take[x] -= back
         left += back * x
-    reach, mask, seen = 1, (1 << (left + 1)) - 1, []
+    reach, mask, seen = 1, (1 << (2 * left + 1)) - 1, []
     for x in pool:
-        free, part = min(counts[x] - take[x], left // x), 1
+        free, part = min(counts[x] - take[x], 2 * left // x), 1
         while free > 0:
             part = min(part, free)
             seen.append((x, part, reach))
             reach |= (reach << (x * part)) & mask
             free, part = free - part, part * 2
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> (left + 1)
+    next_up = left + (above & -above).bit_length() if above else None
+    at = below if next_up is None or left - below <= next_up - left else next_up
     for x, part, before in reversed(seen):
         if not before >> at & 1:
             take[x] += part

@@ -1,0 +1,20 @@
+import corpus_pipeline
+from mustra.llm import mixing, near_dedup
+
+
+def test_stages_follow_one_another(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, kept = docs.columns, {None: docs.cache()}
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, sf_dir).cache()
+        assert docs.count() > 0
+        if name != "byte_bpe":
+            assert docs.columns == columns
+        kept[name] = docs
+    assert {r.doc_id for r in kept["quality"].collect()} < {r.doc_id for r in kept[None].collect()}
+    classes = near_dedup.near_classes(kept["line_dedup"]).select("class_id").distinct().collect()
+    assert sorted(r.doc_id for r in kept["near_dedup"].collect()) == sorted(r.class_id for r in classes)
+    copies = {r.doc_id: r.copies for r in mixing.decide(kept["near_dedup"]).collect()}
+    assert kept["mixing"].count() == sum(copies.values())
+    assert sorted(r.text for r in kept["mixing"].collect()) == sorted(r.text for r in kept["byte_bpe"].collect())
+    assert all(len(r.ids) == r.n_tokens > 0 for r in kept["byte_bpe"].collect())

@@ -1,0 +1,64 @@
+import re
+
+from mustra.llm import queries, url_filter
+
+
+def parts(url):
+    _, mark, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    return ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path) if mark else ("", "")
+
+
+def ruled(host, path):
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[1:] if fit else (None, None)
+
+
+def test_pages(spark, sf_dir):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = queries.op8_url_filter(spark, sf_dir).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert (r.host, r.path) == parts(urls[r.page_id])
+        rule, verdict = ruled(r.host, r.path)
+        assert r.rule == rule and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+
+
+def test_hard_urls(spark):
+    urls = [None, "", "a/b", "http://", "HTTP://ÉX.Org?x", "http://x.org/a#b?c", "x://corg/", "http://EXAMPLE.org/en/12", "://com/fr/x", "http://a.com/de/", "http://org", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, None, "v") for i, u in enumerate(urls)] + [(0, None, None, "v")], "page_id long, url string, html string, host string")
+    rows = url_filter.judge(pages, queries.RULES).collect()
+    assert len(rows) == len(urls) + 1
+    for r in rows:
+        assert (r.host, r.path) == parts(urls[r.page_id]) and r.rule == ruled(r.host, r.path)[0]
+    assert {r.verdict for r in rows if not r.host} == {"allow"}
+    assert url_filter.judge(pages.limit(0), queries.RULES).count() == 0
+
+
+def test_propagation_equals_plain_iteration(spark):
+    links = {("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 1, ("d", "bad"): 3, ("e", "d"): 1, ("b", "bad"): 1}
+    edges = spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("a", 3, 0), ("bad", 0, 5)], "host string, trusted long, blocked long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(edges, seeds).collect()}
+
+    def plain(pairs, start):
+        score = {h: 0.15 * m for h, m in start.items()}
+        for _ in range(url_filter.STEPS):
+            after = {h: 0.15 * m for h, m in start.items()}
+            for (s, d), n in pairs.items():
+                after[d] = after.get(d, 0) + 0.85 * score.get(s, 0) * n / sum(m for (x, _), m in pairs.items() if x == s)
+            score = after
+        return score
+
+    trust, distrust = plain(links, {"a": 3}), plain({(d, s): n for (s, d), n in links.items()}, {"bad": 5})
+    for h in set(trust) | set(distrust):
+        assert all(abs(x - y.get(h, 0)) < 1e-9 for x, y in zip(got.get(h, (0, 0)), (trust, distrust), strict=True))
+
+
+def test_links_decide_where_no_rule_does(spark):
+    page = '<p><a class=x HREF="//{}/p">t</a> <a href="/own">u</a>'
+    rows = [(1, "http://good.org/", page.format("friend.net")), (2, "http://friend.net/", ""), (3, "http://spam.net/", page.format("worst.com")), (4, "http://worst.com/de/", page.format("other.net")), (5, "http://other.net/", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
