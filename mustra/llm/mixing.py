@@ -32,7 +32,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MAX_REPEATS = 2
 SEED = 20
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
 BUCKETS = 1 << 16
 #: The knapsack's budget in words, and how many of the shortest lengths it may use.
 FIT_WORDS = 1 << 16
