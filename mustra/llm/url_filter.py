@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("found", apply_rules(F.col("host"), F.col("path"), rules))
     seeds = rows.filter("found IS NOT NULL").groupBy("host").agg(F.count_if(F.col("found.verdict") == "allow").alias("trusted"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, steps)
+    scores = stage(propagate(host_edges(pages, url_col, html_col), seeds, damping, steps))
     doubtful = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     verdict = F.coalesce(F.col("found.verdict"), F.when(doubtful, "block").otherwise("allow"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
