@@ -11,8 +11,8 @@ Joining. Equal texts become one node. Nodes whose signatures agree in a band of
 bucket. Instead of a bucket's pairs, every member is compared with the bucket's leader; texts that are similar
 enough (an exact check of the runs of words, for pairs whose sizes and signatures admit it) are linked, and linked nodes
 form components. Buckets whose members are all in one component are done. In the others, members outside the leader's
-component get another leader, drawn anew for each round and component, as long as that links more of them; at last they
-are compared with all members of other components, again by signature first. So no link between different components is
+component get another leader, drawn anew for each round, as long as that links more of them; at last they are compared with
+all members of other components, block by block and again by signature first. So no link between different components is
 lost, beyond what bands (1 of 37,000 pairs of similarity 0.8) and the signature test (``SLACK`` standard deviations) miss.
 
 Scale. Buckets are aggregated to their leaders before they are joined; the texts of nodes that have any pair to check are
@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ BAND_ROWS = 4
 #: A pair's signatures may agree in so many standard deviations less than the threshold.
 SLACK = 4.0
 ROUNDS = 5
+#: Members of a bucket that meet in one task.
+BLOCK_ROWS = 2048
 BATCH_ELEMENTS = 1 << 18
 _WORD = re.compile(r"\w+")
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -164,8 +167,8 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp for the nodes of ``edges`` (a, b): each component's smallest node, by contraction to smallest neighbours."""
-    edges = cut(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
+    """node, comp for the nodes of ``edges`` (a, b; distinct, a and b differ, lineage cut): each component's smallest node, by
+    contraction to smallest neighbours."""
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -177,6 +180,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) with the components that the edges ``more`` join; only their ends' components are worked on."""
+    of = lambda end, as_: labels.select(F.col("node").alias(end), F.col("comp").alias(as_))
+    ends = more.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    moves = components(cut(ends.filter(F.col("a") != F.col("b")).distinct()))
+    to = moves.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = labels.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut(moved.unionByName(moves.join(labels.select("node"), "node", "left_anti")))
+
+
 class NearClasses:
     """One run over one table of documents."""
 
@@ -187,14 +200,6 @@ class NearClasses:
         share = link[0] / link[1]
         self.agree = math.floor(coordinates * share - slack * math.sqrt(coordinates * share * (1 - share)))
 
-    def may_link(self, a: str, b: str) -> Column:
-        """Whether the sizes and signatures under two aliases admit a link."""
-        n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-        p, q = self.link
-        sizes = F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p
-        agreed = F.size(F.filter(F.zip_with(f"{a}.values", f"{b}.values", lambda x, y: x == y), lambda x: x))
-        return sizes & (agreed >= self.agree)
-
     def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """``left`` (a, b, ...) are keys of nodes; those whose sizes and signatures admit a link."""
         a, b = (right.select(F.col("key").alias(k), F.struct("n", "values").alias(f"of_{k}")) for k in ("a", "b"))
@@ -211,35 +216,32 @@ class NearClasses:
         values = F.transform(F.sequence(F.lit(0), F.lit(self.coordinates - 1)), lambda i: F.substring(F.col("signature"), i * width + 1, F.lit(width)))
         bands = [F.xxhash64(F.lit(i), F.substring("signature", i * self.band_rows * width + 1, self.band_rows * width)) for i in range(self.bands)]
         nodes = stage(nodes.select("key", "n", "signature"))
-        buckets = nodes.select("key", F.explode(F.array(*bands)).alias("bucket"))
+        buckets = nodes.select("key", F.posexplode(F.array(*bands)).alias("band", "bucket"))
         leaders = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("members")).filter("members > 1").select("bucket", "a")
-        shared = stage(buckets.join(leaders, "bucket").select("bucket", "a", "key"))
+        shared = stage(buckets.join(leaders, "bucket").select("bucket", "band", "a", "key"))
         seen = nodes.join(shared.select("key").distinct(), "key", "left_semi").select("key", "n", values.alias("values"))
         seen = stage(seen)
         first = self.pairs(shared.filter("a <> key").select("a", F.col("key").alias("b")).distinct(), seen)
         texts = self.texts(shared.select("key").distinct())
-        edges = cut(self.verify(first, texts))
-        labels = components(edges)
+        labels = components(cut(self.verify(first, texts)))
         left = None
         for turn in range(self.rounds + 1):
-            places = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "a", "key", F.coalesce("comp", "key").alias("comp"))
+            places = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "a", "key", F.coalesce("comp", "key").alias("comp"))
             lead = places.filter("a = key").select("bucket", F.col("comp").alias("main"))
-            places = places.select("bucket", "key", "comp").join(lead, "bucket")
+            places = places.select("bucket", "band", "key", "comp").join(lead, "bucket")
             outside = cut(places.filter("comp <> main"))
             now = outside.count()
             if not now:
                 break
             last = turn == self.rounds or left is not None and now > 0.7 * left
             if last:
-                pairs = self.remaining(outside, places, seen)
+                found = self.remaining(outside, places, nodes, texts)
             else:
                 draw = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "key").alias("draw"), F.col("key").alias("a"))).alias("best")
                 inside = places.filter("comp = main").join(outside.select("bucket").distinct(), "bucket", "left_semi")
                 again = inside.groupBy("bucket").agg(draw).select("bucket", "best.a")
-                pairs = self.pairs(outside.join(again, "bucket").select("a", F.col("key").alias("b")).distinct(), seen)
-            more = cut(self.verify(pairs, texts))
-            edges = edges.unionByName(more)
-            labels = components(edges)
+                found = self.verify(self.pairs(outside.join(again, "bucket").select("a", F.col("key").alias("b")).distinct(), seen), texts)
+            labels = joined_components(labels, cut(found))
             left = now
             if last:
                 break
@@ -249,13 +251,84 @@ class NearClasses:
         own = of_key.join(linked.select("key"), "key", "left_anti").select("key", F.col("smallest").alias("class_id"))
         return signed.select("id", "key").join(linked.unionByName(own), "key").select("id", "key", "class_id")
 
-    def remaining(self, outside: DataFrame, places: DataFrame, seen: DataFrame) -> DataFrame:
-        """Pairs of members outside their bucket's main component with members of other components that may be linked."""
-        o = outside.select("bucket", "key", "comp").join(seen, "key").alias("o")
-        others = places.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "comp").join(seen, "key").alias("p")
-        differ = (F.col("o.bucket") == F.col("p.bucket")) & (F.col("o.comp") != F.col("p.comp"))
-        found = o.join(others, differ & self.may_link("o", "p"))
-        return found.select(F.least("o.key", "p.key").alias("a"), F.greatest("o.key", "p.key").alias("b")).distinct()
+    def remaining(self, outside: DataFrame, places: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links (a, b) of members outside their bucket's main component with members of other components.
+
+        A bucket's members meet in blocks of bounded size. First their signatures tell which members may be linked at
+        all; only these come again with their texts, and links are found inside the blocks, one for each member and
+        component, so no pair that isn't a link is ever a row. A pair that shares several buckets is met in one.
+        """
+        open_ = places.join(outside.select("bucket").distinct(), "bucket", "left_semi").join(nodes, "key")
+        sides = open_.select("bucket", "band", "key", "comp", "n", "signature", (F.col("comp") != F.col("main")).alias("outside"))
+        sides = stage(sides)
+        met = stage(self.blocks(sides, self._may_link, "bucket long, band int, key binary").distinct())
+        known = sides.join(met, ["bucket", "band", "key"], "left_semi").join(texts, "key")
+        return self.blocks(known, self._links, "a binary, b binary").distinct()
+
+    def blocks(self, rows: DataFrame, solve, schema: str) -> DataFrame:
+        """``solve(outside, members)`` for every block of the members outside and every block of all, bucket by bucket."""
+        size = rows.groupBy("bucket", "band").agg(F.ceil(F.count_if("outside") / BLOCK_ROWS).cast("int").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("wide"))
+        placed = rows.join(size.filter("high > 0"), ["bucket", "band"])
+        number = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = placed.filter("outside").withColumn("i", number("high")).withColumn("j", every("wide")).drop("high", "wide")
+        right = placed.withColumn("j", number("wide")).withColumn("i", every("high")).drop("high", "wide")
+        right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, as both sides come from the same rows
+        key = ["bucket", "band", "i", "j"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, schema)
+
+    @property
+    def _candidates(self):
+        """A function that gives, for two blocks, the pairs (positions) that sizes, signatures and components admit."""
+        (p, q), agree, bands, rows_, coordinates = self.link, self.agree, self.bands, self.band_rows, self.coordinates
+
+        def candidates(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+            a, b = (np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(len(x), coordinates) for x in (left, right))
+            n, of = right["n"].to_numpy(np.int64), right["comp"].to_numpy()
+            band = left["band"].iloc[0]
+            for i, (size, comp) in enumerate(zip(left["n"].tolist(), left["comp"], strict=True)):
+                same = a[i] == b
+                fits = (same.sum(1) >= agree) & (np.minimum(n, size) * q >= np.maximum(n, size) * p) & (of != comp)
+                at = np.flatnonzero(fits)
+                if len(at):
+                    first = same[at, : bands * rows_].reshape(len(at), bands, rows_).all(2).argmax(1)
+                    yield i, at[first == band]
+
+        return candidates
+
+    @property
+    def _may_link(self):
+        candidates = self._candidates
+
+        def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+            if len(left) and len(right):
+                for i, at in candidates(left, right):
+                    hit_left[i] |= len(at) > 0
+                    hit_right[at] = True
+            return pd.concat([left.loc[hit_left, ["bucket", "band", "key"]], right.loc[hit_right, ["bucket", "band", "key"]]])
+
+        return solve
+
+    @property
+    def _links(self):
+        candidates, words, link = self._candidates, self.words, self.link
+
+        def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(left) and len(right):
+                shingles = Shingler(words)
+                sets = {k: shingles(t) for x in (left, right) for k, t in zip(x["key"], x["text"], strict=True)}
+                keys, comps = right["key"].to_numpy(), right["comp"].to_numpy()
+                for i, at in candidates(left, right):
+                    own, done = left["key"].iloc[i], set()
+                    for j in at:
+                        if comps[j] not in done and similar(sets[own], sets[keys[j]], link):
+                            done.add(comps[j])
+                            out.append((min(own, keys[j]), max(own, keys[j])))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        return solve
 
     def texts(self, keys: DataFrame) -> DataFrame:
         """key, text of the nodes named."""
