@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mustra.llm import byte_bpe, chat, line_dedup, merkle, mixing, near_dedup, quality, token_count, url_filter, voronoi
 from mustra.llm.common import read
+from mustra.llm.sql import SQL
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ RULES = [url_filter.rule("allow", "org/"), url_filter.rule("block", "example.org
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +65,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup)}
-SQL: dict[str, str] = {
-    "op4_top_k": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
-          FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-        ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-        ), r AS (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
-        )
-        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
-    """,
-}

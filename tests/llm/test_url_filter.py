@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+
 from mustra.llm import queries, url_filter
 
 
@@ -60,5 +62,10 @@ def test_propagation_equals_plain_iteration(spark):
 def test_links_decide_where_no_rule_does(spark):
     page = '<p><a class=x HREF="//{}/p">t</a> <a href="/own">u</a>'
     rows = [(1, "http://good.org/", page.format("friend.net")), (2, "http://friend.net/", ""), (3, "http://spam.net/", page.format("worst.com")), (4, "http://worst.com/de/", page.format("other.net")), (5, "http://other.net/", "")]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = url_filter.judge(pages, queries.RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert sorted(map(tuple, judged)) == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.SQL['op8_url_filter']})").fetchall())
+    got = {r.page_id: r.verdict for r in judged}
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
