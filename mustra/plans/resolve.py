@@ -1,7 +1,9 @@
 """Resolving a request's names against a data set: the only place where lists lose or change items.
 
-Only what the request names is looked up, in one job over the vocabulary (or the facts, if there is none), so nothing of
-the vocabulary's size comes to the driver.
+Only names on which the outcome depends are looked up, in one job over the vocabulary (or the facts, if there is none), so
+nothing of the vocabulary's size comes to the driver. Most requests need no lookup: a name that nobody holds matches nobody
+anyway, so it matters only where an unknown item would be dropped beside known ones (lenient allOf lists of several
+items), or where a list of unknown items differs from one without a hit (lenient events.anyOf beside other clauses).
 """
 
 from __future__ import annotations
@@ -63,23 +65,26 @@ class ResolvedQuery:
         return bool(self.all_of or self.attr_any or self.event_any)
 
 
+def _in_doubt(request: QueryRequest, semantics: str) -> set[AttrFilter | EventFilter]:
+    """The filters whose outcome depends on whether their names exist."""
+    a, e = request.attributes, request.events
+    if semantics == STRICT:
+        return set()
+    out = {f for fs in (a.all_of, e.all_of) if len(fs) > 1 for f in fs}
+    return out | set(e.any_of) if a.all_of or e.all_of or a.any_of else out
+
+
 class Lookup:
     """Which of the named values and prefixes exist, and the named codes' crosswalk targets."""
 
-    def __init__(self, request: QueryRequest, facts: DataFrame, crosswalk: DataFrame | None, model: CohortModel):
+    def __init__(self, request: QueryRequest, facts: DataFrame, crosswalk: DataFrame | None, model: CohortModel, semantics: str):
         self.model, self.targets = model, {}
         mappable = sorted({f.value for f in request.events if f.attr == model.crosswalk_event and "*" not in f.value})
         if crosswalk is not None and mappable:
             for r in crosswalk.filter(F.col("source").isin(mappable)).orderBy("ord").collect():
                 self.targets.setdefault(r.source, []).append(r.target)
-        exact, prefixes = set(), set()
-        for f in (*request.attributes, *request.events):
-            if isinstance(f, EventFilter) and f.value.endswith("*"):
-                if len(f.value) > 1:
-                    prefixes.add((f.attr, f.value[:-1]))
-            else:
-                exact |= {(f.attr, v) for v in self.codes(f)}
-        self.exact, self.prefixes = self._find(facts, exact, prefixes)
+        self.doubtful = {n for f in _in_doubt(request, semantics) for n in self.names(f)}
+        self.found = self._find(facts, self.doubtful)
 
     def codes(self, f: AttrFilter | EventFilter) -> list[str]:
         """The values that an exact filter stands for."""
@@ -87,29 +92,34 @@ class Lookup:
             return self.targets.get(f.value) or [f.value]
         return [f.value]
 
+    def names(self, f: AttrFilter | EventFilter) -> list[Term]:
+        """A term for each value, or the prefix, that a filter names."""
+        if isinstance(f, EventFilter) and f.value.endswith("*"):
+            return [Term(f.attr, prefix=f.value[:-1])] if len(f.value) > 1 else []
+        return [Term(f.attr, (v,)) for v in dict.fromkeys(self.codes(f))]
+
+    def known(self, f: AttrFilter | EventFilter) -> list[Term]:
+        return [t for t in self.names(f) if t not in self.doubtful or t in self.found]
+
     @staticmethod
-    def _find(facts: DataFrame, exact: set, prefixes: set) -> tuple[set, set]:
-        named = [("exact", a, v, Term(a, (v,))) for a, v in sorted(exact)] + [("prefix", a, v, Term(a, prefix=v)) for a, v in sorted(prefixes)]
-        if not named:
-            return set(), set()
-        hits = facts.filter(any_term(t for *_, t in named)).agg(*(F.bool_or(t.predicate()).alias(f"n{i}") for i, (*_, t) in enumerate(named))).first()
-        found = {(kind, a, v) for (kind, a, v, _), hit in zip(named, hits, strict=True) if hit}
-        return {x[1:] for x in found if x[0] == "exact"}, {x[1:] for x in found if x[0] == "prefix"}
+    def _find(facts: DataFrame, named: set[Term]) -> set[Term]:
+        terms = sorted(named, key=repr)
+        if not terms:
+            return set()
+        hits = facts.filter(any_term(terms)).agg(*(F.bool_or(t.predicate()).alias(f"n{i}") for i, t in enumerate(terms))).first()
+        return {t for t, hit in zip(terms, hits, strict=True) if hit}
 
 
 def event_term(f: EventFilter, lookup: Lookup) -> Term | None:
     """None if no value exists or the range holds no month."""
-    if f.months and f.months[0] > f.months[1]:
+    known = lookup.known(f)
+    if not known or f.months and f.months[0] > f.months[1]:
         return None
-    if f.value.endswith("*"):
-        prefix = f.value[:-1]
-        return Term(f.attr, prefix=prefix, months=f.months) if (f.attr, prefix) in lookup.prefixes else None
-    values = tuple(v for v in dict.fromkeys(lookup.codes(f)) if (f.attr, v) in lookup.exact)
-    return Term(f.attr, values, months=f.months) if values else None
+    return Term(f.attr, tuple(v for t in known for v in t.values), known[0].prefix, f.months)
 
 
 def attr_term(f: AttrFilter, lookup: Lookup) -> Term | None:
-    return Term(f.attr, (f.value,)) if (f.attr, f.value) in lookup.exact else None
+    return next(iter(lookup.known(f)), None)
 
 
 def resolve(request: QueryRequest, facts: DataFrame, model: CohortModel, crosswalk: DataFrame | None = None, semantics: str = LENIENT) -> ResolvedQuery:
@@ -120,12 +130,12 @@ def resolve(request: QueryRequest, facts: DataFrame, model: CohortModel, crosswa
     """
     if semantics not in (STRICT, LENIENT):
         raise ValueError(f"semantics is {STRICT} or {LENIENT}")
-    lookup = Lookup(request, facts, crosswalk, model)
+    lookup = Lookup(request, facts, crosswalk, model, semantics)
     lenient, a, e = semantics == LENIENT, request.attributes, request.events
     lists = {"attr_all": (a.all_of, attr_term), "event_all": (e.all_of, event_term), "attr_any": (a.any_of, attr_term), "event_any": (e.any_of, event_term), "attr_not": (a.exclude, attr_term), "event_not": (e.exclude, event_term)}
     terms = {k: tuple(t for f in fs if (t := make(f, lookup))) for k, (fs, make) in lists.items()}
     lost = any(lists[k][0] and not terms[k] for k in ("attr_all", "event_all", "attr_any", "event_any"))
-    if not lenient:
+    if not lenient:  # what no lookup says is said by the facts themselves
         lost |= any(len(lists[k][0]) > len(terms[k]) for k in ("attr_all", "event_all"))
     included = tuple(dict.fromkeys(t.timeless() for t in terms["event_all"] + terms["event_any"]))
     out = ResolvedQuery(terms["attr_all"] + terms["event_all"], terms["attr_any"], terms["event_any"], terms["attr_not"] + terms["event_not"], included, lenient=lenient)
