@@ -210,6 +210,7 @@ class NearClasses:
         return known.filter((F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p) & (agreed >= self.agree)).select("a", "b")
 
     def classes(self) -> DataFrame:
+        """Per row of the documents: id, key, comp (the class by its smallest key) and class_id."""
         signed = stage(sign(self.docs, self.id_col, self.text_col, self.words, self.coordinates))
         nodes = signed.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
         width = 2
@@ -247,9 +248,9 @@ class NearClasses:
                 break
         of_key = signed.groupBy("key").agg(F.min("id").alias("smallest")).join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "smallest", F.coalesce("comp", "key").alias("comp"))
         named = of_key.groupBy("comp").agg(F.min("smallest").alias("class_id"), F.count("*").alias("texts"))
-        linked = of_key.join(named.filter("texts > 1"), "comp").select("key", "class_id")
-        own = of_key.join(linked.select("key"), "key", "left_anti").select("key", F.col("smallest").alias("class_id"))
-        return signed.select("id", "key").join(linked.unionByName(own), "key").select("id", "key", "class_id")
+        linked = of_key.join(named.filter("texts > 1"), "comp").select("key", "comp", "class_id")
+        own = of_key.join(linked.select("key"), "key", "left_anti").select("key", "comp", F.col("smallest").alias("class_id"))
+        return signed.select("id", "key").join(linked.unionByName(own), "key").select("id", "key", "comp", "class_id")
 
     def remaining(self, outside: DataFrame, places: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         """Links (a, b) of members outside their bucket's main component with members of other components.
@@ -266,15 +267,19 @@ class NearClasses:
         return self.blocks(known, self._links, "a binary, b binary").distinct()
 
     def blocks(self, rows: DataFrame, solve, schema: str) -> DataFrame:
-        """``solve(outside, members)`` for every block of the members outside and every block of all, bucket by bucket."""
-        size = rows.groupBy("bucket", "band").agg(F.ceil(F.count_if("outside") / BLOCK_ROWS).cast("int").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("wide"))
-        placed = rows.join(size.filter("high > 0"), ["bucket", "band"])
+        """``solve(outside, members)`` over blocks: a large bucket's members outside and all its members meet in several
+        blocks of bounded size, small buckets share a block."""
+        size = rows.groupBy("bucket", "band").agg(F.ceil(F.count_if("outside") / BLOCK_ROWS).cast("int").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("wide")).filter("high > 0")
+        placed = rows.join(size, ["bucket", "band"])
+        shares = max(1, rows.count() // (2 * BLOCK_ROWS))
+        bucket = F.xxhash64("bucket", "band")
+        placed = placed.withColumn("deal", F.when(F.col("wide") == 1, F.pmod(bucket, F.lit(shares))).otherwise(bucket))
         number = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         left = placed.filter("outside").withColumn("i", number("high")).withColumn("j", every("wide")).drop("high", "wide")
         right = placed.withColumn("j", number("wide")).withColumn("i", every("high")).drop("high", "wide")
         right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, as both sides come from the same rows
-        key = ["bucket", "band", "i", "j"]
+        key = ["deal", "i", "j"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, schema)
 
     @property
@@ -283,16 +288,22 @@ class NearClasses:
         (p, q), agree, bands, rows_, coordinates = self.link, self.agree, self.bands, self.band_rows, self.coordinates
 
         def candidates(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            a, b = (np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(len(x), coordinates) for x in (left, right))
-            n, of = right["n"].to_numpy(np.int64), right["comp"].to_numpy()
-            band = left["band"].iloc[0]
-            for i, (size, comp) in enumerate(zip(left["n"].tolist(), left["comp"], strict=True)):
-                same = a[i] == b
-                fits = (same.sum(1) >= agree) & (np.minimum(n, size) * q >= np.maximum(n, size) * p) & (of != comp)
-                at = np.flatnonzero(fits)
-                if len(at):
-                    first = same[at, : bands * rows_].reshape(len(at), bands, rows_).all(2).argmax(1)
-                    yield i, at[first == band]
+            if not len(left) or not len(right):
+                return
+            every_a, every_b = (np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(len(x), coordinates) for x in (left, right))
+            sizes_a, sizes_b, comp_a, comp_b = left["n"].tolist(), right["n"].to_numpy(np.int64), left["comp"].tolist(), right["comp"].to_numpy()
+            members = right.groupby(["bucket", "band"]).indices
+            for (bucket, band), own in left.groupby(["bucket", "band"]).indices.items():
+                others = members.get((bucket, band), [])
+                if not len(others):
+                    continue
+                b, n, of = every_b[others], sizes_b[others], comp_b[others]
+                for i in own:
+                    same = every_a[i] == b
+                    at = np.flatnonzero((same.sum(1) >= agree) & (np.minimum(n, sizes_a[i]) * q >= np.maximum(n, sizes_a[i]) * p) & (of != comp_a[i]))
+                    if len(at):
+                        first = same[at, : bands * rows_].reshape(len(at), bands, rows_).all(2).argmax(1)
+                        yield i, others[at[first == band]]
 
         return candidates
 
@@ -302,11 +313,11 @@ class NearClasses:
 
         def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
-            if len(left) and len(right):
-                for i, at in candidates(left, right):
-                    hit_left[i] |= len(at) > 0
-                    hit_right[at] = True
-            return pd.concat([left.loc[hit_left, ["bucket", "band", "key"]], right.loc[hit_right, ["bucket", "band", "key"]]])
+            for i, at in candidates(left, right):
+                hit_left[i] |= len(at) > 0
+                hit_right[at] = True
+            names = ["bucket", "band", "key"]
+            return pd.concat([left.loc[hit_left, names], right.loc[hit_right, names]])
 
         return solve
 
@@ -315,17 +326,15 @@ class NearClasses:
         candidates, words, link = self._candidates, self.words, self.link
 
         def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(left) and len(right):
-                shingles = Shingler(words)
-                sets = {k: shingles(t) for x in (left, right) for k, t in zip(x["key"], x["text"], strict=True)}
-                keys, comps = right["key"].to_numpy(), right["comp"].to_numpy()
-                for i, at in candidates(left, right):
-                    own, done = left["key"].iloc[i], set()
-                    for j in at:
-                        if comps[j] not in done and similar(sets[own], sets[keys[j]], link):
-                            done.add(comps[j])
-                            out.append((min(own, keys[j]), max(own, keys[j])))
+            shingles, out, done = Shingler(words), [], set()
+            sets = {k: shingles(t) for x in (left, right) for k, t in dict(zip(x["key"], x["text"], strict=True)).items()}
+            keys_a, keys_b, comps = left["key"].tolist(), right["key"].tolist(), right["comp"].tolist()
+            for i, at in candidates(left, right):
+                for j in at:
+                    own, other = keys_a[i], keys_b[j]
+                    if (own, comps[j]) not in done and similar(sets[own], sets[other], link):
+                        done.add((own, comps[j]))
+                        out.append((min(own, other), max(own, other)))
             return pd.DataFrame(out, columns=["a", "b"])
 
         return solve
@@ -365,7 +374,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs`` without near-duplicates: of each class one row of its smallest id stays."""
     settings = {"words": WORDS, "link": LINK, "coordinates": COORDINATES, "bands": BANDS, "band_rows": BAND_ROWS, "slack": SLACK, "rounds": ROUNDS} | options
     found = NearClasses(docs, id_col, text_col, **settings).classes()
-    stays = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("key"))
+    stays = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(F.min("key").alias("key"))
     key = fresh(docs, "text_key")
     marked = docs.withColumn(key, _key(text_or_empty(text_col)))
     kept = marked.alias("d").join(stays.alias("s"), (F.col(f"d.{key}") == F.col("s.key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("s.class_id"))).select("d.*")
