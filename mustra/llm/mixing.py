@@ -101,11 +101,15 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
+def _source_key(source_col: str) -> Column:
+    """A key that is never null, different for a null source and any string."""
+    source = F.col(source_col).cast("string")
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     text = text_or_empty(text_col)
-    source = F.col(source_col).cast("string")
-    key = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
-    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _source_key(source_col).alias("source_key"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     return rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
 
 
@@ -156,15 +160,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Of rows that agree in id, source and text, any may stand for the others.
     """
-    key = ["_id", "source_key", "text_hash"]
-    kept = decide(docs, id_col, text_col, source_col, seed=seed, **options).withColumnRenamed("doc_id", "_id")
-    kept = kept.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    source = F.col(source_col).cast("string")
-    marked = docs.withColumns({"_id": F.col(id_col), "source_key": F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source)), "text_hash": F.xxhash64(text_or_empty(text_col))})
-    both = marked.alias("d").join(kept.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d.source_key") == F.col("k.source_key")) & (F.col("d.text_hash") == F.col("k.text_hash")))
-    both = both.filter("_copies > 0").select("d.*", "_copies", "_rows")
-    even = both.filter("_copies % _rows = 0").withColumn("_times", (F.col("_copies") / F.col("_rows")).cast("int"))
+    key = ["doc_id", "source_key", "text_hash"]
+    kept = decide(docs, id_col, text_col, source_col, seed=seed, **options)
+    kept = kept.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    # the row travels as one struct, so none of its columns can clash with these
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), _source_key(source_col).alias("source_key"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.source_key") == F.col("k.source_key")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    both = marked.alias("d").join(kept.alias("k"), same).select("d.*", "copies", "rows")
+    even = both.filter("copies % rows = 0").select("row", (F.col("copies") / F.col("rows")).cast("int").alias("times"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    odd = both.filter("_copies % _rows <> 0").withColumn("_times", (F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")).cast("int"))
-    times = even.unionByName(odd).withColumn("_time", F.explode(F.expr("sequence(1, greatest(1, _times))"))).filter("_times > 0")
-    return times.select(*docs.columns)
+    odd = both.filter("copies % rows <> 0").withColumn("nth", nth).select("row", F.expr("CAST(copies DIV rows + IF(nth <= copies % rows, 1, 0) AS INT)").alias("times"))
+    return even.unionByName(odd).filter("times > 0").select("row", F.explode(F.expr("sequence(1, times)")).alias("time")).select("row.*")

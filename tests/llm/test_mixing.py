@@ -61,7 +61,7 @@ def test_hot_length_is_dealt_to_buckets(spark):
 
 
 def test_hard_rows(spark):
-    docs = spark.createDataFrame([(1, "a b", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 1), (2, None, None, 2), (None, "x", None, 3), (4, " \t", "s", 4)], "doc_id long, text string, source string, size int")
+    docs = spark.createDataFrame([(1, "a b", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 1), (2, None, None, 2), (None, "x", None, 3), (4, " \t", "s", 4)], "doc_id long, text string, source string, source_key int")
     rows = mixing.mix_words(docs).collect()
     assert len(rows) == 6 and sum(r["size"] for r in rows) == 7
     mixed = mixing.mix(docs)
