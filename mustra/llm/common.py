@@ -19,11 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: what the cluster names, else one in the warehouse."""
     context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None)
     known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    where = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(where)
+    where = named or (known.get() if known.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    if not known.isDefined():
+        context.setCheckpointDir(where)
     return where
 
 
