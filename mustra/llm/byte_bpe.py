@@ -143,7 +143,7 @@ def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: st
     @F.pandas_udf(T.StringType())
     def decode_all(ids: pd.Series) -> pd.Series:
         coder = _coder(ranks_path, pattern)
-        return ids.map(lambda x: coder.decode([] if x is None else list(x)).decode("utf-8", "replace"))
+        return ids.map(lambda x: coder.decode([] if x is None else x.tolist()).decode("utf-8", "replace"))
 
     return docs.withColumn(text_col, decode_all(ids_col))
 
