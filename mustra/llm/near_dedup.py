@@ -48,6 +48,8 @@ SLACK = 4.0
 ROUNDS = 5
 #: Members of a bucket that meet in one task.
 BLOCK_ROWS = 2048
+#: Rows of a partition in the tables of components.
+PART_ROWS = 200_000
 BATCH_ELEMENTS = 1 << 18
 _WORD = re.compile(r"\w+")
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -166,28 +168,36 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return rows.mapInArrow(run, f"id {id_type}, key binary, n int, signature binary")
 
 
+def _parts(rows: int) -> int:
+    """Partitions for a table of so many rows: the tables of components shrink fast, and their files should with them."""
+    return -(-rows // PART_ROWS) or 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp for the nodes of ``edges`` (a, b; distinct, a and b differ, lineage cut): each component's smallest node, by
     contraction to smallest neighbours."""
-    labels = None
-    while not edges.isEmpty():
+    labels, labelled = None, 1
+    while rows := edges.count():
+        edges, parts = edges.coalesce(_parts(rows)), _parts(2 * rows)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")).coalesce(parts))
         step = to.withColumnRenamed("to", "comp")
-        labels = step if labels is None else cut(labels.join(to, labels.comp == to.node, "left").select(labels.node, F.coalesce("to", "comp").alias("comp")))
+        labelled = max(labelled, parts)
+        labels = step if labels is None else cut(labels.join(to, labels.comp == to.node, "left").select(labels.node, F.coalesce("to", "comp").alias("comp")).coalesce(labelled))
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = cut(moved.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        edges = cut(moved.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(_parts(rows)))
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
     """``labels`` (node, comp) with the components that the edges ``more`` join; only their ends' components are worked on."""
     of = lambda end, as_: labels.select(F.col("node").alias(end), F.col("comp").alias(as_))
-    ends = more.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    moves = components(cut(ends.filter(F.col("a") != F.col("b")).distinct()))
+    rows = more.count()
+    ends = more.coalesce(_parts(rows)).join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    moves = components(cut(ends.filter(F.col("a") != F.col("b")).distinct().coalesce(_parts(rows))))
     to = moves.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     moved = labels.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return cut(moved.unionByName(moves.join(labels.select("node"), "node", "left_anti")))
+    return cut(moved.unionByName(moves.join(labels.select("node"), "node", "left_anti")).coalesce(_parts(labels.count() + 2 * rows)))
 
 
 class NearClasses:
