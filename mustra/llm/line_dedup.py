@@ -6,13 +6,19 @@ leaf have equally many tokens, their fields align; the leaf's most frequent line
 it in ``AGREEMENT`` of the fields belong to it, their other fields being its variable ones. A line that doesn't
 agree is a template of its own.
 
-Recurrence. A template recurs across documents if ``min_docs`` different texts hold it in as many different
-surroundings (leaves of the lines before and behind) and its surroundings differ for at least ``min_spread`` of these
-texts. Copies of a document bring the same surroundings, so copies aren't taken for boilerplate; whole copies are
-the near-duplicate operator's task. All occurrences of a recurring template are dropped.
+Recurrence. A template recurs across documents if texts of ``min_docs`` different groups of copies hold it. Texts are
+copies if most of their lines agree in how they begin, how they end and how long they are; what recurs doesn't make
+unrelated texts copies as long as most of what they hold is their own. So copies count once however many they are and
+aren't taken for boilerplate (whole copies are the near-duplicate operator's task), and neither copies nor frequency save
+a line that recurs in enough other documents. All occurrences of a recurring template are dropped.
 
-Scale. Only hashes of lines are shuffled (stage table: text key, position, leaf, fields, surroundings); equal lines are
-aggregated before the shuffle. The decision is a set of line numbers per text key, joined to the texts at the end.
+Copies. The first and last ``ENDS`` tokens and the leaf of each line of a text are sketched by ``BANDS`` bands of
+``BAND_ROWS`` minima; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
+so that chance links don't join everything in a large table: of texts with likeness J (of these features) a share of
+1 - (1 - J^4)^16 is linked, 0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2.
+
+Scale. Only hashes of lines are shuffled (stage table: text key, position, leaf, fields, and a text's bands at its first
+line); equal lines are aggregated before the shuffle. The decision is a set of line numbers per text key, joined to the texts at the end.
 
 Defined results: a null text is empty and has no lines; lines of fewer than ``min_tokens`` tokens stay; line ends are
 ``\\n``; equal texts get equal results, repeated rows a row each; an empty table gives no rows; ties between a
@@ -30,8 +36,10 @@ LEADING = 2
 FIELDS = 8
 AGREEMENT = 0.7
 MIN_DOCS = 3
-MIN_SPREAD = 0.75
 MIN_TOKENS = LEADING + 1
+ENDS = 3
+BANDS = 16
+BAND_ROWS = 4
 _VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
 
 
@@ -57,22 +65,47 @@ def _parsed(tokens: Column) -> Column:
     return F.struct(F.xxhash64(n, F.slice(tokens, 1, LEADING)).alias("leaf"), found.alias("fields"), n.alias("tokens"))
 
 
+def _ends(words: Column) -> Column:
+    """Hashes of the first tokens, the last tokens and the leaves of a text's lines."""
+    some = F.filter(words, lambda x: F.size(x) > 0)
+    first = F.transform(some, lambda x: F.xxhash64(F.lit(0), F.slice(x, 1, ENDS)))
+    last = F.transform(some, lambda x: F.xxhash64(F.lit(1), F.slice(x, -F.least(F.lit(ENDS), F.size(x)), ENDS)))
+    whole = F.transform(some, lambda x: F.xxhash64(F.lit(2), F.size(x), F.slice(x, 1, LEADING)))
+    return F.array_distinct(F.concat(first, last, whole))
+
+
+def _bands(ends: Column) -> Column:
+    """The bands of a text's sketch: hashes of BAND_ROWS minima each."""
+    least = lambda seed: F.array_min(F.transform(ends, lambda x: F.xxhash64(seed, x)))
+    rows = lambda band: F.transform(F.sequence(F.lit(1), F.lit(BAND_ROWS)), lambda i: least(band * BAND_ROWS + i))
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.xxhash64(band, rows(band)))
+
+
 def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per line: key (of its text), at (position from 0), leaf, fields, tokens, around."""
+    """One row per line: key (of its text), at (position from 0), leaf, fields, tokens, and at 0 the text's bands."""
     text = text_or_empty(text_col)
     rows = docs.select(text_key(text).alias("key"), _lines(text).alias("lines"))
     words = F.transform("lines", lambda x: F.filter(F.split(F.regexp_replace(x, _VARIABLE, "<*>"), r"\s+"), lambda w: w != ""))
     rows = rows.select("key", words.alias("words"))
-    rows = rows.select("key", F.transform("words", _parsed).alias("lines"))
-    leaf_at = lambda i: F.get(F.col("lines.leaf"), i)
-    around = F.transform("lines", lambda x, i: F.struct(x.leaf.alias("leaf"), x.fields.alias("fields"), x.tokens.alias("tokens"), F.xxhash64(leaf_at(i - 1), leaf_at(i + 1)).alias("around")))
-    rows = rows.select("key", F.posexplode(around).alias("at", "line"))
-    return rows.select("key", "at", "line.leaf", "line.fields", "line.tokens", "line.around")
+    rows = rows.select("key", F.transform("words", _parsed).alias("lines"), _ends(F.col("words")).alias("ends"))
+    rows = rows.select("key", F.posexplode("lines").alias("at", "line"), "ends")
+    bands = F.when((F.col("at") == 0) & (F.size("ends") > 0), _bands(F.col("ends")))
+    return rows.select("key", "at", "line.leaf", "line.fields", "line.tokens", bands.alias("bands"))
+
+
+def copy_groups(lines: DataFrame) -> DataFrame:
+    """key, group of the texts that share a band with another text; the others are groups of their own."""
+    bands = lines.filter("bands IS NOT NULL").select("key", F.xxhash64("key").alias("mark"), F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).filter("least < most")
+    shared = stage(shared.select("band", "least"))
+    return bands.join(shared, "band").groupBy("key").agg(F.min("least").alias("group"))
 
 
-def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_spread: float = MIN_SPREAD, min_tokens: int = MIN_TOKENS, agreement: float = AGREEMENT) -> DataFrame:
+def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, agreement: float = AGREEMENT) -> DataFrame:
     """From ``parse_lines``: key and ``dropped``, the positions of its lines whose template recurs."""
-    lines = stage(lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields", "around"))
+    lines = stage(lines.filter((F.col("tokens") >= min_tokens) | F.col("bands").isNotNull()))
+    groups = copy_groups(lines)
+    lines = lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields")
     shapes = lines.groupBy("leaf", "fields").agg(F.count("*").alias("n"))
     leaves = shapes.groupBy("leaf").agg(F.max(F.struct("n", "fields")).alias("most"), F.sum("n").alias("all")).filter(F.col("all") >= min_docs)
     same = F.size(F.filter(F.zip_with("fields", "most.fields", lambda a, b: a == b), lambda x: x))
@@ -80,10 +113,12 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_spread: floa
     # a shape that is a template of its own recurs only if it is frequent enough by itself
     shapes = shapes.join(leaves, "leaf").withColumn("belongs", belongs).filter(F.col("belongs") | (F.col("n") >= min_docs))
     shapes = shapes.select("leaf", "fields", F.xxhash64("leaf", F.when(F.col("belongs"), F.col("most.fields")).otherwise(F.col("fields"))).alias("template"))
-    held = stage(lines.join(shapes, ["leaf", "fields"]).select("key", "at", "template", "around"))
-    texts = held.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("texts"))
-    places = held.select("template", "around").distinct().groupBy("template").agg(F.count("*").alias("places"))
-    recurring = texts.filter(F.col("texts") >= min_docs).join(places, "template").filter((F.col("places") >= min_docs) & (F.col("places") >= min_spread * F.col("texts")))
+    held = stage(lines.join(shapes, ["leaf", "fields"]).select("key", "at", "template"))
+    texts = held.select("template", "key").distinct()
+    often = texts.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)
+    grouped = texts.join(stage(often.select("template")), "template").join(groups, "key", "left")
+    grouped = grouped.select("template", F.coalesce("group", F.xxhash64("key")).alias("group")).distinct()
+    recurring = grouped.groupBy("template").agg(F.count("*").alias("groups")).filter(F.col("groups") >= min_docs)
     # a table of its own: its size is known when the join is planned, and a hot template's rows can be split
     recurring = stage(recurring.select("template"))
     return held.join(recurring, "template", "left_semi").groupBy("key").agg(F.collect_set("at").alias("dropped"))

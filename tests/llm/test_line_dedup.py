@@ -92,3 +92,26 @@ def test_emptied_documents_go(spark):
 
 def test_query_returns_every_document(spark, sf_dir):
     assert queries.op10_line_dedup(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def prose(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    return lambda n=8: [" ".join(word() for _ in range(12)) for _ in range(n)]
+
+
+def cleaned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in line_dedup.clean(docs).orderBy("doc_id").collect()]
+
+
+def test_copies_do_not_save_a_recurring_line(spark):
+    some = prose(3)
+    shared, base = "this very line stands in all of these documents", some()
+    texts = ["\n".join([*some(4), shared, *some(4)]) for _ in range(20)]
+    for i in range(40):  # near copies, all with the line; every one has a word more in one of its lines
+        lines = [x + f" {some(1)[0][:5]}" * (j == i % 8) for j, x in enumerate(base)]
+        texts.append("\n".join([*lines[:4], shared, *lines[4:]]))
+    out = cleaned(spark, texts)
+    assert all(shared not in t for t in out)
+    assert all(t == x.replace(shared + "\n", "") for t, x in zip(out, texts, strict=True))
