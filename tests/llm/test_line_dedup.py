@@ -115,3 +115,15 @@ def test_copies_do_not_save_a_recurring_line(spark):
     out = cleaned(spark, texts)
     assert all(shared not in t for t in out)
     assert all(t == x.replace(shared + "\n", "") for t, x in zip(out, texts, strict=True))
+
+
+def test_passages_between_blank_lines_and_blocks_go(spark):
+    some = prose(4)
+    passage, block = some(1)[0], some(4)
+    texts = ["\n".join([*some(5), "", passage, "", *some(4)]) for _ in range(8)]
+    texts += ["\n".join([passage, "", *some(5)]) for _ in range(2)] + ["\n".join([*some(5), "", passage]) for _ in range(2)] + [passage]
+    texts += ["\n".join([*some(5), *block, *some(5)]) for _ in range(12)]
+    out = "\n".join(cleaned(spark, texts)).split("\n")
+    gone = {passage, *block}
+    assert not gone & set(out)
+    assert sorted(x for x in out if x) == sorted(x for t in texts for x in t.split("\n") if x and x not in gone)
