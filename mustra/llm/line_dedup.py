@@ -2,9 +2,10 @@
 
 Parsing. A line's tokens are its words, one with a digit being a variable field. The tree has fixed depth: number of
 tokens, then the ``LEADING`` first tokens; the rest is cut into at most ``FIELDS`` runs of tokens. As all lines of a
-leaf have equally many tokens, their fields align; the leaf's most frequent line is its template, and lines that agree with
-it in ``AGREEMENT`` of the fields belong to it, their other fields being its variable ones. A line that doesn't
-agree is a template of its own.
+leaf have equally many tokens, their fields align; the leaf's most frequent line is a template, and lines that agree with
+it in ``AGREEMENT`` of the fields belong to it, their other fields being its variable ones. Of the lines that don't
+agree the most frequent one is the next template, until no line is left; a line that agrees with several templates
+belongs to the first of them.
 
 Recurrence. A template recurs across documents if texts of ``min_docs`` different groups of copies hold it. Texts are
 copies if most of their lines agree in how they begin, how they end and how long they are; what recurs doesn't make
@@ -22,11 +23,15 @@ line); equal lines are aggregated before the shuffle. The decision is a set of l
 
 Defined results: a null text is empty and has no lines; lines of fewer than ``min_tokens`` tokens stay; line ends are
 ``\\n``; equal texts get equal results, repeated rows a row each; an empty table gives no rows; ties between a
-leaf's lines fall to the larger field hashes; other columns pass through ``clean``.
+leaf's lines fall to the larger hash of the line; other columns pass through ``clean``.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,18 +106,60 @@ def copy_groups(lines: DataFrame) -> DataFrame:
     return bands.join(shared, "band").groupBy("key").agg(F.min("least").alias("group"))
 
 
+def _joined(fields: Column, sets: Callable[[int], list[Sequence[int]]], length: Column) -> Column:
+    """Hashes of the fields at each of the sets of positions that ``sets`` gives for a number of fields."""
+    out = F.array().cast("array<bigint>")
+    for m in range(1, FIELDS + 1):
+        if wanted := sets(m):
+            out = F.when(length == m, F.array(*[F.xxhash64(F.lit(i), "leaf", *[F.get(fields, F.lit(j)) for j in at]) for i, at in enumerate(wanted)])).otherwise(out)
+    return out
+
+
+def templates(lines: DataFrame, min_docs: int = MIN_DOCS, agreement: float = AGREEMENT) -> DataFrame:
+    """leaf, fields, template of the lines that may recur ``min_docs`` times.
+
+    In each leaf the most frequent line is a template, those that agree with it are matched, and so on with the rest until
+    no line is left. Lines agree if they are equal outside of some ``spare`` fields, so they meet by hashes of the other
+    fields. Every line that is more frequent than all unmatched lines it agrees with is a template at once.
+    """
+    spare = lambda m: m - math.ceil(agreement * m - 1e-9)
+    parts = lambda m: [range(i * m // (spare(m) + 1), (i + 1) * m // (spare(m) + 1)) for i in range(spare(m) + 1)] if spare(m) else []
+    masks = lambda m: list(combinations(range(m), m - spare(m))) if spare(m) else []
+    shapes = lines.groupBy("leaf", "fields").agg(F.count("*").alias("n"))
+    enough = shapes.groupBy("leaf").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_docs)
+    shapes = stage(shapes.join(enough.select("leaf"), "leaf").withColumn("rank", F.struct("n", F.xxhash64("leaf", "fields").alias("id"))))
+    size = F.size("fields")
+    # lines that agree have one of spare + 1 parts in common; the others need no masks
+    by_part = shapes.select("rank.id", F.explode(_joined(F.col("fields"), parts, size)).alias("part"))
+    common = stage(by_part.groupBy("part").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("part"))
+    some = by_part.join(common, "part").select("id").distinct()
+    near = shapes.join(some, shapes["rank.id"] == some["id"], "left_semi").select("rank", F.explode(_joined(F.col("fields"), masks, size)).alias("mask"))
+    near = stage(near)
+    met = near.groupBy("mask").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("mask")
+    near = stage(near.join(met, "mask"))
+    open_, first = near, None
+    while not open_.isEmpty():
+        best = open_.groupBy("mask").agg(F.max("rank").alias("best"))
+        firsts = open_.join(best, "mask").groupBy("rank").agg(F.min(F.col("rank") == F.col("best")).alias("first")).filter("first").select("rank")
+        taken = stage(open_.join(firsts, "rank").select("mask", F.col("rank").alias("first")))
+        first = taken if first is None else first.unionByName(taken)
+        matched = open_.join(taken.select("mask"), "mask").select("rank").distinct()
+        open_ = stage(open_.join(matched, "rank", "left_anti"))
+    own = F.col("rank.id").alias("template")
+    if first is None:
+        return shapes.filter(F.col("n") >= min_docs).select("leaf", "fields", own)
+    found = near.join(first, "mask").groupBy("rank").agg(F.max("first").alias("first"))
+    # a shape that is a template of its own recurs only if it is frequent enough by itself
+    both = shapes.join(found, "rank", "left").filter(F.col("first").isNotNull() | (F.col("n") >= min_docs))
+    return both.select("leaf", "fields", F.coalesce("first.id", "rank.id").alias("template"))
+
+
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, agreement: float = AGREEMENT) -> DataFrame:
     """From ``parse_lines``: key and ``dropped``, the positions of its lines whose template recurs."""
     lines = stage(lines.filter((F.col("tokens") >= min_tokens) | F.col("bands").isNotNull()))
     groups = copy_groups(lines)
     lines = lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields")
-    shapes = lines.groupBy("leaf", "fields").agg(F.count("*").alias("n"))
-    leaves = shapes.groupBy("leaf").agg(F.max(F.struct("n", "fields")).alias("most"), F.sum("n").alias("all")).filter(F.col("all") >= min_docs)
-    same = F.size(F.filter(F.zip_with("fields", "most.fields", lambda a, b: a == b), lambda x: x))
-    belongs = same >= agreement * F.size("fields")
-    # a shape that is a template of its own recurs only if it is frequent enough by itself
-    shapes = shapes.join(leaves, "leaf").withColumn("belongs", belongs).filter(F.col("belongs") | (F.col("n") >= min_docs))
-    shapes = shapes.select("leaf", "fields", F.xxhash64("leaf", F.when(F.col("belongs"), F.col("most.fields")).otherwise(F.col("fields"))).alias("template"))
+    shapes = templates(lines, min_docs, agreement)
     held = stage(lines.join(shapes, ["leaf", "fields"]).select("key", "at", "template"))
     texts = held.select("template", "key").distinct()
     often = texts.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)

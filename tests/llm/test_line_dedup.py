@@ -127,3 +127,39 @@ def test_passages_between_blank_lines_and_blocks_go(spark):
     gone = {passage, *block}
     assert not gone & set(out)
     assert sorted(x for x in out if x) == sorted(x for t in texts for x in t.split("\n") if x and x not in gone)
+
+
+def greedy(shapes, need):
+    """The template of each (fields, n), one leaf's, taken one after the other."""
+    left, out = sorted(shapes, key=lambda x: (x[1], x[2]), reverse=True), {}
+    while left:
+        top = left[0][0]
+        for f in [f for f, *_ in left if sum(a == b for a, b in zip(f, top, strict=True)) >= need]:
+            out[f] = top
+        left = [x for x in left if x[0] not in out]
+    return out
+
+
+def test_a_leaf_has_all_its_templates(spark):
+    rng = random.Random(5)
+    for m, need in ((8, 6), (5, 4), (2, 2)):
+        seen = {tuple(rng.randrange(3 if m > 2 else 9) for _ in range(m)) for _ in range(60)}
+        lines = [(7, list(f)) for f in sorted(seen) for _ in range(rng.randrange(1, 6))]
+        frame = spark.createDataFrame(lines, "leaf long, fields array<int>")
+        ids = {tuple(r.fields): r.id for r in frame.selectExpr("fields", "xxhash64(leaf, fields) AS id").distinct().collect()}
+        counts = [(f, sum(tuple(x) == f for _, x in lines), ids[f]) for f in seen]
+        expected = greedy(counts, need)
+        got = {tuple(r.fields): r.template for r in line_dedup.templates(frame, 1).collect()}
+        assert got == {f: ids[t] for f, t in expected.items()}
+
+
+def test_forms_with_names_go_beside_a_more_frequent_line(spark):
+    some = prose(6)
+    top = "This form was handed in by nobody at all on the last of days"
+    texts = ["\n".join([*some(3), top, *some(3)]) for _ in range(12)]
+    name = lambda: some(1)[0][:5]
+    forms = [f"This form was signed for the office by clerk {name()} in the town hall" for _ in range(9)]
+    assert len(top.split()) == len(forms[0].split())
+    texts += ["\n".join([*some(3), x, *some(3)]) for x in forms]
+    out = cleaned(spark, texts)
+    assert not any("This form" in t for t in out) and all(len(t.split("\n")) == 6 for t in out)
