@@ -14,9 +14,9 @@ aren't taken for boilerplate (whole copies are the near-duplicate operator's tas
 a line that recurs in enough other documents. All occurrences of a recurring template are dropped.
 
 Copies. The first and last ``ENDS`` tokens and the leaf of each line of a text are sketched by ``BANDS`` bands of
-``BAND_ROWS`` minima; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
+the ``BAND_ROWS`` hashes next to a point; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
 so that chance links don't join everything in a large table: of texts with likeness J (of these features) a share of
-1 - (1 - J^4)^16 is linked, 0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2.
+about 1 - (1 - J^4)^16 is linked (0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2; for short texts the bands overlap).
 
 Scale. Only hashes of lines are shuffled (stage table: text key, position, leaf, fields, and a text's bands at its first
 line); equal lines are aggregated before the shuffle. The decision is a set of line numbers per text key, joined to the texts at the end.
@@ -29,6 +29,7 @@ leaf's lines fall to the larger hash of the line; other columns pass through ``c
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
@@ -57,7 +58,7 @@ def _lines(text: Column) -> Column:
 
 
 def _parsed(tokens: Column) -> Column:
-    """Struct of a line's leaf and the hashes of its fields."""
+    """Struct of a line's leaf, the hashes of its fields, how many tokens it has and the hashes of its ends."""
     n = F.size(tokens)
     rest = n - LEADING
     fields = F.least(F.lit(FIELDS), rest)
@@ -67,23 +68,16 @@ def _parsed(tokens: Column) -> Column:
         return F.hash(F.slice(tokens, low + LEADING + 1, high - low))
 
     found = F.when(rest > 0, F.transform(F.sequence(F.lit(0), fields - 1), field)).otherwise(F.array().cast("array<int>"))
-    return F.struct(F.xxhash64(n, F.slice(tokens, 1, LEADING)).alias("leaf"), found.alias("fields"), n.alias("tokens"))
+    head, tail = F.slice(tokens, 1, ENDS), F.slice(tokens, -F.least(F.lit(ENDS), F.greatest(F.lit(1), n)), ENDS)
+    ends = [F.xxhash64(F.lit(0), head).alias("head"), F.xxhash64(F.lit(1), tail).alias("tail")]
+    return F.struct(F.xxhash64(n, F.slice(tokens, 1, LEADING)).alias("leaf"), found.alias("fields"), n.alias("tokens"), *ends)
 
 
-def _ends(words: Column) -> Column:
-    """Hashes of the first tokens, the last tokens and the leaves of a text's lines."""
-    some = F.filter(words, lambda x: F.size(x) > 0)
-    first = F.transform(some, lambda x: F.xxhash64(F.lit(0), F.slice(x, 1, ENDS)))
-    last = F.transform(some, lambda x: F.xxhash64(F.lit(1), F.slice(x, -F.least(F.lit(ENDS), F.size(x)), ENDS)))
-    whole = F.transform(some, lambda x: F.xxhash64(F.lit(2), F.size(x), F.slice(x, 1, LEADING)))
-    return F.array_distinct(F.concat(first, last, whole))
-
-
-def _bands(ends: Column) -> Column:
-    """The bands of a text's sketch: hashes of BAND_ROWS minima each."""
-    least = lambda seed: F.array_min(F.transform(ends, lambda x: F.xxhash64(seed, x)))
-    rows = lambda band: F.transform(F.sequence(F.lit(1), F.lit(BAND_ROWS)), lambda i: least(band * BAND_ROWS + i))
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.xxhash64(band, rows(band)))
+def _bands(features: Column) -> Column:
+    """The bands of a text's sketch: hashes of the BAND_ROWS features next to a fixed point each."""
+    points = [(band << 60 | random.Random(band).getrandbits(60)) - (1 << 63) for band in range(BANDS)]
+    near = lambda p: F.slice(F.sort_array(F.transform(features, lambda x: x.bitwiseXOR(F.lit(p)))), 1, BAND_ROWS)
+    return F.array(*[F.xxhash64(F.lit(p), near(p)) for p in points])
 
 
 def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -92,10 +86,11 @@ def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(text_key(text).alias("key"), _lines(text).alias("lines"))
     words = F.transform("lines", lambda x: F.filter(F.split(F.regexp_replace(x, _VARIABLE, "<*>"), r"\s+"), lambda w: w != ""))
     rows = rows.select("key", words.alias("words"))
-    rows = rows.select("key", F.transform("words", _parsed).alias("lines"), _ends(F.col("words")).alias("ends"))
-    rows = rows.select("key", F.posexplode("lines").alias("at", "line"), "ends")
-    bands = F.when((F.col("at") == 0) & (F.size("ends") > 0), _bands(F.col("ends")))
-    return rows.select("key", "at", "line.leaf", "line.fields", "line.tokens", bands.alias("bands"))
+    rows = rows.select("key", F.transform("words", _parsed).alias("lines"))
+    some = F.filter("lines", lambda x: x.tokens > 0)
+    rows = rows.select("key", "lines", F.array_distinct(F.flatten(F.transform(some, lambda x: F.array(x.leaf, x.head, x.tail)))).alias("features"))
+    rows = rows.select("key", F.when(F.size("features") > 0, _bands(F.col("features"))).alias("bands"), F.posexplode("lines").alias("at", "line"))
+    return rows.select("key", "at", "line.leaf", "line.fields", "line.tokens", F.when(F.col("at") == 0, F.col("bands")).alias("bands"))
 
 
 def copy_groups(lines: DataFrame) -> DataFrame:
