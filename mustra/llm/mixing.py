@@ -6,7 +6,9 @@ times all words; a target stops at ``max_repeats`` times its source's size and w
 Fit. A source takes every document ``r = floor(target / size)`` times. For what remains of its budget the documents are
 counted by exact length; each length gives the same fraction of its count, the rest goes from long to short as far as it
 fits, and the last words are fitted by bounded-knapsack dynamic programming over the shortest lengths (a bit set of the
-reachable sums, some documents of these lengths being given back first). That yields how many documents of each
+reachable sums, some documents of these lengths being given back first). Where that misses what the lengths' common
+divisor allows, all lengths are used and four times as many words given back, again until nothing is missed or
+everything was given back, which is the optimum. That yields how many documents of each
 length are taken once more; which ones, a seeded hash decides.
 
 Scale. The histograms are aggregated before they are shuffled and fitted per source, in parallel. Selection ranks rows
@@ -19,6 +21,7 @@ repeated in full are documents of their own; ties of the hash fall to the smalle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -34,7 +37,7 @@ MAX_REPEATS = 2
 SEED = 20
 BUCKET_ROWS = 256
 BUCKETS = 1 << 16
-#: The knapsack's budget in words, and how many of the shortest lengths it may use.
+#: The first knapsack's budget in words, and how many of the shortest lengths it may use.
 FIT_WORDS = 1 << 16
 FIT_LENGTHS = 256
 _SPACE = r"[\x20\x09-\x0D]"
@@ -75,11 +78,27 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         if x <= left and take[x] < counts[x]:
             take[x] += 1
             left -= x
-    if left > FIT_WORDS or not left:
+    if not left:
         return take
+    unit = math.gcd(*lengths)
+    least, window, best, rest = min(budget % unit, -budget % unit), FIT_WORDS, take, left
     pool = [x for x in reversed(lengths) if x <= FIT_WORDS][:FIT_LENGTHS]
+    while True:
+        if window >= left:
+            found = _knapsack(counts, take, left, pool, window, least)
+            off = abs(budget - sum(x * n for x, n in found.items()))
+            if off < rest:
+                best, rest = found, off
+        if rest <= least or window >= budget and len(pool) == len(lengths):
+            return best
+        window, pool = window if window >= budget else 4 * window, lengths[::-1]
+
+
+def _knapsack(counts: dict[int, int], take: dict[int, int], left: int, pool: list[int], window: int, least: int) -> dict[int, int]:
+    """``take`` with the lengths of ``pool`` fitted anew to what is left, documents of up to ``window`` words given back before."""
+    take = dict(take)
     for x in pool:
-        back = min(take[x], (FIT_WORDS - left) // x)
+        back = max(0, min(take[x], (window - left) // x))
         take[x] -= back
         left += back * x
     reach, mask, seen = 1, (1 << (2 * left + 1)) - 1, []
@@ -90,6 +109,8 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             seen.append((x, part, reach))
             reach |= (reach << (x * part)) & mask
             free, part = free - part, part * 2
+        if reach >> max(0, left - least) & 1 or reach >> (left + least) & 1:
+            break
     below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
     above = reach >> (left + 1)
     next_up = left + (above & -above).bit_length() if above else None

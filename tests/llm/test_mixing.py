@@ -26,6 +26,19 @@ def test_fit_meets_reachable_budgets():
     assert mixing.fit({7: 100, 3: 100}, 500) and sum(x * k for x, k in mixing.fit({7: 100, 3: 100}, 500).items()) == 500
 
 
+def test_fit_of_long_documents():
+    words = lambda lengths, budget: sum(x * n for x, n in mixing.fit(dict.fromkeys(lengths, 1), budget).items())
+    assert words([100000, 80000, 70000], 150000) == 150000
+    assert words([200000, 190000, 150000], 340000) == 340000
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths = {rng.randrange(1000, 400000) for _ in range(8)}
+        budget, reach = rng.randrange(sum(lengths)), {0}
+        for x in lengths:
+            reach |= {r + x for r in reach}
+        assert abs(words(lengths, budget) - budget) == min(abs(r - budget) for r in reach)
+
+
 def test_documents(spark, sf_dir):
     import re
 
