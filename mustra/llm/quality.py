@@ -5,8 +5,8 @@ bound to a language. The trees are grown on quantile bins of a bounded sample of
 logistic loss, and flattened into arrays of complete binary trees, which numpy walks for all rows and trees at once.
 
 ``sample_rows`` bounds the sample: labelled rows whose crc32(id as text) mod 5 isn't 0, in the order of a seeded hash of
-the id, so reruns agree. Scoring covers every row and the whole text; a text beyond ``WINDOW_CHARS`` is described in
-windows whose word statistics are weighed by their words, so that memory is bounded.
+the id, so reruns agree. Scoring covers every row and the whole text; the words of a text beyond
+``WINDOW_CHARS`` are counted window by window in one counter, so that only its distinct words are held at once.
 
 Defined results: a null text is empty and gets the score that the trees give to all-zero statistics; labels that aren't
 0 or 1 or whose id is null don't count, of several labels of an id the highest counts; without labels of both
@@ -20,6 +20,7 @@ import math
 import operator
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -59,31 +60,37 @@ def _class_matrix() -> np.ndarray:
 _MATRIX = _class_matrix()
 
 
+def _windows(text: str) -> Iterator[str]:
+    """The text in pieces of about WINDOW_CHARS that don't cut a word."""
+    start, space = 0, re.compile(r"\s")
+    while start < len(text):
+        gap = space.search(text, start + WINDOW_CHARS)
+        end = gap.start() if gap else len(text)
+        yield text[start:end]
+        start = end
+
+
 def _word_statistics(text: str) -> tuple[int, np.ndarray]:
     """Words, and the sums over them of the word statistics."""
-    words = text.split()
-    if not words:
+    counts, repeated, last = Counter(), 0, None
+    for window in _windows(text):
+        words = window.split()
+        if words:
+            counts.update(words)
+            repeated += (words[0] == last) + sum(map(operator.eq, words, words[1:]))
+            last = words[-1]
+    if not counts:
         return 0, np.zeros(6)
-    counts = Counter(words)
     short = sum(n for w, n in counts.items() if len(w) < 4)
     capital = sum(n for w, n in counts.items() if w[0].isupper())
-    repeated = sum(map(operator.eq, words, words[1:]))
-    return len(words), np.array([sum(len(w) * n for w, n in counts.items()), len(counts), repeated, max(counts.values()), short, capital], float)
+    return counts.total(), np.array([sum(len(w) * n for w, n in counts.items()), len(counts), repeated, max(counts.values()), short, capital], float)
 
 
 def describe(text: str) -> np.ndarray:
     """The statistics of one text, in the order of FEATURES."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     classes = (np.bincount(data, minlength=256) @ _MATRIX) / max(1, len(data))
-    if len(text) <= WINDOW_CHARS:
-        n, sums = _word_statistics(text)
-    else:
-        n, sums, start = 0, np.zeros(6), 0
-        while start < len(text):
-            gap = re.compile(r"\s").search(text, start + WINDOW_CHARS)
-            end = gap.start() if gap else len(text)
-            more, part = _word_statistics(text[start:end])
-            n, sums, start = n + more, sums + part, end
+    n, sums = _word_statistics(text)
     word = sums / max(1, n)
     lines = text.count("\n") + 1 if text else 0
     distinct = len(set(map(hash, text.split("\n")))) / lines if lines else 0.0

@@ -35,6 +35,16 @@ def test_windows_of_long_texts():
     assert quality.describe("").tolist() == [0.0] * len(quality.FEATURES)
 
 
+def test_statistics_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = "same same Other words x\n" * 60_000
+    assert len(text) > quality.WINDOW_CHARS
+    long = quality.describe(text)
+    at = quality.FEATURES.index("distinct_words")
+    assert long[at] == 4 / 300_000
+    monkeypatch.setattr(quality, "WINDOW_CHARS", len(text))
+    assert long.tolist() == quality.describe(text).tolist()
+
+
 def test_held_out_rows_are_predicted(spark, sf_dir):
     rows = {r.doc_id: r for r in queries.op1_quality(spark, "/root/testdata/sf0.01").collect()}
     assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
