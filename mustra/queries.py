@@ -228,6 +228,7 @@ def _names(kind: str) -> Query:
 add("attributes_listing", _names("attributes"), "SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0, 'segment'), (1, 'nation'), (2, 'region')) AS x(i, name)")
 add("event_types_listing", _names("event_types"), "SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0, 'brand'), (1, 'ptype'), (2, 'priority')) AS x(i, name)")
 add("persons_guid_lookup", lambda spark, sf_dir: orders_engine(spark, sf_dir).persons.filter(F.col("person_guid").endswith("7")), "SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE ends_with(c_name, '7')")
+add("persons_guid_lookup_all", lambda spark, sf_dir: orders_engine(spark, sf_dir).persons, "SELECT c_custkey AS person_id, c_name AS person_guid FROM customer")
 add("clickstream_any_of", lambda spark, sf_dir: clicks_engine(spark, sf_dir).cohort(QueryRequest.of(event_any=[("event_type", "purch*", 202401, 202401), ("event_type", "view", 202402, 202403)], event_exclude=[("event_type", "err*", 202402, 202412)])), "WITH e AS (SELECT user_id, event_type, year(ts) * 100 + month(ts) AS m FROM events) SELECT DISTINCT user_id AS person_id FROM e WHERE (starts_with(event_type, 'purch') AND m = 202401 OR event_type = 'view' AND m BETWEEN 202402 AND 202403) AND user_id NOT IN (SELECT user_id FROM e WHERE starts_with(event_type, 'err') AND m BETWEEN 202402 AND 202412)")
 add("clickstream_no_attributes", lambda spark, sf_dir: profile.cohort_count(clicks_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("gender", "Male")], event_all=[("event_type", "click")]))), "SELECT CAST(0 AS BIGINT) AS count")
 add("corpus_labels", lambda spark, sf_dir: corpus_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("lang", "en"), ("quality", "1")], attr_exclude=[("toxic", "1")])), "WITH l AS (SELECT * FROM labels) SELECT DISTINCT doc_id AS person_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM l WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)")

@@ -34,5 +34,9 @@ def test_query(name, spark, tables, sf_dir):
     assert sorted(map(repr, tables.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall())) == got
 
 
+def test_guids_of_all_persons(spark, sf_dir):
+    assert QUERIES["persons_guid_lookup_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["person_id"]
