@@ -14,12 +14,13 @@ aren't taken for boilerplate (whole copies are the near-duplicate operator's tas
 a line that recurs in enough other documents. All occurrences of a recurring template are dropped.
 
 Copies. The first and last ``ENDS`` tokens and the leaf of each line of a text are sketched by ``BANDS`` bands of
-the ``BAND_ROWS`` hashes next to a point; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
+``BAND_ROWS`` least hashes; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
 so that chance links don't join everything in a large table: of texts with likeness J (of these features) a share of
-about 1 - (1 - J^4)^16 is linked (0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2; for short texts the bands overlap).
+1 - (1 - J^4)^16 is linked (0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2).
 
-Scale. Only hashes of lines are shuffled (stage table: text key, position, leaf, fields, and a text's bands at its first
-line); equal lines are aggregated before the shuffle. The decision is a set of line numbers per text key, joined to the texts at the end.
+Scale. Lines are rows before they are parsed, so that parsing is compiled code; only hashes of lines are written and shuffled (text
+key, position, leaf, fields, ends), and equal lines and the lines of a text are aggregated before the shuffle. The decision is a
+list of line numbers per text key, a table of its own, joined to the texts at the end.
 
 Defined results: a null text is empty and has no lines; lines of fewer than ``min_tokens`` tokens stay; line ends are
 ``\\n``; equal texts get equal results, repeated rows a row each; an empty table gives no rows; ties between a
@@ -29,7 +30,6 @@ leaf's lines fall to the larger hash of the line; other columns pass through ``c
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
@@ -46,7 +46,6 @@ MIN_TOKENS = LEADING + 1
 ENDS = 3
 BANDS = 16
 BAND_ROWS = 4
-_VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
 
 
 def text_key(text: Column) -> Column:
@@ -57,45 +56,29 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _parsed(tokens: Column) -> Column:
-    """Struct of a line's leaf, the hashes of its fields, how many tokens it has and the hashes of its ends."""
-    n = F.size(tokens)
-    rest = n - LEADING
-    fields = F.least(F.lit(FIELDS), rest)
-
-    def field(j: Column) -> Column:
-        low, high = F.floor(j * rest / fields).cast("int"), F.floor((j + 1) * rest / fields).cast("int")
-        return F.hash(F.slice(tokens, low + LEADING + 1, high - low))
-
-    found = F.when(rest > 0, F.transform(F.sequence(F.lit(0), fields - 1), field)).otherwise(F.array().cast("array<int>"))
-    head, tail = F.slice(tokens, 1, ENDS), F.slice(tokens, -F.least(F.lit(ENDS), F.greatest(F.lit(1), n)), ENDS)
-    ends = [F.xxhash64(F.lit(0), head).alias("head"), F.xxhash64(F.lit(1), tail).alias("tail")]
-    return F.struct(F.xxhash64(n, F.slice(tokens, 1, LEADING)).alias("leaf"), found.alias("fields"), n.alias("tokens"), *ends)
-
-
-def _bands(features: Column) -> Column:
-    """The bands of a text's sketch: hashes of the BAND_ROWS features next to a fixed point each."""
-    points = [(band << 60 | random.Random(band).getrandbits(60)) - (1 << 63) for band in range(BANDS)]
-    near = lambda p: F.slice(F.sort_array(F.transform(features, lambda x: x.bitwiseXOR(F.lit(p)))), 1, BAND_ROWS)
-    return F.array(*[F.xxhash64(F.lit(p), near(p)) for p in points])
-
-
 def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per line: key (of its text), at (position from 0), leaf, fields, tokens, and at 0 the text's bands."""
+    """One row per line: key (of its text), at (position from 0), tokens (how many), leaf, fields (hashes), head and tail."""
     text = text_or_empty(text_col)
-    rows = docs.select(text_key(text).alias("key"), _lines(text).alias("lines"))
-    words = F.transform("lines", lambda x: F.filter(F.split(F.regexp_replace(x, _VARIABLE, "<*>"), r"\s+"), lambda w: w != ""))
-    rows = rows.select("key", words.alias("words"))
-    rows = rows.select("key", F.transform("words", _parsed).alias("lines"))
-    some = F.filter("lines", lambda x: x.tokens > 0)
-    rows = rows.select("key", "lines", F.array_distinct(F.flatten(F.transform(some, lambda x: F.array(x.leaf, x.head, x.tail)))).alias("features"))
-    rows = rows.select("key", F.when(F.size("features") > 0, _bands(F.col("features"))).alias("bands"), F.posexplode("lines").alias("at", "line"))
-    return rows.select("key", "at", "line.leaf", "line.fields", "line.tokens", F.when(F.col("at") == 0, F.col("bands")).alias("bands"))
+    rows = docs.select(text_key(text).alias("key"), F.posexplode(_lines(text)).alias("at", "line"))
+    # one expression per projection: none is evaluated twice
+    rows = rows.select("key", "at", F.array_remove(F.split("line", r"\s+"), "").alias("words"), F.col("line").rlike("[0-9]").alias("variable"))
+    masked = F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
+    rows = rows.select("key", "at", F.when(F.col("variable"), masked).otherwise(F.col("words")).alias("words"))
+    words, n = F.col("words"), F.size("words")
+    rest = F.greatest(n - LEADING, F.lit(0))
+    m = F.least(F.lit(FIELDS), rest)
+    cuts = lambda j: F.floor(j * rest / m).cast("int")
+    fields = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.hash(F.slice(words, cuts(j) + LEADING + 1, cuts(j + 1) - cuts(j))))).otherwise(F.array().cast("array<int>"))
+    tail = F.slice(words, F.greatest(n - ENDS, F.lit(0)) + 1, ENDS)
+    return rows.select("key", "at", n.alias("tokens"), F.xxhash64(n, F.slice(words, 1, LEADING)).alias("leaf"), fields.alias("fields"), F.xxhash64(F.lit(0), F.slice(words, 1, ENDS)).alias("head"), F.xxhash64(F.lit(1), tail).alias("tail"))
 
 
 def copy_groups(lines: DataFrame) -> DataFrame:
     """key, group of the texts that share a band with another text; the others are groups of their own."""
-    bands = lines.filter("bands IS NOT NULL").select("key", F.xxhash64("key").alias("mark"), F.explode("bands").alias("band"))
+    least = lambda i: F.min(F.least(*(F.hash(F.lit(i), c) for c in ("leaf", "head", "tail"))))
+    sketch = lines.filter("tokens > 0").groupBy("key").agg(*(least(i).alias(f"h{i}") for i in range(BANDS * BAND_ROWS)))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(f"h{b * BAND_ROWS + i}" for i in range(BAND_ROWS))) for b in range(BANDS)))
+    bands = stage(sketch.select("key", F.xxhash64("key").alias("mark"), bands.alias("bands"))).select("key", "mark", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).filter("least < most")
     shared = stage(shared.select("band", "least"))
     return bands.join(shared, "band").groupBy("key").agg(F.min("least").alias("group"))
@@ -151,7 +134,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS, agreement: float = AGR
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, agreement: float = AGREEMENT) -> DataFrame:
     """From ``parse_lines``: key and ``dropped``, the positions of its lines whose template recurs."""
-    lines = stage(lines.filter((F.col("tokens") >= min_tokens) | F.col("bands").isNotNull()))
+    lines = stage(lines.filter("tokens > 0"))
     groups = copy_groups(lines)
     lines = lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields")
     shapes = templates(lines, min_docs, agreement)
@@ -163,7 +146,19 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int
     recurring = grouped.groupBy("template").agg(F.count("*").alias("groups")).filter(F.col("groups") >= min_docs)
     # a table of its own: its size is known when the join is planned, and a hot template's rows can be split
     recurring = stage(recurring.select("template"))
-    return held.join(recurring, "template", "left_semi").groupBy("key").agg(F.collect_set("at").alias("dropped"))
+    return held.join(recurring, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
+
+
+def _without(text: Column, dropped: Column) -> Column:
+    """``text`` without the lines at the sorted positions ``dropped``: the runs of lines between them, in one walk."""
+
+    def rest(v: Column) -> Column:
+        ends = F.concat(v.dropped, F.array(F.size(v.lines)))
+        run = lambda end, i: F.slice(v.lines, F.when(i == 0, F.lit(0)).otherwise(F.get(v.dropped, i - 1) + 1) + 1, end - F.when(i == 0, F.lit(0)).otherwise(F.get(v.dropped, i - 1) + 1))
+        return F.array_join(F.flatten(F.transform(ends, run)), "\n")
+
+    # a list of one binds the lines, which would be split anew for every run otherwise
+    return F.get(F.transform(F.array(F.struct(_lines(text).alias("lines"), dropped.alias("dropped"))), rest), F.lit(0))
 
 
 def clean(docs: DataFrame, text_col: str = "text", counts: bool = False, **options) -> DataFrame:
@@ -171,11 +166,12 @@ def clean(docs: DataFrame, text_col: str = "text", counts: bool = False, **optio
 
     ``counts`` adds n_lines and n_dropped, in place of columns of these names.
     """
-    dropped = recurring_lines(parse_lines(docs, text_col), **options)
+    # a table of its own, so that the texts of a hot key can be split
+    dropped = stage(recurring_lines(parse_lines(docs, text_col), **options))
     key, gone = fresh(docs, "text_key"), fresh(docs, "dropped_lines")
     joined = docs.withColumn(key, text_key(text_or_empty(text_col))).join(dropped.select(F.col("key").alias(key), F.col("dropped").alias(gone)), key, "left")
     text = text_or_empty(text_col)
-    rest = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    rest = _without(text, F.col(gone))
     kept = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     columns = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in kept]
     if counts:
