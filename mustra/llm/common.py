@@ -16,21 +16,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the cluster names, else one in the warehouse."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for written tables: what the cluster names; with a local master, where all is one machine, else one
+    in the warehouse."""
     context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_CONF, None)
     known = context._jsc.sc().getCheckpointDir()
-    where = named or (known.get() if known.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    if not known.isDefined():
-        context.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    named = spark.conf.get(CHECKPOINT_CONF, None) or (known.get() if known.isDefined() else None)
+    if named is None and not context.master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def text_or_empty(column: str = "text"):
@@ -39,12 +33,12 @@ def text_or_empty(column: str = "text"):
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read again; gone when the driver ends.
+    """``df`` as a Parquet table in the shared folder, read again; gone when the driver ends.
 
-    It's for what is used more than once and must survive the loss of executors.
+    It cuts the lineage, and is for what is used more than once and must survive the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)

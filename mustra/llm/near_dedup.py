@@ -1,7 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-Signatures. A document is a weighted set, here of its distinct runs of five words, each of weight 1. Every element owns a
-region of height its weight along a rank axis, into which hashed darts fall as a Poisson process that depends on the
+Signatures. A document is a weighted set of its distinct runs of five words; each weighs 1, or on demand as much as it occurs.
+Every element owns a region of height its weight along a rank axis, into which hashed darts fall as a Poisson process that depends on the
 element alone: gaps between darts are exponential, drawn from the hash of element, unit of weight and dart number. A dart
 also has a hashed coordinate and a hashed height; it counts if its height is within the weight. The earliest dart of each
 coordinate is the signature, and two sets agree in a coordinate with probability of their weighted Jaccard similarity.
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm.common import cut, fresh, stage, text_or_empty
+from mustra.llm.common import fresh, stage, text_or_empty
 
 WORDS = 5
 #: Similarity of a link, as a fraction.
@@ -50,7 +50,12 @@ ROUNDS = 5
 BLOCK_ROWS = 2048
 #: Rows of a partition in the tables of components.
 PART_ROWS = 200_000
-BATCH_ELEMENTS = 1 << 18
+#: Signatures are made for so many elements or texts at a time, and so many darts are thrown at once; each bounds memory.
+BATCH_ELEMENTS = 1 << 16
+BATCH_TEXTS = 512
+DARTS = 1 << 18
+#: Words whose hashes a worker remembers.
+MEMO_WORDS = 1 << 17
 _WORD = re.compile(r"\w+")
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -66,14 +71,14 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct hashed runs of words; the hashes of words are remembered, up to a bound."""
+    """Distinct hashed runs of words and, on demand, how often each occurs; the hashes of words are remembered, up to a bound."""
 
-    def __init__(self, words: int = WORDS, most: int = 500_000):
+    def __init__(self, words: int = WORDS, most: int = MEMO_WORDS):
         import xxhash
 
         self.words, self.most, self.hash_of, self.known = words, most, xxhash.xxh64_intdigest, {}
 
-    def __call__(self, text: str) -> np.ndarray:
+    def _runs(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
         if not words:
             return np.zeros(0, np.uint64)
@@ -85,7 +90,18 @@ class Shingler:
         runs = np.full(len(each) - n + 1, n, np.uint64)
         for i in range(n):
             runs = _mixed(runs * _A + each[i : len(each) - n + 1 + i])
-        return np.unique(runs)
+        return runs
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.unique(self._runs(text))
+
+    def weighted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self._runs(text), return_counts=True)
+
+
+def _pieces(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for start in range(0, len(x), max(1, size)):
+        yield x[start : start + max(1, size)]
 
 
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, coordinates: int = COORDINATES) -> np.ndarray:
@@ -103,25 +119,24 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
         element, row, room = np.repeat(element, units), np.repeat(row, units), np.repeat(weight, units) - unit
         seed = _mixed(element + unit.astype(np.uint64) * _D)
         keys, ranks, values = [], [], []
-        for dense in (False, True):
-            far = reach[todo][row]
-            some = np.flatnonzero((far > 16) == dense)
-            step = 64 if dense else 4
-            at, first = np.zeros(len(some)), 0
-            while len(some):
-                dart = _mixed(seed[some][:, None] + np.arange(first + 1, first + step + 1, dtype=np.uint64) * _A)
-                rank = at[:, None] - np.log(_uniform(dart)).cumsum(1)
-                other = _mixed(dart + _D)
-                hit = rank <= far[some][:, None]
-                if weights is not None:
-                    hit &= _uniform(_mixed(other + _D)) <= room[some][:, None]
-                where, _ = np.nonzero(hit)
-                found = other[hit]
-                keys.append(row[some][where] * coordinates + (found % np.uint64(coordinates)).astype(np.int64))
-                ranks.append(rank[hit])
-                values.append((found >> np.uint64(48)).astype(np.uint16))
-                on = rank[:, -1] <= far[some]
-                at, some, first = rank[on, -1], some[on], first + step
+        far = reach[todo][row]
+        for least, most, step in ((0, 1, 1), (1, 16, 4), (16, np.inf, 64)):
+            for some in _pieces(np.flatnonzero((far >= least) & (far < most)), DARTS // step):
+                at, first = np.zeros(len(some)), 0
+                while len(some):
+                    dart = _mixed(seed[some][:, None] + np.arange(first + 1, first + step + 1, dtype=np.uint64) * _A)
+                    rank = at[:, None] - np.log(_uniform(dart)).cumsum(1)
+                    hit = rank <= far[some][:, None]
+                    where, _ = np.nonzero(hit)
+                    found = _mixed(dart[hit] + _D)
+                    if weights is not None:
+                        low = _uniform(_mixed(found + _D)) <= room[some][where]
+                        where, found = where[low], found[low]
+                    keys.append(row[some][where] * coordinates + (found % np.uint64(coordinates)).astype(np.int64))
+                    ranks.append(rank[hit] if weights is None else rank[hit][low])
+                    values.append((found >> np.uint64(48)).astype(np.uint16))
+                    on = rank[:, -1] <= far[some]
+                    at, some, first = rank[on, -1], some[on], first + step
         key, rank, value = np.concatenate(keys), np.concatenate(ranks), np.concatenate(values)
         order = np.lexsort((rank, key))
         key, value = key[order], value[order]
@@ -140,27 +155,47 @@ def similar(a: np.ndarray, b: np.ndarray, link: tuple[int, int] = LINK) -> bool:
     return common > 0 and common * link[1] >= (len(a) + len(b) - common) * link[0]
 
 
+def similar_weighted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], link: tuple[int, int] = LINK) -> bool:
+    """The same for the weighted Jaccard similarity of (elements, weights)."""
+    _, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    common = int(np.minimum(a[1][at_a], b[1][at_b]).sum())
+    return common > 0 and common * link[1] >= (int(a[1].sum()) + int(b[1].sum()) - common) * link[0]
+
+
+def _compared(words: int, weighted: bool) -> tuple[Callable, Callable]:
+    """What makes a text's set and what compares two of them."""
+    shingles = Shingler(words)
+    return (shingles.weighted, similar_weighted) if weighted else (shingles, similar)
+
+
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
-    """Per row: id, key (of its text), n (distinct runs of words), signature (16-bit values)."""
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES, weighted: bool = False) -> DataFrame:
+    """Per row: id, key (of its text), n (distinct runs of words; all runs if ``weighted``), signature (16-bit values)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
             sets: list[np.ndarray] = []
+            counts: list[np.ndarray] = []
             sizes, packed, size = [], [], 0
             texts = batch.column(2)
             for i in range(len(texts)):
-                sets.append(shingles(texts[i].as_py()))
-                size += len(sets[-1])
-                if size >= BATCH_ELEMENTS or i == len(texts) - 1:
-                    packed += [s.tobytes() for s in dart_signatures(sets, coordinates=coordinates)]
-                    sizes += map(len, sets)
-                    sets, size = [], 0
+                if weighted:
+                    elements, times = shingles.weighted(texts[i].as_py())
+                    counts.append(times)
+                    sizes.append(int(times.sum()))
+                else:
+                    elements = shingles(texts[i].as_py())
+                    sizes.append(len(elements))
+                sets.append(elements)
+                size += len(elements)
+                if size >= BATCH_ELEMENTS or len(sets) == BATCH_TEXTS or i == len(texts) - 1:
+                    packed += [s.tobytes() for s in dart_signatures(sets, counts if weighted else None, coordinates)]
+                    sets, counts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["id", "key", "n", "signature"])
 
     text = text_or_empty(text_col)
@@ -180,12 +215,12 @@ def components(edges: DataFrame) -> DataFrame:
     while rows := edges.count():
         edges, parts = edges.coalesce(_parts(rows)), _parts(2 * rows)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")).coalesce(parts))
+        to = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")).coalesce(parts))
         step = to.withColumnRenamed("to", "comp")
         labelled = max(labelled, parts)
-        labels = step if labels is None else cut(labels.join(to, labels.comp == to.node, "left").select(labels.node, F.coalesce("to", "comp").alias("comp")).coalesce(labelled))
+        labels = step if labels is None else stage(labels.join(to, labels.comp == to.node, "left").select(labels.node, F.coalesce("to", "comp").alias("comp")).coalesce(labelled))
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = cut(moved.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(_parts(rows)))
+        edges = stage(moved.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(_parts(rows)))
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
@@ -194,17 +229,18 @@ def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
     of = lambda end, as_: labels.select(F.col("node").alias(end), F.col("comp").alias(as_))
     rows = more.count()
     ends = more.coalesce(_parts(rows)).join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    moves = components(cut(ends.filter(F.col("a") != F.col("b")).distinct().coalesce(_parts(rows))))
+    moves = components(stage(ends.filter(F.col("a") != F.col("b")).distinct().coalesce(_parts(rows))))
     to = moves.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     moved = labels.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return cut(moved.unionByName(moves.join(labels.select("node"), "node", "left_anti")).coalesce(_parts(labels.count() + 2 * rows)))
+    return stage(moved.unionByName(moves.join(labels.select("node"), "node", "left_anti")).coalesce(_parts(labels.count() + 2 * rows)))
 
 
 class NearClasses:
     """One run over one table of documents."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, link: tuple[int, int], coordinates: int, bands: int, band_rows: int, slack: float, rounds: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, link: tuple[int, int], coordinates: int, bands: int, band_rows: int, slack: float, rounds: int, weighted: bool):
         self.spark: SparkSession = docs.sparkSession
+        self.weighted = weighted
         self.docs, self.id_col, self.text_col, self.words, self.link, self.rounds = docs, id_col, text_col, words, link, rounds
         self.coordinates, self.bands, self.band_rows = coordinates, bands, band_rows
         share = link[0] / link[1]
@@ -221,7 +257,7 @@ class NearClasses:
 
     def classes(self) -> DataFrame:
         """Per row of the documents: id, key, comp (the class by its smallest key) and class_id."""
-        signed = stage(sign(self.docs, self.id_col, self.text_col, self.words, self.coordinates))
+        signed = stage(sign(self.docs, self.id_col, self.text_col, self.words, self.coordinates, self.weighted))
         nodes = signed.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
         width = 2
         values = F.transform(F.sequence(F.lit(0), F.lit(self.coordinates - 1)), lambda i: F.substring(F.col("signature"), i * width + 1, F.lit(width)))
@@ -234,13 +270,13 @@ class NearClasses:
         seen = stage(seen)
         first = self.pairs(shared.filter("a <> key").select("a", F.col("key").alias("b")).distinct(), seen)
         texts = self.texts(shared.select("key").distinct())
-        labels = components(cut(self.verify(first, texts)))
+        labels = components(stage(self.verify(first, texts)))
         left = None
         for turn in range(self.rounds + 1):
             places = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "a", "key", F.coalesce("comp", "key").alias("comp"))
             lead = places.filter("a = key").select("bucket", F.col("comp").alias("main"))
             places = places.select("bucket", "band", "key", "comp").join(lead, "bucket")
-            outside = cut(places.filter("comp <> main"))
+            outside = stage(places.filter("comp <> main"))
             now = outside.count()
             if not now:
                 break
@@ -252,7 +288,7 @@ class NearClasses:
                 inside = places.filter("comp = main").join(outside.select("bucket").distinct(), "bucket", "left_semi")
                 again = inside.groupBy("bucket").agg(draw).select("bucket", "best.a")
                 found = self.verify(self.pairs(outside.join(again, "bucket").select("a", F.col("key").alias("b")).distinct(), seen), texts)
-            labels = joined_components(labels, cut(found))
+            labels = joined_components(labels, stage(found))
             left = now
             if last:
                 break
@@ -260,7 +296,9 @@ class NearClasses:
         named = of_key.groupBy("comp").agg(F.min("smallest").alias("class_id"), F.count("*").alias("texts"))
         linked = of_key.join(named.filter("texts > 1"), "comp").select("key", "comp", "class_id")
         own = of_key.join(linked.select("key"), "key", "left_anti").select("key", "comp", F.col("smallest").alias("class_id"))
-        return signed.select("id", "key").join(linked.unionByName(own), "key").select("id", "key", "comp", "class_id")
+        # a table of its own, so that the rows of a hot key can be split
+        known = stage(linked.unionByName(own))
+        return signed.select("id", "key").join(known, "key").select("id", "key", "comp", "class_id")
 
     def remaining(self, outside: DataFrame, places: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         """Links (a, b) of members outside their bucket's main component with members of other components.
@@ -333,10 +371,10 @@ class NearClasses:
 
     @property
     def _links(self):
-        candidates, words, link = self._candidates, self.words, self.link
+        candidates, words, link, weighted = self._candidates, self.words, self.link, self.weighted
 
         def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            shingles, out, done = Shingler(words), [], set()
+            (shingles, similar), out, done = _compared(words, weighted), [], set()
             sets = {k: shingles(t) for x in (left, right) for k, t in dict(zip(x["key"], x["text"], strict=True)).items()}
             keys_a, keys_b, comps = left["key"].tolist(), right["key"].tolist(), right["comp"].tolist()
             for i, at in candidates(left, right):
@@ -359,10 +397,10 @@ class NearClasses:
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked indeed."""
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        words, link = self.words, self.link
+        words, link, weighted = self.words, self.link, self.weighted
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles, last, of_last = Shingler(words), None, None
+            (shingles, similar), last, of_last = _compared(words, weighted), None, None
             for batch in batches:
                 keep = []
                 for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -374,15 +412,18 @@ class NearClasses:
         return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: tuple[int, int] = LINK, coordinates: int = COORDINATES, bands: int = BANDS, band_rows: int = BAND_ROWS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: id and class_id, the smallest id among the documents that links lead to."""
-    found = NearClasses(docs, id_col, text_col, words, link, coordinates, bands, band_rows, slack, rounds).classes()
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: tuple[int, int] = LINK, coordinates: int = COORDINATES, bands: int = BANDS, band_rows: int = BAND_ROWS, slack: float = SLACK, rounds: int = ROUNDS, weighted: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id and class_id, the smallest id among the documents that links lead to.
+
+    ``weighted``: every run of words weighs as much as it occurs, and similarity is the weighted Jaccard similarity.
+    """
+    found = NearClasses(docs, id_col, text_col, words, link, coordinates, bands, band_rows, slack, rounds, weighted).classes()
     return found.select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class one row of its smallest id stays."""
-    settings = {"words": WORDS, "link": LINK, "coordinates": COORDINATES, "bands": BANDS, "band_rows": BAND_ROWS, "slack": SLACK, "rounds": ROUNDS} | options
+    settings = {"words": WORDS, "link": LINK, "coordinates": COORDINATES, "bands": BANDS, "band_rows": BAND_ROWS, "slack": SLACK, "rounds": ROUNDS, "weighted": False} | options
     found = NearClasses(docs, id_col, text_col, **settings).classes()
     stays = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(F.min("key").alias("key"))
     key = fresh(docs, "text_key")

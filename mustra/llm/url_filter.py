@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mustra.llm.common import cut, stage
+from mustra.llm.common import stage
 
 DAMPING = 0.85
 STEPS = 20
@@ -90,13 +90,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     out = both.groupBy("kind", "host").agg(F.sum("links").alias("all"))
     shares = stage(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("part")))
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted").cast("double"), F.lit("distrust"), F.col("blocked").cast("double"))).alias("kind", "mass")).filter("mass > 0")
-    start = cut(start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")))
+    start = stage(start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")))
     scores = start
     for step in range(0 if shares.isEmpty() else steps):
         moved = scores.join(shares, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
         scores = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step % CUT_STEPS == CUT_STEPS - 1:
-            scores = cut(scores)
+            scores = stage(scores)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return scores.groupBy("host").agg(of("trust"), of("distrust"))
 
