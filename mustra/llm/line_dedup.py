@@ -14,7 +14,7 @@ aren't taken for boilerplate (whole copies are the near-duplicate operator's tas
 a line that recurs in enough other documents. All occurrences of a recurring template are dropped.
 
 Copies. The first and last ``ENDS`` tokens and the leaf of each line of a text are sketched by ``BANDS`` bands of
-``BAND_ROWS`` least hashes; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
+``BAND_ROWS`` hashes, each the nearest to a fixed point; a text's group is the smallest text with which it shares a band. That is one step, not the closure,
 so that chance links don't join everything in a large table: of texts with likeness J (of these features) a share of
 1 - (1 - J^4)^16 is linked (0.9999 at 0.82, 0.64 at 0.5, 0.03 at 0.2).
 
@@ -30,6 +30,7 @@ leaf's lines fall to the larger hash of the line; other columns pass through ``c
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
@@ -75,7 +76,9 @@ def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def copy_groups(lines: DataFrame) -> DataFrame:
     """key, group of the texts that share a band with another text; the others are groups of their own."""
-    least = lambda i: F.min(F.least(*(F.hash(F.lit(i), c) for c in ("leaf", "head", "tail"))))
+    # the feature next to a point by exclusive or; the points of a band lie in different quarters
+    points = [random.Random(i).getrandbits(62) | (i % BAND_ROWS) << 62 for i in range(BANDS * BAND_ROWS)]
+    least = lambda i: F.min(F.least(*(F.col(c).bitwiseXOR(F.lit(points[i] - (1 << 63))) for c in ("leaf", "head", "tail"))))
     sketch = lines.filter("tokens > 0").groupBy("key").agg(*(least(i).alias(f"h{i}") for i in range(BANDS * BAND_ROWS)))
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"h{b * BAND_ROWS + i}" for i in range(BAND_ROWS))) for b in range(BANDS)))
     bands = stage(sketch.select("key", F.xxhash64("key").alias("mark"), bands.alias("bands"))).select("key", "mark", F.explode("bands").alias("band"))
@@ -94,7 +97,7 @@ def _joined(fields: Column, sets: Callable[[int], list[Sequence[int]]], length:
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS, agreement: float = AGREEMENT) -> DataFrame:
-    """leaf, fields, template of the lines that may recur ``min_docs`` times.
+    """leaf, fields, template of the lines (of leaves of that many) that may recur ``min_docs`` times.
 
     In each leaf the most frequent line is a template, those that agree with it are matched, and so on with the rest until
     no line is left. Lines agree if they are equal outside of some ``spare`` fields, so they meet by hashes of the other
@@ -104,8 +107,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS, agreement: float = AGR
     parts = lambda m: [range(i * m // (spare(m) + 1), (i + 1) * m // (spare(m) + 1)) for i in range(spare(m) + 1)] if spare(m) else []
     masks = lambda m: list(combinations(range(m), m - spare(m))) if spare(m) else []
     shapes = lines.groupBy("leaf", "fields").agg(F.count("*").alias("n"))
-    enough = shapes.groupBy("leaf").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_docs)
-    shapes = stage(shapes.join(enough.select("leaf"), "leaf").withColumn("rank", F.struct("n", F.xxhash64("leaf", "fields").alias("id"))))
+    shapes = stage(shapes.withColumn("rank", F.struct("n", F.xxhash64("leaf", "fields").alias("id"))))
     size = F.size("fields")
     # lines that agree have one of spare + 1 parts in common; the others need no masks
     by_part = shapes.select("rank.id", F.explode(_joined(F.col("fields"), parts, size)).alias("part"))
@@ -137,6 +139,9 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int
     lines = stage(lines.filter("tokens > 0"))
     groups = copy_groups(lines)
     lines = lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields")
+    # most leaves hold one line; only those of min_docs and more are looked into
+    leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    lines = stage(lines.join(leaves, "leaf", "left_semi"))
     shapes = templates(lines, min_docs, agreement)
     held = stage(lines.join(shapes, ["leaf", "fields"]).select("key", "at", "template"))
     texts = held.select("template", "key").distinct()

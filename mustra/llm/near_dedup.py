@@ -390,9 +390,9 @@ class NearClasses:
     def texts(self, keys: DataFrame) -> DataFrame:
         """key, text of the nodes named."""
         text = text_or_empty(self.text_col)
-        rows = self.docs.select(_key(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi")
-        once = rows.groupBy("key").agg(F.first("text").alias("text"))
-        return stage(once)
+        # copies are combined before the shuffle, so that no task gets all rows of a hot key
+        once = self.docs.select(_key(text).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        return stage(once.join(keys, "key"))
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked indeed."""
