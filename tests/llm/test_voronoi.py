@@ -23,7 +23,7 @@ def test_clustered_vectors_by_small_cells_and_chunks(spark):
     rng = np.random.default_rng(4)
     centres = 4 * rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + 0.05 * rng.normal(size=8)).tolist()) for i in range(400)]
-    assert got(spark, rows, cell_queries=1, block_queries=2, chunk_rows=50) == brute(rows)
+    assert got(spark, rows, group_queries=1, block_queries=2, chunk_rows=50) == brute(rows)
     assert got(spark, rows) == brute(rows)
 
 
@@ -38,4 +38,35 @@ def test_hard_vectors(spark):
 def test_cells_are_pruned(spark):
     rng = np.random.default_rng(1)
     data = np.concatenate([[10, 0] + 0.01 * rng.normal(size=(50, 2)), [0, 10] + 0.01 * rng.normal(size=(50, 2))])
-    assert got(spark, list(zip(range(0, 5000, 50), data.tolist(), strict=True)), cell_queries=10) == brute(list(zip(range(0, 5000, 50), data.tolist(), strict=True)))
+    rows = list(zip(range(0, 5000, 50), data.tolist(), strict=True))
+    assert got(spark, rows, group_queries=10) == brute(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    join = voronoi.voronoi_join(frame, F.col("vec_id") % 50 == 0, group_queries=10)
+    groups = len(set(join.group.tolist()) - {-1})
+    assert groups >= 4 and not join.meet.all()
+    copies = join.copied().count()
+    assert copies <= 0.6 * groups * len(rows)  # the rows of the other cluster stay away
+
+
+def test_bounds_hold_for_every_pair():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(40, 4)) for c in 9 * rng.normal(size=(6, 4))])
+    pivots = x[rng.choice(len(x), 8, replace=False)]
+    of = ((x[:, None] - pivots) ** 2).sum(2).argmin(1)
+    far, norm = np.sqrt(((x - pivots[of]) ** 2).sum(1)), np.sqrt((x**2).sum(1))
+    most = lambda v: np.array([v[of == j].max() for j in range(8)])
+    near = [(int(i), j, float(far[i])) for j in range(8) for i in sorted(np.flatnonzero(of == j), key=lambda i: far[i])[:4]]
+    division = voronoi.Division(pivots, np.bincount(of, minlength=8), most(far), np.full(8, -np.inf), most(far), most(norm), near).raised(3)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    third = np.sort(scores, 1)[:, -3]
+    meet = division.meet()
+    assert all(division.floor[of[i]] <= third[i] for i in range(len(x))) and np.isfinite(division.floor).all() and not meet.all()
+    assert all(meet[of[i], of[j]] for i in range(len(x)) for j in range(len(x)) if scores[i, j] >= third[i])
+    assert set(division.groups(3)) == {0, 1, 2}
+
+
+def test_many_rows_by_the_default_plan(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(3000)] + [(i, [1.0] * 6) for i in range(3000, 4000)]
+    assert got(spark, rows) == brute(rows)
