@@ -93,10 +93,15 @@ WITH RECURSIVE cut AS (
     (SELECT arg_max({'rule': r.host || r.path, 'verdict': r.verdict}, length(r.host || r.path)) FROM rules r
      WHERE (parts.host = r.host OR ends_with(parts.host, '.' || r.host)) AND starts_with(parts.path, r.path)) AS found
   FROM parts
+), found_links AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*([^"''\s>]+)', 1)) AS link FROM judged
 ), links AS (
-  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM judged
+  SELECT src, CASE WHEN regexp_matches(link, '(?i)^(?:[a-z][a-z0-9+.-]*:)?//')
+      THEN translate(regexp_extract(link, '(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN '' ELSE src END AS dst
+  FROM found_links
 ), edges AS (
-  SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+  SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> '' GROUP BY src, dst
 ), directed AS (
   SELECT 'trust' AS kind, src AS host, dst AS onto, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges
 ), shares AS (

@@ -2,13 +2,15 @@
 
 A rule is a host and the start of a path; it fits that host and all its subdomains, and the longest that fits wins.
 Pages that a rule allows make their host a trusted seed, pages that a rule blocks a blocked one, each page with mass
-1. Trust is the personalised PageRank from the trusted seeds along host edges (links between pages, weighed by their
-number, links within a host left out); distrust is the same from the blocked seeds along reversed edges, so it reaches
-those who link to blocked hosts. A page that no rule decides is blocked if distrust makes more than ``threshold``
-of what its host has of both, else allowed.
+1. Trust is the personalised PageRank from the trusted seeds along host edges, which are the links of pages weighed by
+their number; a relative link leads to the page's own host, so a host keeps the part of its score that its own links hold. Distrust
+is the same from the blocked seeds along reversed edges, so it reaches those who link to blocked hosts. A page that no
+rule decides is blocked if distrust makes more than ``threshold`` of what its host has of both, else allowed. So where all
+links stay within their hosts, a host's own ruled pages decide on its others: by more blocked than allowed ones.
 
 Scale. Links are aggregated per pair of hosts before the shuffle, scores per host after each step; nothing of the graph
-comes to the driver. Every ``CUT_STEPS`` steps the lineage is cut in the shared checkpoint folder.
+comes to the driver. A step's rows are put into as many partitions as the edges need (``PART_EDGES``), so a small graph isn't
+shuffled at all. Every ``CUT_STEPS`` steps the scores are written to the shared folder, which cuts the lineage.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; a null html
 has no links; an empty table gives no rows; repeated rows give a row each and count each as a page; other columns
@@ -28,9 +30,12 @@ from mustra.llm.common import stage
 
 DAMPING = 0.85
 STEPS = 20
-CUT_STEPS = 4
+CUT_STEPS = 5
+PART_EDGES = 200_000
 THRESHOLD = 0.5
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_ABROAD = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)"
+_SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
 class Rule(NamedTuple):
@@ -77,9 +82,10 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst, links: how many links lead from pages of one host to another host."""
-    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), 1)).alias("dst"))
-    links = links.select("src", lower_ascii(F.col("dst")).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")
+    """src, dst, links: how many links lead from pages of one host to another or the same host; other schemes than those with ``//`` lead to none."""
+    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), 1)).alias("link"))
+    dst = F.when(F.col("link").rlike(_ABROAD), lower_ascii(F.regexp_extract("link", _ABROAD, 1))).when(F.col("link").rlike(_SCHEME), "").otherwise(F.col("src"))
+    links = links.select("src", dst.alias("dst")).filter("src <> '' AND dst <> ''")
     return links.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
@@ -91,11 +97,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     shares = stage(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("part")))
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted").cast("double"), F.lit("distrust"), F.col("blocked").cast("double"))).alias("kind", "mass")).filter("mass > 0")
     start = stage(start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score")))
+    parts = -(-(shares.count() + start.count()) // PART_EDGES) or 1
     scores = start
-    for step in range(0 if shares.isEmpty() else steps):
+    for step in range(1, steps + 1):
         moved = scores.join(shares, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        scores = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % CUT_STEPS == CUT_STEPS - 1:
+        scores = moved.unionByName(start).coalesce(parts).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        if step % CUT_STEPS == 0:
             scores = stage(scores)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return scores.groupBy("host").agg(of("trust"), of("distrust"))

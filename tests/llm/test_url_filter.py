@@ -40,7 +40,7 @@ def test_hard_urls(spark):
 
 
 def test_propagation_equals_plain_iteration(spark):
-    links = {("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 1, ("d", "bad"): 3, ("e", "d"): 1, ("b", "bad"): 1}
+    links = {("a", "a"): 5, ("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 1, ("d", "bad"): 3, ("e", "d"): 1, ("b", "bad"): 1}
     edges = spark.createDataFrame([(*k, n) for k, n in links.items()], "src string, dst string, links long")
     seeds = spark.createDataFrame([("a", 3, 0), ("bad", 0, 5)], "host string, trusted long, blocked long")
     got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(edges, seeds).collect()}
@@ -69,3 +69,14 @@ def test_links_decide_where_no_rule_does(spark):
     assert sorted(map(tuple, judged)) == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.SQL['op8_url_filter']})").fetchall())
     got = {r.page_id: r.verdict for r in judged}
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_steps_change_verdicts_and_own_links_hold_mass(spark):
+    own, to = '<a href="/x">', '<a href="http://{}/">'
+    rows = [(1, "http://a.com/de/", to.format("b.com") + '<a href="mailto:x@y.z">'), (2, "http://a.com/fr/", own), (3, "http://a.com/fr/", own), (4, "http://a.com/", None), (5, "http://c.net/", to.format("a.com") * 3 + own), (6, "http://b.com/", own)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.src, r.dst): r.links for r in url_filter.host_edges(pages).collect()}
+    assert edges == {("a.com", "b.com"): 1, ("a.com", "a.com"): 2, ("c.net", "a.com"): 3, ("c.net", "c.net"): 1, ("b.com", "b.com"): 1}
+    none, all_ = ({r.page_id: r for r in url_filter.judge(pages, queries.RULES, steps=n).collect()} for n in (0, url_filter.STEPS))
+    assert none[5].verdict == "allow" and all_[5].verdict == "block"  # distrust reaches who links to a host with blocked pages
+    assert abs(none[4].trust - 0.3) < 1e-9 and none[4].trust < all_[4].trust and all_[4].verdict == "allow" == all_[6].verdict
