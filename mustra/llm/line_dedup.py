@@ -47,6 +47,8 @@ MIN_TOKENS = LEADING + 1
 ENDS = 3
 BANDS = 16
 BAND_ROWS = 4
+#: Lines with a digit or white space other than blanks (and those with blanks that don't stand alone between tokens).
+_REWRITTEN = r"[0-9\t\r\f\x0B]"
 
 
 def text_key(text: Column) -> Column:
@@ -60,18 +62,22 @@ def _lines(text: Column) -> Column:
 def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per line: key (of its text), at (position from 0), tokens (how many), leaf, fields (hashes), head and tail."""
     text = text_or_empty(text_col)
-    rows = docs.select(text_key(text).alias("key"), F.posexplode(_lines(text)).alias("at", "line"))
-    # one expression per projection: none is evaluated twice
-    rows = rows.select("key", "at", F.array_remove(F.split("line", r"\s+"), "").alias("words"), F.col("line").rlike("[0-9]").alias("variable"))
-    masked = F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
-    rows = rows.select("key", "at", F.when(F.col("variable"), masked).otherwise(F.col("words")).alias("words"))
-    words, n = F.col("words"), F.size("words")
+    # the key before the lines, else it is computed for each of them
+    rows = docs.select(text_key(text).alias("key"), text.alias("text")).select("key", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
+    # few lines need their white space and variable fields rewritten; the rest is never split into words
+    plain = F.array_join(F.transform(F.array_remove(F.split("line", r"\s+"), ""), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w)), " ")
+    line = F.col("line")
+    odd = line.rlike(_REWRITTEN) | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    rows = rows.select("key", "at", F.when(odd, plain).otherwise(F.col("line")).alias("line"))
+    rows = rows.select("key", "at", "line", F.when(F.col("line") == "", 0).otherwise(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("tokens"))
+    n = F.col("tokens")
     rest = F.greatest(n - LEADING, F.lit(0))
     m = F.least(F.lit(FIELDS), rest)
     cuts = lambda j: F.floor(j * rest / m).cast("int")
-    fields = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.hash(F.slice(words, cuts(j) + LEADING + 1, cuts(j + 1) - cuts(j))))).otherwise(F.array().cast("array<int>"))
-    tail = F.slice(words, F.greatest(n - ENDS, F.lit(0)) + 1, ENDS)
-    return rows.select("key", "at", n.alias("tokens"), F.xxhash64(n, F.slice(words, 1, LEADING)).alias("leaf"), fields.alias("fields"), F.xxhash64(F.lit(0), F.slice(words, 1, ENDS)).alias("head"), F.xxhash64(F.lit(1), tail).alias("tail"))
+    part = lambda text, count: F.call_function("substring_index", text, F.lit(" "), count)
+    field = lambda j: F.hash(part(part(line, cuts(j + 1) + LEADING), cuts(j) - cuts(j + 1)))
+    fields = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), field)).otherwise(F.array().cast("array<int>"))
+    return rows.select("key", "at", "tokens", F.xxhash64(n, part(line, F.lit(LEADING))).alias("leaf"), fields.alias("fields"), F.xxhash64(F.lit(0), part(line, F.lit(ENDS))).alias("head"), F.xxhash64(F.lit(1), part(line, F.lit(-ENDS))).alias("tail"))
 
 
 def copy_groups(lines: DataFrame) -> DataFrame:
