@@ -13,7 +13,7 @@ from mustra.operators import profile as profiles
 from mustra.operators import search as searches
 from mustra.plans.planner import AUTO, plan
 from mustra.plans.resolve import LENIENT, ResolvedQuery, resolve
-from mustra.request import QueryRequest
+from mustra.request import QueryRequest, model_context
 from mustra.sources.facts import load_index, save_index
 
 
@@ -58,8 +58,21 @@ class CohortEngine:
         return cls(model, facts, persons, words, **options)
 
     def save(self, path: str) -> None:
+        """Writes the index; ``path`` may be the one that this engine was loaded from."""
         save_index(self.facts, self.persons, path)
 
+    def person_ids(self, guids: DataFrame) -> DataFrame:
+        """person_id, person_guid of the persons that ``guids`` (person_guid) names; unknown ones are left out."""
+        return self.persons.join(guids.select("person_guid"), "person_guid", "left_semi").select("person_id", "person_guid")
+
+    def person_guids(self, ids: DataFrame) -> DataFrame:
+        """person_id, person_guid of the persons that ``ids`` (person_id) names; unknown ones are left out."""
+        return self.persons.join(ids.select("person_id"), "person_id", "left_semi").select("person_id", "person_guid")
+
+    def allowed_values(self, most: int = 200) -> dict[str, list[str]]:
+        """Each attribute's values in order, at most ``most`` of them, for the instructions of a model that writes requests."""
+        return {a: [r.value for r in self.values(a).limit(most).collect()] for a in self.attributes()}
+
     def health(self) -> dict:
         return {"status": "ok"}
 
@@ -87,8 +100,7 @@ class CohortEngine:
         if not count_only:
             patients = self.persons.join(ids, "person_id", "left_semi").orderBy("person_id").select("person_id", "person_guid")
         if profile:
-            counts = profiles.profile_attributes(self.facts, ids, self.model).unionByName(profiles.profile_events(self.facts, ids, resolved.included))
-            found = profiles.ordered(counts, self.model)
+            found = profiles.ordered(profiles.profile_both(self.facts, ids, self.model, resolved.included), self.model)
         return CohortResult(ids, profiles.cohort_count(ids), patients, found)
 
     def search(self, event_type: str, keyword: str, mode: str = searches.PREFIX, limit: int = searches.PAGE, offset: int = 0) -> DataFrame:
@@ -102,9 +114,15 @@ class CohortEngine:
     def stats(self) -> DataFrame:
         return profiles.index_stats(self.facts, self.persons)
 
-    def ask(self, messages: Sequence[dict], planner: Callable[[Sequence[dict], CohortEngine], QueryRequest | None]) -> dict:
-        """A message that answers ``messages``: ``planner`` makes the request of them, or None if it has none."""
+    def ask(self, messages: Sequence[dict], planner: Callable[[Sequence[dict], CohortEngine], QueryRequest | None], answer: Callable[[list[dict]], str] | None = None) -> dict:
+        """A message that answers ``messages``: ``planner`` makes the request of them, or None if it has none.
+
+        ``answer`` words the content: it gets the conversation with the result behind it, as ``model_context`` gives it.
+        """
         request = planner(messages, self)
-        if request is None:
-            return {"role": "agent", "content": "", "proposedQuery": None, "queryResults": None}
-        return {"role": "agent", "content": "", "proposedQuery": request.to_dict(), "queryResults": self.query(request, count_only=True, profile=True).to_dict()}
+        out: dict = {"role": "agent", "content": "", "proposedQuery": None, "queryResults": None}
+        if request is not None:
+            out |= {"proposedQuery": request.to_dict(), "queryResults": self.query(request, count_only=True, profile=True).to_dict()}
+        if answer is not None:
+            out["content"] = answer(model_context([*messages, out]))
+        return out

@@ -5,6 +5,8 @@ A bitmap set is a table (bucket, bitmap); the counts agree with countDistinct fo
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,16 @@ def and_bitmaps(*sets: DataFrame) -> DataFrame:
         both = both.unionByName(s.select("bucket", "bitmap", F.lit(i).alias("of")))
     met = both.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.countDistinct("of").alias("sets"))
     return met.filter(F.col("sets") == len(sets)).select("bucket", "bitmap")
+
+
+@F.pandas_udf("binary")
+def _without(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Spark has no negation of bitmaps; blocks of 4096 bytes go through Arrow."""
+    cleared = lambda a, b: a if b is None else (np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes()
+    return pd.Series([cleared(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+
+
+def subtract_bitmaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The ids of ``left`` that ``right`` lacks; both hold a bucket once."""
+    both = left.select("bucket", F.col("bitmap").alias("own")).join(right.select("bucket", F.col("bitmap").alias("other")), "bucket", "left")
+    return both.select("bucket", _without("own", "other").alias("bitmap"))

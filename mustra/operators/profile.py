@@ -32,6 +32,15 @@ def profile_events(facts: DataFrame, ids: DataFrame, included: Sequence[Term]) -
     return _counts(facts.filter(any_term(included) if included else F.lit(False)), ids, "event")
 
 
+def profile_both(facts: DataFrame, ids: DataFrame, model: CohortModel, included: Sequence[Term]) -> DataFrame:
+    """The profiles of attributes and of the codes named, from one reading of the facts."""
+    of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
+    named = any_term(included) if included else F.lit(False)
+    held = facts.filter(of_model | named).select("person_id", "attr", "value").join(ids, "person_id", "left_semi")
+    counts = held.groupBy("attr", "value").agg(F.countDistinct("person_id").alias("count"))
+    return counts.select(F.when(of_model, "attribute").otherwise("event").alias("kind"), F.col("attr").alias("name"), F.col("value").alias("key"), "count")
+
+
 def ordered(profile: DataFrame, model: CohortModel) -> DataFrame:
     """Attributes in the model's order, then event types by name; keys by count, largest first, then by key."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, model.attributes)).cast("array<string>"), F.col("name")), F.lit(0))
@@ -56,7 +65,7 @@ def month_cardinality(facts: DataFrame) -> DataFrame:
 
 def index_stats(facts: DataFrame, persons: DataFrame) -> DataFrame:
     """patient_count, and fact_count: distinct (value, person) and distinct (value, month, person) together."""
-    values = facts.select("attr", "value", "person_id").distinct().agg(F.count("*").alias("n"))
-    months = facts.filter("yyyymm IS NOT NULL").select("attr", "value", "yyyymm", "person_id").distinct().agg(F.count("*").alias("n"))
-    total = values.unionByName(months).agg(F.sum("n").alias("fact_count"))
+    # the months of a person's value are few, so one shuffle by person and value counts both
+    each = facts.groupBy("attr", "value", "person_id").agg(F.size(F.collect_set("yyyymm")).alias("months"))
+    total = each.agg(F.coalesce(F.sum(F.lit(1) + F.col("months")), F.lit(0)).cast("long").alias("fact_count"))
     return total.select(persons.agg(F.count("*").alias("n")).scalar().alias("patient_count"), "fact_count")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.functions.columns import month_list, year_of
+from mustra.engine import CohortEngine
+from mustra.functions.columns import month_list, normalised_code, year_of, yyyymm
 from mustra.operators import bitmap, profile, search, setops
 from mustra.plans.planner import JOINS, ONE_PASS
 from mustra.plans.resolve import STRICT
 from mustra.request import QueryRequest
+from mustra.sources.crosswalk import read_crosswalk
 from mustra.sources.datasets import ORDERS, ORDERS_CROSSWALK, clicks_engine, corpus_engine, order_facts, orders_engine, table
-from mustra.sources.facts import facts_of
+from mustra.sources.facts import append_to_index, facts_of, remove_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,12 +150,12 @@ add("profile_attributes", _profile_attributes, f"SELECT 'attribute' AS kind, {_C
 add("profile_events_timeless", _profile_events, f"SELECT 'event' AS kind, {_COUNTS.format(who=PROFILED_SQL, which=_EVENTS)}")
 add("profile_nested", _profile_nested, f"""SELECT 'attribute' AS kind, name, count(*) AS keys, arg_min(key, (-count, key)) AS first_key, max(count) AS first_count
     FROM (SELECT {_COUNTS.format(who=who(IN_BUILDING), which=_ATTRS)}) GROUP BY name""")
-add("index_stats", lambda spark, sf_dir: orders_engine(spark, sf_dir).stats(), """SELECT (SELECT count(*) FROM customer) AS patient_count,
+add("index_stats", lambda spark, sf_dir: orders_engine(spark, sf_dir, once=True).stats(), """SELECT (SELECT count(*) FROM customer) AS patient_count,
     (SELECT count(*) FROM (SELECT DISTINCT attr, value, person_id FROM facts)) + (SELECT count(*) FROM (SELECT DISTINCT attr, value, yyyymm, person_id FROM facts WHERE yyyymm IS NOT NULL)) AS fact_count""")
-add("posting_cardinality", lambda spark, sf_dir: profile.value_cardinality(order_facts(spark, sf_dir)), "SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM facts GROUP BY attr, value")
-add("month_cardinality", lambda spark, sf_dir: profile.month_cardinality(order_facts(spark, sf_dir)), "SELECT attr, value, yyyymm, count(DISTINCT person_id) AS n_persons FROM facts WHERE yyyymm IS NOT NULL GROUP BY attr, value, yyyymm")
-add("facts_value_postings", lambda spark, sf_dir: order_facts(spark, sf_dir).select("attr", "value", "person_id").distinct(), "SELECT DISTINCT attr, value, person_id FROM facts")
-add("facts_month_postings", lambda spark, sf_dir: order_facts(spark, sf_dir).filter("yyyymm IS NOT NULL").select("attr", "value", "yyyymm", "person_id").distinct(), "SELECT DISTINCT attr, value, yyyymm, person_id FROM facts WHERE yyyymm IS NOT NULL")
+add("posting_cardinality", lambda spark, sf_dir: profile.value_cardinality(order_facts(spark, sf_dir, once=True)), "SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM facts GROUP BY attr, value")
+add("month_cardinality", lambda spark, sf_dir: profile.month_cardinality(order_facts(spark, sf_dir, once=True)), "SELECT attr, value, yyyymm, count(DISTINCT person_id) AS n_persons FROM facts WHERE yyyymm IS NOT NULL GROUP BY attr, value, yyyymm")
+add("facts_value_postings", lambda spark, sf_dir: order_facts(spark, sf_dir, once=True).select("attr", "value", "person_id").distinct(), "SELECT DISTINCT attr, value, person_id FROM facts")
+add("facts_month_postings", lambda spark, sf_dir: order_facts(spark, sf_dir, once=True).filter("yyyymm IS NOT NULL").select("attr", "value", "yyyymm", "person_id").distinct(), "SELECT DISTINCT attr, value, yyyymm, person_id FROM facts WHERE yyyymm IS NOT NULL")
 
 
 def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +198,9 @@ overload("set_values_union", lambda f: setops.holders(f, [B1, B2, ASIA]), who(_e
 overload("set_months_union", lambda f: setops.holders(f, [MAY, JUNE]), who(_either(MAY, JUNE)))
 _bits = lambda f, item: bitmap.to_bitmaps(setops.holders(f, [item]))
 overload("bitmap_and", lambda f: bitmap.count_bitmaps(bitmap.and_bitmaps(_bits(f, BUILDING), _bits(f, ASIA))), f"SELECT count(*) AS count FROM ({who(_in(BUILDING), _in(ASIA))})")
+overload("bitmap_and_not", lambda f: bitmap.count_bitmaps(bitmap.subtract_bitmaps(_bits(f, BUILDING), _bits(f, ASIA))), f"SELECT count(*) AS count FROM ({who(_in(BUILDING), _not(ASIA))})")
 overload("bitmap_or", lambda f: bitmap.count_bitmaps(bitmap.or_bitmaps(_bits(f, BUILDING), _bits(f, ASIA))), f"SELECT count(*) AS count FROM ({who(_either(BUILDING, ASIA))})")
-overload("bitmap_count_by_key", lambda f: bitmap.count_bitmaps(bitmap.to_bitmaps(f, "attr", "value"), "attr", "value"), "SELECT attr, value, CAST(count(DISTINCT person_id) AS BIGINT) AS count FROM facts GROUP BY attr, value")
+add("bitmap_count_by_key", lambda spark, sf_dir: bitmap.count_bitmaps(bitmap.to_bitmaps(order_facts(spark, sf_dir, once=True), "attr", "value"), "attr", "value"), "SELECT attr, value, CAST(count(DISTINCT person_id) AS BIGINT) AS count FROM facts GROUP BY attr, value")
 
 
 def searched(name: str, event_type: str, keyword: str, mode: str, limit: int = 20, offset: int = 0) -> None:
@@ -232,3 +237,60 @@ add("persons_guid_lookup_all", lambda spark, sf_dir: orders_engine(spark, sf_dir
 add("clickstream_any_of", lambda spark, sf_dir: clicks_engine(spark, sf_dir).cohort(QueryRequest.of(event_any=[("event_type", "purch*", 202401, 202401), ("event_type", "view", 202402, 202403)], event_exclude=[("event_type", "err*", 202402, 202412)])), "WITH e AS (SELECT user_id, event_type, year(ts) * 100 + month(ts) AS m FROM events) SELECT DISTINCT user_id AS person_id FROM e WHERE (starts_with(event_type, 'purch') AND m = 202401 OR event_type = 'view' AND m BETWEEN 202402 AND 202403) AND user_id NOT IN (SELECT user_id FROM e WHERE starts_with(event_type, 'err') AND m BETWEEN 202402 AND 202412)")
 add("clickstream_no_attributes", lambda spark, sf_dir: profile.cohort_count(clicks_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("gender", "Male")], event_all=[("event_type", "click")]))), "SELECT CAST(0 AS BIGINT) AS count")
 add("corpus_labels", lambda spark, sf_dir: corpus_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("lang", "en"), ("quality", "1")], attr_exclude=[("toxic", "1")])), "WITH l AS (SELECT * FROM labels) SELECT DISTINCT doc_id AS person_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM l WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)")
+
+
+def _place(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one (or the warehouse), gone when the driver ends."""
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, path)
+    return path
+
+
+def _written(spark: SparkSession, engine: CohortEngine, use: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``use`` gives for the path of ``engine``'s saved index."""
+    path = _place(spark, "index")
+    engine.save(path)
+    return use(path)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of an index that was saved, loaded, and saved over itself."""
+
+    def use(path: str) -> DataFrame:
+        CohortEngine.load(spark, ORDERS, path).save(path)
+        return CohortEngine.load(spark, ORDERS, path).facts.select("person_id", "attr", "value", "yyyymm")
+
+    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who holds a code of the index and one that came with facts appended to it."""
+    clicks = facts_of(table(spark, sf_dir, "events"), F.col("user_id"), "priority", F.concat(F.lit("saw-"), F.col("event_type")), yyyymm(F.col("ts")))
+
+    def use(path: str) -> DataFrame:
+        append_to_index(clicks.distinct(), path)
+        return CohortEngine.load(spark, ORDERS, path).cohort(QueryRequest.of(attr_all=[BUILDING], event_all=[("priority", "saw-purchase")]))
+
+    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, orders_engine(spark, sf_dir, once=True), lambda path: CohortEngine.load(spark, ORDERS, path).words)
+
+
+def _crosswalk_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a header behind an empty line, of nations and their regions, read back."""
+    pairs = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = pairs.agg(F.array_sort(F.collect_list(F.concat(F.lit(' "'), "n_name", F.lit('"\t,'), "r_name", F.lit(" ")))).alias("lines"))
+    path = _place(spark, "walk")
+    lines.select(F.concat(F.lit("\nRXNORM_Code,target\r\n"), F.array_join("lines", "\n")).alias("value")).coalesce(1).write.text(path)
+    return read_crosswalk(spark, path).select("source", "target")
+
+
+add("index_round_trip", _round_trip, "SELECT DISTINCT person_id, attr, value, yyyymm FROM facts")
+add("append_then_query", _appended, who(_in(BUILDING), "IN (SELECT user_id FROM events WHERE event_type = 'purchase')"))
+add("index_vocabulary", _vocabulary, "SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM facts GROUP BY attr, value")
+add("crosswalk_file", _crosswalk_file, "SELECT n_name AS source, r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey")
+add("guids_of_cohort", lambda spark, sf_dir: (e := orders_engine(spark, sf_dir)).person_guids(e.cohort(QueryRequest.of(attr_all=[BUILDING]))), f"SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE c_custkey {IN_BUILDING}")
+add("persons_of_guids", lambda spark, sf_dir: orders_engine(spark, sf_dir).person_ids(table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("person_guid"))), "SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE c_mktsegment = 'BUILDING'")
+add("code_normaliser", lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", normalised_code(F.col("p_type")).alias("code")), "SELECT p_partkey, regexp_replace(p_type, '[xX]', '*', 'g') AS code FROM part")

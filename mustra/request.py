@@ -159,3 +159,17 @@ def json_schema(model: CohortModel) -> dict:
     event = {"type": "object", "required": ["attr", "value"], "properties": {"attr": {"type": "string", "enum": list(model.event_types)}, "value": {"type": "string", "description": "a code; a trailing * stands for any rest"}, "startYYYYMM": month, "endYYYYMM": month}}
     lists = lambda item: {"type": "object", "properties": {k: {"type": "array", "items": item} for k in ("allOf", "anyOf", "exclude")}}
     return {"type": "object", "properties": {"attributes": lists(attr), "events": lists(event)}}
+
+
+#: What a model calls the roles of messages; others aren't shown to it.
+MODEL_ROLES = {"user": "user", "agent": "assistant", "system": "system"}
+
+
+def model_context(messages: Iterable[Mapping]) -> list[dict]:
+    """Messages as role and text for a model: content first, then the proposed query and its results as JSON, under their names."""
+    out = []
+    for message in messages:
+        if message.get("role") in MODEL_ROLES:
+            shown = [f"{key}:\n{json.dumps(message[key], indent=2, sort_keys=True, ensure_ascii=False)}" for key in ("proposedQuery", "queryResults") if message.get(key) is not None]
+            out.append({"role": MODEL_ROLES[message["role"]], "text": "\n\n".join(filter(None, [message.get("content"), *shown]))})
+    return out

@@ -21,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_facts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """``once``: line items are joined once and give all their facts, for those who read every fact; else each attribute
+    is a branch of its own, which filters on it and its values can remove or reach down to the scan."""
     read = lambda name: table(spark, sf_dir, name)
     person, month = F.col("c_custkey"), yyyymm(F.col("o_orderdate"))
     customer, orders = read("customer"), read("orders")
@@ -29,15 +31,21 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = nation.join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     items = read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
     buyer = F.col("o_custkey")
+    if once:
+        both = F.explode(F.array(F.struct(F.lit("brand").alias("attr"), F.col("p_brand").alias("value")), F.struct(F.lit("ptype").alias("attr"), F.col("p_type").alias("value"))))
+        bought = items.select(buyer.cast("long").alias("person_id"), month.alias("yyyymm"), both.alias("fact")).select("person_id", "fact.attr", "fact.value", "yyyymm")
+        of_items = [bought.filter("person_id IS NOT NULL AND value IS NOT NULL")]
+    else:
+        of_items = [facts_of(items, buyer, "brand", F.col("p_brand"), month), facts_of(items, buyer, "ptype", F.col("p_type"), month)]
     return union([
         traits(customer, person, {"segment": F.col("c_mktsegment")}), traits(nation, person, {"nation": F.col("n_name")}), traits(region, person, {"region": F.col("r_name")}),
-        facts_of(items, buyer, "brand", F.col("p_brand"), month), facts_of(items, buyer, "ptype", F.col("p_type"), month), facts_of(orders, buyer, "priority", F.col("o_orderpriority"), month),
+        *of_items, facts_of(orders, buyer, "priority", F.col("o_orderpriority"), month),
     ])
 
 
-def orders_engine(spark: SparkSession, sf_dir: str, **options) -> CohortEngine:
+def orders_engine(spark: SparkSession, sf_dir: str, once: bool = False, **options) -> CohortEngine:
     persons = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("person_id"), F.col("c_name").alias("person_guid"))
-    return CohortEngine(ORDERS, order_facts(spark, sf_dir), persons, crosswalk=crosswalk_of(spark, ORDERS_CROSSWALK), **options)
+    return CohortEngine(ORDERS, order_facts(spark, sf_dir, once), persons, crosswalk=crosswalk_of(spark, ORDERS_CROSSWALK), **options)
 
 
 def clicks_engine(spark: SparkSession, sf_dir: str, **options) -> CohortEngine:

@@ -6,14 +6,19 @@ per attribute with a literal ``attr``, so a filter on ``attr`` removes whole bra
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 FACTS = "person_id long, attr string, value string, yyyymm int"
+WORDS = "attr string, value string, n_persons long"
+PERSONS = "person_id long, person_guid string"
+META = "version int, folder string, number long"
 
 
 class IndexFormatError(ValueError):
@@ -40,23 +45,74 @@ def vocabulary(facts: DataFrame) -> DataFrame:
     return facts.groupBy("attr", "value").agg(F.countDistinct("person_id").alias("n_persons"))
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any store that Spark knows, as long as the session lives."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _saves(spark: SparkSession, path: str) -> list[Row]:
+    """The index's saves, the newest first."""
+    try:
+        return spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.col("number").desc_nulls_last()).collect()
+    except AnalysisException as e:
+        raise IndexFormatError(f"{path}: no index") from e
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the newest save."""
+    saves = _saves(spark, path)
+    if not saves or saves[0].version != FORMAT_VERSION or saves[0].folder is None:
+        raise IndexFormatError(f"{path}: version {saves[0].version if saves else None}, not {FORMAT_VERSION}")
+    return f"{path}/{saves[0].folder}"
+
+
 def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
-    """Distinct facts in a folder per ``attr``, sorted by value within files, with vocabulary, persons and meta data."""
+    """Distinct facts in a folder per ``attr``, sorted by value within files, with vocabulary and persons.
+
+    They go to a folder of their own, and only then a row of ``meta`` names it; so an index may be saved over itself, and one that
+    isn't written to the end is never read. The save before stays for those who still read it, older ones go.
+    """
+    spark = facts.sparkSession
+    try:
+        saves = _saves(spark, path)
+    except IndexFormatError:
+        saves = []
+    folder = f"data-{uuid.uuid4().hex}"
     distinct = facts.select("person_id", "attr", "value", "yyyymm").distinct()
     # range partitioning by value keeps a code's facts in few files and splits attributes of any size
     dealt = distinct.repartitionByRange(F.col("attr"), F.col("value"), F.col("yyyymm"), F.col("person_id")).sortWithinPartitions("attr", "value", "yyyymm")
-    dealt.write.mode("overwrite").partitionBy("attr").parquet(f"{path}/facts")
-    spark = facts.sparkSession
-    written = spark.read.schema(FACTS).parquet(f"{path}/facts")
-    vocabulary(written).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    persons.select("person_id", "person_guid").write.mode("overwrite").parquet(f"{path}/persons")
-    spark.createDataFrame([(FORMAT_VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    dealt.write.partitionBy("attr").parquet(f"{path}/{folder}/facts")
+    written = spark.read.schema(FACTS).parquet(f"{path}/{folder}/facts")
+    vocabulary(written).write.parquet(f"{path}/{folder}/vocabulary")
+    persons.select("person_id", "person_guid").write.parquet(f"{path}/{folder}/persons")
+    number = max((s.number or 0 for s in saves), default=0) + 1
+    spark.createDataFrame([(FORMAT_VERSION, folder, number)], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    for old in saves[1:]:
+        if old.folder:
+            remove_folder(spark, f"{path}/{old.folder}")
+
+
+def append_to_index(facts: DataFrame, path: str) -> None:
+    """Facts behind those of a saved index, their new codes in the vocabulary first (with a null count of persons).
+
+    Facts that are there already may repeat; queries count distinct persons.
+    """
+    folder = current_folder(facts.sparkSession, path)
+    known = facts.sparkSession.read.parquet(f"{folder}/vocabulary").select("attr", "value")
+    new = facts.select("attr", "value").distinct().join(known, ["attr", "value"], "left_anti")
+    new.withColumn("n_persons", F.lit(None).cast("long")).write.mode("append").parquet(f"{folder}/vocabulary")
+    facts.select("person_id", "attr", "value", "yyyymm").write.mode("append").partitionBy("attr").parquet(f"{folder}/facts")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """facts, persons and vocabulary of a saved index."""
-    version = spark.read.schema("version int").parquet(f"{path}/meta").first()
-    if version is None or version.version != FORMAT_VERSION:
-        raise IndexFormatError(f"{path}: version {version and version.version}, not {FORMAT_VERSION}")
-    facts = spark.read.schema(FACTS).parquet(f"{path}/facts")
-    return facts, spark.read.parquet(f"{path}/persons"), spark.read.parquet(f"{path}/vocabulary")
+    folder = current_folder(spark, path)
+    try:
+        facts = spark.read.schema(FACTS).parquet(f"{folder}/facts")
+        return facts, spark.read.schema(PERSONS).parquet(f"{folder}/persons"), spark.read.schema(WORDS).parquet(f"{folder}/vocabulary")
+    except AnalysisException as e:
+        raise IndexFormatError(f"{path}: a part is missing") from e

@@ -11,9 +11,10 @@ from mustra.plans.planner import JOINS, ONE_PASS
 from mustra.plans.resolve import LENIENT, STRICT
 from mustra.request import QueryRequest
 from mustra.sources.crosswalk import crosswalk_of, read_crosswalk
-from mustra.sources.facts import FACTS, IndexFormatError, load_index
+from mustra.sources.facts import FACTS, IndexFormatError, append_to_index, load_index
 
 MODEL = CohortModel(("sex", "state"), ("dx", "rx"), "rx")
+FACT_COLUMNS = ("person_id", "attr", "value", "yyyymm")
 WALK = {"old": ["r1", "r2"], "gone": ["zz"]}
 
 
@@ -157,6 +158,57 @@ def test_index_round_trip(engine, spark, tmp_path):
         load_index(spark, path)
 
 
+def test_an_index_is_saved_over_itself(engine, spark, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(IndexFormatError):
+        load_index(spark, path)
+    engine.save(path)
+    before = sorted(map(tuple, load_index(spark, path)[0].select(*FACT_COLUMNS).collect()), key=repr)
+    loaded = CohortEngine.load(spark, MODEL, path)
+    for _ in range(3):
+        CohortEngine.load(spark, MODEL, path).save(path)
+        assert sorted(map(tuple, load_index(spark, path)[0].select(*FACT_COLUMNS).collect()), key=repr) == before
+        assert len(list((tmp_path / "index").glob("data-*"))) == 2
+    CohortEngine.load(spark, MODEL, path).save(str(tmp_path / "other"))
+    (tmp_path / "other" / "meta").rename(tmp_path / "other" / "half")
+    with pytest.raises(IndexFormatError):
+        load_index(spark, str(tmp_path / "other"))
+    assert loaded.model is MODEL
+
+
+def test_appended_codes_are_found(engine, spark, tmp_path):
+    path = str(tmp_path / "index")
+    engine.save(path)
+    person = engine.facts.filter("attr = 'sex' AND value = 'F'").first().person_id
+    append_to_index(spark.createDataFrame([(person, "dx", "brandnew", 202101)], "person_id long, attr string, value string, yyyymm int"), path)
+    loaded = CohortEngine.load(spark, MODEL, path)
+    both = QueryRequest.of(attr_all=[("sex", "F")], event_all=[("dx", "brandnew")])
+    assert got(loaded, both, LENIENT, ONE_PASS) == {person}
+    assert "brandnew" in {r.value for r in loaded.values("dx").collect()} and loaded.search("dx", "brand").count() == 1
+
+
+def test_guids_both_ways_and_allowed_values(engine, spark):
+    every = engine.persons.collect()
+    some = spark.createDataFrame([(every[0].person_guid,), ("nobody",)], "person_guid string")
+    assert [r.person_id for r in engine.person_ids(some).collect()] == [every[0].person_id]
+    assert [r.person_guid for r in engine.person_guids(spark.createDataFrame([(every[1].person_id,), (-5,)], "person_id long")).collect()] == [every[1].person_guid]
+    assert engine.allowed_values()["sex"] == ["F", "M"] and list(engine.allowed_values(1)["sex"]) == ["F"]
+
+
+def test_ask_words_its_answer_from_the_context(engine):
+    seen = []
+    messages = [{"role": "user", "content": "women"}, {"role": "tool", "content": "no"}]
+    out = engine.ask(messages, lambda m, e: QueryRequest.of(attr_all=[("sex", "F")]), lambda context: seen.extend(context) or "so many")
+    assert out["content"] == "so many" and [c["role"] for c in seen] == ["user", "assistant"]
+    assert seen[0]["text"] == "women" and seen[1]["text"].startswith("proposedQuery:\n{") and "\n\nqueryResults:\n{" in seen[1]["text"]
+
+
+def test_crosswalk_header_is_found_in_any_case_and_behind_empty_lines(spark, tmp_path):
+    path = tmp_path / "walk.csv"
+    path.write_bytes("\n\r\nRXNORM_CODE,x\n\u00a01\u2003,\td1\n".encode())
+    assert [(r.source, r.target) for r in read_crosswalk(spark, str(path)).collect()] == [("1", "d1")]
+
+
 def test_crosswalk_file(spark, tmp_path):
     path = tmp_path / "walk.csv"
     path.write_bytes(b'rxnorm_code,multum\r\n "1" , "d1"\r2,d2\n\n1,d1\n1,d0\na,b,c\nlonely\n,x\n')
