@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's
 ``docs``; all but the last return the columns of ``documents``.
+
+Defined results: a null text is an empty one, and what the trees score an empty text decides on it; a document that line dedup
+empties goes, one that was blank before stays; rows repeated in full are near-duplicates, so one of them stays; null ids and sources stay
+apart from all others as the operators define it; other columns pass through, whatever their names; long texts are
+read whole; an empty table gives no rows, and so does one without labels only if the smoothed share is under the cutoff.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mustra.llm import byte_bpe, line_dedup, mixing, near_dedup, quality
-from mustra.llm.common import read, stage
+from mustra.llm.common import fresh, read, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +40,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and as text what they decode to."""
+    """Token ids and their number (``ids`` and ``n_tokens``, with underscores behind where documents have such columns), and
+    as text what the ids decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, pattern), path, pattern)
-    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    ids, number = fresh(docs, "ids"), fresh(docs, "n_tokens")
+    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, pattern, ids_col=ids), path, pattern, ids_col=ids)
+    return coded.withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("byte_bpe", token_stage)]
