@@ -11,6 +11,9 @@ white space after anything else; an ASCII letter beside an ASCII digit; sentence
 
 Decoding concatenates the bytes of both halves up a tree of the same kind.
 
+A window without any cut is encoded whole, however long. The library's matcher fails on runs of about a million white spaces; where
+there is one of ``SPACE_RUN`` or more, another matcher gives it the same pieces.
+
 Defined results: a null text is empty (no tokens, empty bytes); special strings are ordinary text; repeated rows
 give a row each; columns that aren't named are not read; an empty table gives no rows.
 """
@@ -32,8 +35,8 @@ from mustra.llm.common import text_or_empty
 
 LEAF_CHARS = 16384
 WINDOW_CHARS = 64
-#: Above this, a window without any cut is matched piece by piece, as the library's matcher has a limit of steps.
-WHOLE_CHARS = 200_000
+SPACE_RUN = 500_000
+_SPACE_RUN = re.compile(rf"\s{{{SPACE_RUN}}}")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿぁ-ゖァ-ヺ一-龥가-힣"
 _CUT = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[{_LETTER}])(?=[.,;:!?。、，！？])")
 
@@ -58,7 +61,7 @@ class TreeBpe:
         self.name_of = [str(i) for i in range(len(self.bytes_of))]
 
     def _encode_flat(self, text: str) -> list[int]:
-        if len(text) <= WHOLE_CHARS:
+        if len(text) < SPACE_RUN or not _SPACE_RUN.search(text):
             return self.flat.encode_ordinary(text)
         import regex
 

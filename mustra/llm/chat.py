@@ -6,10 +6,14 @@ backslashes, ``|`` gets one more backslash, and reading takes it off again; so `
 Windows. Prefix sums of the turns' tokens cut a conversation into spans: a new span starts with the turn in front of
 which the sum enters the next stride, and a turn longer than a stride has a span of its own. The stride is half of
 what budget, system turn and history leave, so spans of turns that fit a stride fit the budget; only a single
-longer turn can exceed it, as turns are never cut. Each window holds the system turn (the first, if its role is system),
+longer turn can exceed it, as turns are never cut. A system turn that leaves nothing of the budget is kept whole too: every window then
+holds it, exceeds the budget by it, and has one turn besides. Each window holds the system turn (the first, if its role is system),
 then as many earlier turns as ``history`` tokens allow, then its span. Loss is on the assistant's texts of the
 span; repeated turns are masked, so each text is a target once.
 
+Tokens. Tokenizers need Python, which has no place on this path: their counts may come with the rows (``tokens_col``, say from
+the token counts' operator), else a turn counts as a token for every four bytes and four for its template.
+
 Spans and repeats come from window functions over one shuffle by conversation (range frames instead of joins).
 
 Defined results: turns are ordered by turn (null first), role, text; null role or text is empty; rows repeated in full
@@ -42,14 +46,14 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
-def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = estimated_tokens, tokens_col: str | None = None) -> DataFrame:
     """One row per window: conv_id, window (from 1), text, n_tokens, repeated (turns at its start that are not new) and
     ``loss``, an array of (start from 1, length) in characters of ``text``."""
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.lit(None).cast("long") if tokens_col is None else F.col(tokens_col).cast("long")).alias("tokens"))
     whole = Window.partitionBy("conv_id")
     order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("tokens", tokens(F.col("text")).cast("long"))
+    rows = rows.withColumn("tokens", F.coalesce("tokens", tokens(F.col("text")).cast("long")))
     own = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
     by_n = whole.orderBy("n")
     before = by_n.rowsBetween(Window.unboundedPreceding, -1)

@@ -37,7 +37,8 @@ CONTROL_TURNS = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assist
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    turn = lambda c, t, r, x: F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text"))
+    control = spark.range(1).select(F.inline(F.array(*(turn(*x) for x in CONTROL_TURNS))))
     return chat.digest_windows(chat.format_windows(turns.unionByName(control)))
 
 
@@ -65,6 +66,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op3_mixing``: sizes and targets."""
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op9_fingerprints``: order and edited texts, and that equal texts have equal fingerprints."""
+    rows = op9_fingerprints(spark, sf_dir)
+    return rows.select("doc_id", "n_chars", "edited_sha256", (F.col("fingerprint") == F.col("edited_fingerprint")).alias("same"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup, mixing_targets, edited_texts)}

@@ -117,4 +117,32 @@ SELECT page_id, j.host, j.path, found.rule AS rule, coalesce(found.verdict, CASE
 FROM judged j LEFT JOIN scores USING (host)
 """
 
-SQL: dict[str, str] = {"op4_top_k": TOP_K, "op5_chat_format": CHAT, "op6_near_dedup": NEAR, "op8_url_filter": URLS}
+# a target stops at 2 x its source's size: sources in the order in which they stop, each with the words and weights behind it
+TARGETS = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS size, CAST([3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS weight FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY size / weight, source NULLS LAST) AS n FROM s
+), u AS (
+  SELECT n, size, weight, (1.5 * (SELECT sum(size) FROM r) - coalesce(sum(2 * size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM r
+), unit AS (
+  SELECT min_by(unit, n) AS unit FROM u WHERE unit * weight <= 2 * size
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(s.size AS BIGINT) AS source_size, round(least(2 * s.size, unit.unit * s.weight), 3) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, unit
+"""
+
+EDITED = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC, text) AS n FROM documents
+), next AS (
+  SELECT doc_id, text, n, coalesce(lead(text) OVER (ORDER BY n), first_value(text) OVER (ORDER BY n)) AS following FROM d
+), e AS (
+  SELECT doc_id, text, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM next
+)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, text = edited AS same FROM e
+"""
+
+SQL: dict[str, str] = {"mixing_targets": TARGETS, "edited_texts": EDITED, "op4_top_k": TOP_K, "op5_chat_format": CHAT, "op6_near_dedup": NEAR, "op8_url_filter": URLS}

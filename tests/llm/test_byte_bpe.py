@@ -25,7 +25,14 @@ def test_long_runs():
     for text in ("a" * 30_000, " " * 9_000 + "x", "中文" * 9_000, "".join(rng.choice("ab 1.'") for _ in range(30_000))):
         ids = whole.encode(text)
         assert ids == whole.flat.encode_ordinary(text) and whole.decode(ids) == text.encode()
-    assert whole.decode(whole.encode("z" * 300_000)) == b"z" * 300_000
+    normal = byte_bpe.TreeBpe(RANKS, public_tokenizers.PATTERN)
+    for text in ("z" * 300_000, "ab" * 110_000, " " * 400_000 + "x", " " * 600_000 + "x", "中文字" * 75_000, " \n" * 120_000 + "x", "#!" * 130_000, "words and 12 more, " * 20_000):
+        ids = normal.encode(text)
+        assert ids == normal.flat.encode_ordinary(text) and normal.decode(ids) == text.encode()
+    space = " " * 3_000_000 + "x"  # where the library's matcher fails
+    ids = normal.encode(space)
+    assert ids == normal.flat._encode_single_piece(space[:-2]) + normal.flat.encode_ordinary(" x") and normal.decode(ids) == space.encode()
+
 
 
 def test_documents(spark, sf_dir):
@@ -42,3 +49,10 @@ def test_hard_rows(spark):
     coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     assert coded.columns == [*docs.columns, "ids"] and {r.text for r in coded.collect()} == {"", "<|endoftext|>"}
     assert byte_bpe.digest_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_columns_of_an_empty_table_and_own_names(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, ids string")
+    coded = byte_bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN, ids_col="token_ids")
+    assert coded.columns == ["doc_id", "text", "ids", "token_ids"]
+    assert byte_bpe.decode_documents(coded, PATH, public_tokenizers.PATTERN, ids_col="token_ids").count() == 0

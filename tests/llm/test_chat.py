@@ -49,3 +49,23 @@ def test_windows_keep_to_the_budget(spark):
     assert all(r.text.startswith("<|turn|>system<|text|>" + "s" * 40) for r in out)
     assert any(r.repeated > 1 for r in out[1:]) and out[0].repeated == 0
     assert sum(len(r.loss) for r in out) == sum(r[2] == "assistant" for r in rows)
+
+
+def test_a_system_turn_over_the_budget_is_kept(spark):
+    rows = [(1, 0, "system", "s" * 4000, 0)] + [(1, t, "user" if t % 2 else "assistant", "w" * 20, 0) for t in range(1, 5)]
+    out = chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=300, history=60).orderBy("window").collect()
+    assert len(out) == 4 and all("s" * 4000 in r.text and r.text.count("<|turn|>") == 2 and r.repeated == (i > 0) for i, r in enumerate(out))
+
+
+def test_counts_of_tokens_may_come_with_the_rows(spark):
+    rows = [(1, t, "user", "x", 0, 100 if t else None) for t in range(6)]
+    out = chat.format_windows(spark.createDataFrame(rows, SCHEMA + ", counted int"), budget=250, history=0, tokens_col="counted").collect()
+    assert sorted(r.n_tokens for r in out) == [105, 200, 200] or sum(r.n_tokens for r in out) == 505
+    assert max(r.n_tokens for r in out) <= 250
+
+
+def test_a_very_long_conversation(spark):
+    rows = spark.range(20_000).selectExpr("3 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id) AS text", "0 AS window")
+    out = chat.digest_windows(chat.format_windows(rows)).collect()
+    expected = digests([(3, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(20_000)])
+    assert {r.conv_id: tuple(r)[1:5] for r in out} == expected

@@ -18,3 +18,22 @@ def test_stages_follow_one_another(spark, sf_dir):
     assert kept["mixing"].count() == sum(copies.values())
     assert sorted(r.text for r in kept["mixing"].collect()) == sorted(r.text for r in kept["byte_bpe"].collect())
     assert all(len(r.ids) == r.n_tokens > 0 for r in kept["byte_bpe"].collect())
+
+
+def test_hard_rows_pass_all_stages(spark, tmp_path):
+    good = "A sentence that stands here for a document of some length, number {0} of them, with words of its own like w{0}a w{0}b w{0}c w{0}d."
+    rows = [(i, good.format(i), "s" if i % 2 else None, "kept", 7, -1) for i in range(12)] + [(20, good.format(3), "s", "kept", 7, -1)] * 2
+    rows += [(21, None, "s", None, 7, -1), (22, "", None, "kept", 7, -1), (None, "Nobody has given this document an id, it is here all the same.", "t", "kept", 7, -1), (23, "long words " * 60_000, "t", "kept", 7, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, ids string, n_tokens int, key int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "ids_", "n_tokens_"]
+    got = out.collect()
+    assert all(r.ids in ("kept", None) and r.n_tokens == 7 and r.key == -1 and len(r.ids_) == r.n_tokens_ for r in got)
+    texts = {r[1] or "" for r in rows}
+    assert got and {r.text for r in got} <= texts and max(sum(r.text == t and t != "" for r in got) for t in texts) <= 2
+    empty = tmp_path / "none"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
