@@ -31,6 +31,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mustra.llm.common import text_or_empty
 
@@ -179,9 +180,11 @@ def _ranges(rows: DataFrame, ranges: int) -> DataFrame:
 def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Per row of ``docs``, its fingerprint against that of its edited text and of the next document.
 
-    ``id_col`` holds integers. ``ranges``: how many tasks share the order, Spark's number of shuffle partitions if not given.
+    ``id_col`` holds integers, else it's an error. ``ranges``: how many tasks share the order, Spark's number of shuffle partitions if not given.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is no integer")
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -1,5 +1,9 @@
 import hashlib
 import random
+import re
+import zlib
+
+import pytest
 
 from mustra.llm import merkle, queries
 
@@ -47,3 +51,56 @@ def test_order_over_ranges_and_hard_rows(spark):
     alone = merkle.neighbour_likeness(docs.filter("doc_id = 5").limit(1)).collect()
     assert len(alone) == 1 and alone[0].near_next == 1
     assert merkle.neighbour_likeness(docs.limit(0)).count() == 0 == merkle.fingerprint_documents(docs.limit(0)).count()
+
+
+def plain(text):
+    """Root, and characters by leaf, found another way: the text is cut character by character."""
+    h = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=32).digest()
+    lines, sections, leaves = text.splitlines(keepends=True), [[]], {}
+    for i, line in enumerate(lines):
+        sections[-1].append(line)
+        if i + 1 < len(lines) and not line.strip() and lines[i + 1].strip() and len(sections[-1]) > 1:
+            sections.append([])
+    tops = []
+    for section in sections if text else []:
+        nodes = []
+        for line in section:
+            below, sentence, sentences = [], "", []
+            for i, c in enumerate(line):
+                sentence += c
+                rest = line[i + 1 :]
+                if sentence.strip(".!?\n ") != sentence.rstrip() and re.search(r"[.!?]\s*$", sentence) and rest and not re.match(r"[.!?\s]", rest):
+                    sentences.append(sentence)
+                    sentence = ""
+            for s in [*sentences, sentence] if sentence else sentences:
+                held = ""
+                for word in re.findall(r"\S+\s*|\s+", s) if len(s) > 64 else [s]:
+                    held += word
+                    if len(s) > 64 and (len(held) >= 256 or zlib.crc32(word.strip().encode()) % 8 == 0):
+                        below.append(held)
+                        held = ""
+                below += [held] if held else []
+            for leaf in below:
+                leaves[leaf] = leaves.get(leaf, 0) + len(leaf)
+            nodes.append(h(b"p", *(h(x.encode()) for x in below)))
+        tops.append(h(b"s", *nodes))
+    return h(b"r", *tops).hex(), leaves
+
+
+def test_trees_and_likeness_against_another_way():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(1, 30))) + rng.choice([". ", "! ", "? "])
+    line = lambda: "".join(sentence() for _ in range(rng.randrange(1, 5))).strip() + "\n"
+    texts = ["\n".join("".join(line() for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    texts += [a[: len(a) // 2] + b[len(b) // 2 :] for a, b in zip(texts, texts[1:], strict=False)]
+    known = [(merkle.fingerprint(t), *plain(t)) for t in texts]
+    assert all(tree.root == root for tree, root, _ in known)
+    for (a, _, x), (b, _, y) in zip(known, known[1:] + known[60:61], strict=True):
+        common = 2 * sum(min(n, y.get(leaf, 0)) for leaf, n in x.items()) / (a.size + b.size)
+        assert abs(merkle.likeness(a, b) - (1 if a.root == b.root else common)) < 1e-12
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        merkle.neighbour_likeness(spark.createDataFrame([("a", "t")], "doc_id string, text string"))
