@@ -26,9 +26,10 @@ def ranked(values: DataFrame, keyword: str, mode: str = PREFIX, crosswalk: DataF
 def page(found: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
     """value, position (from 0), total: one page in the order of tier and value; limit from 1 to 100, offset not negative.
 
-    Matches are a few codes of a vocabulary, so ordering them in one task is in order.
+    Only the first ``offset + limit`` values are put in order; all are only counted.
     """
     limit, offset = max(1, min(limit, MOST)), max(0, offset)
-    everything = Window.partitionBy(F.lit(0)).orderBy("tier", "value")
-    numbered = found.select("value", (F.row_number().over(everything) - 1).alias("position"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("total"))
-    return numbered.filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
+    total = found.agg(F.count("*").alias("total")).scalar()
+    first = found.orderBy("tier", "value").limit(offset + limit)
+    numbered = first.select("value", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", "value")) - 1).alias("position"))
+    return numbered.filter(F.col("position") >= offset).withColumn("total", total)
