@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
@@ -37,7 +38,7 @@ def and_bitmaps(*sets: DataFrame) -> DataFrame:
     return met.filter(F.col("sets") == len(sets)).select("bucket", "bitmap")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _without(left: pd.Series, right: pd.Series) -> pd.Series:
     """Spark has no negation of bitmaps; blocks of 4096 bytes go through Arrow."""
     cleared = lambda a, b: a if b is None else (np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes()
