@@ -32,8 +32,8 @@ def order_facts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFra
     items = read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
     buyer = F.col("o_custkey")
     if once:
-        both = F.explode(F.array(F.struct(F.lit("brand").alias("attr"), F.col("p_brand").alias("value")), F.struct(F.lit("ptype").alias("attr"), F.col("p_type").alias("value"))))
-        bought = items.select(buyer.cast("long").alias("person_id"), month.alias("yyyymm"), both.alias("fact")).select("person_id", "fact.attr", "fact.value", "yyyymm")
+        wide = items.select(buyer.cast("long").alias("person_id"), month.alias("yyyymm"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"))
+        bought = wide.unpivot(["person_id", "yyyymm"], ["brand", "ptype"], "attr", "value").select("person_id", "attr", "value", "yyyymm")
         of_items = [bought.filter("person_id IS NOT NULL AND value IS NOT NULL")]
     else:
         of_items = [facts_of(items, buyer, "brand", F.col("p_brand"), month), facts_of(items, buyer, "ptype", F.col("p_type"), month)]

@@ -9,6 +9,7 @@ from mustra.model import CohortModel
 from mustra.operators import setops
 from mustra.plans.planner import JOINS, ONE_PASS
 from mustra.plans.resolve import LENIENT, STRICT
+from mustra.queries import QUERIES
 from mustra.request import QueryRequest
 from mustra.sources.crosswalk import crosswalk_of, read_crosswalk
 from mustra.sources.facts import FACTS, IndexFormatError, append_to_index, load_index
@@ -223,3 +224,9 @@ def test_set_overloads_on_nothing(engine):
     # the older query gives nobody if all_of matches nobody, whatever any_of holds
     assert setops.query_widening(facts, [("sex", "Q")], [("sex", "F")]).count() == 0
     assert setops.query_widening(facts, [], [("sex", "F")]).count() > 0
+
+
+def test_every_fact_comes_from_one_reading(spark, sf_dir):
+    one = QUERIES["bitmap_count_by_key"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    stats = QUERIES["index_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("l_partkey") > 0 and all(sum("Relation" in line and "l_orderkey" in line for line in plan.split("\n")) == 1 for plan in (one, stats))
