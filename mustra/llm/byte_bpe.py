@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ from mustra.llm.common import text_or_empty
 
 LEAF_CHARS = 16384
 WINDOW_CHARS = 64
+PART_ROWS = 256
 SPACE_RUN = 500_000
 _SPACE_RUN = re.compile(rf"\s{{{SPACE_RUN}}}")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿぁ-ゖァ-ヺ一-龥가-힣"
@@ -135,7 +137,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode_all(texts: pd.Series) -> pd.Series:
         coder = _coder(ranks_path, pattern)
-        return texts.map(coder.encode)
+        return texts.map(lambda t: np.array(coder.encode(t), np.int32))
 
     return docs.withColumn(ids_col, encode_all(text_or_empty(text_col)))
 
@@ -146,11 +148,35 @@ def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: st
     @F.pandas_udf(T.StringType())
     def decode_all(ids: pd.Series) -> pd.Series:
         coder = _coder(ranks_path, pattern)
-        return ids.map(lambda x: coder.decode([] if x is None else list(x)).decode("utf-8", "replace"))
+        return ids.map(lambda x: coder.decode([] if x is None else x.tolist()).decode("utf-8", "replace"))
 
     return docs.withColumn(text_col, decode_all(ids_col))
 
 
+def recode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", rows: int = PART_ROWS) -> DataFrame:
+    """``docs`` with a column ``ids_col`` of token ids behind the others, and ``text_col`` replaced by what they decode to; each
+    text is encoded once, and ``rows`` of them are held at a time."""
+    place = docs.columns.index(text_col)
+    given = docs.withColumn(text_col, text_or_empty(text_col))
+    schema = T.StructType([*given.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                ids, texts = [], []
+                for text in part.column(place):
+                    ids.append(np.array(coder.encode(text.as_py()), np.int32))
+                    texts.append(coder.decode(ids[-1].tolist()).decode("utf-8", "replace"))
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=schema.names)
+
+    return given.mapInArrow(run, schema)
+
+
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the number of tokens, a digest of the ids, and a digest of what the ids decode to."""
     id_type = docs.schema[id_col].dataType

@@ -56,3 +56,12 @@ def test_columns_of_an_empty_table_and_own_names(spark):
     coded = byte_bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN, ids_col="token_ids")
     assert coded.columns == ["doc_id", "text", "ids", "token_ids"]
     assert byte_bpe.decode_documents(coded, PATH, public_tokenizers.PATTERN, ids_col="token_ids").count() == 0
+
+
+def test_recoding_is_encoding_and_decoding(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "nullif(text, '') AS text", "map(lang, array(n_chars)) AS rest")
+    both = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    for rows in (3, 256):
+        once = byte_bpe.recode_documents(docs, PATH, public_tokenizers.PATTERN, rows=rows)
+        assert once.columns == both.columns and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+    assert byte_bpe.recode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
