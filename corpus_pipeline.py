@@ -44,8 +44,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as text what the ids decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids, number = fresh(docs, "ids"), fresh(docs, "n_tokens")
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, pattern, ids_col=ids), path, pattern, ids_col=ids)
-    return coded.withColumn(number, F.size(ids).cast("long"))
+    return byte_bpe.recode_documents(docs, path, pattern, ids_col=ids).withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("byte_bpe", token_stage)]
