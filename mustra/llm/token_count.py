@@ -2,10 +2,11 @@
 
 A text is cut at ASCII white space, a safe boundary of the word tokenizer: its normaliser is local to the
 characters between two white spaces, its pre-tokenizer drops white space and no match spans it. Long texts are
-walked in windows of about ``window_bytes``, each ending at such a boundary; the pieces not yet counted are gathered
-into batches of about ``batch_bytes`` and each distinct piece is encoded once per batch. Lengths of short pieces
-are remembered, up to ``memo_entries`` of them; the memory of a task is thus bounded by those three and by the
-longest piece without white space.
+walked in windows of about ``window_bytes``, each ending at such a boundary or, as some scripts have no white space, between a
+letter and a punctuation mark (no match holds both, and the mark doesn't compose with what is before it). The pieces not
+yet counted are gathered into batches of about ``batch_bytes`` and each distinct piece is encoded once per batch. Lengths of
+short pieces are remembered, up to ``memo_entries`` of them (about 150 bytes each, 40 MB a worker); the memory of a task is
+thus bounded by those three and by the longest piece without any boundary.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; columns besides
 the two that are named are not read, so clashing names don't matter; an empty table gives no rows; bytes that are
@@ -26,10 +27,14 @@ from mustra.llm.common import text_or_empty
 
 WINDOW_BYTES = 1 << 20
 BATCH_BYTES = 1 << 18
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 1 << 18
 MEMO_PIECE_BYTES = 48
 TOKEN_LIMIT = 2048
-_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: ASCII letters, ideographs U+5000 to U+8FFF and syllables U+B000 to U+CFFF, in UTF-8.
+_LETTER = rb"(?:(?<=[A-Za-z])|(?<=[\xe5-\xe8][\x80-\xbf][\x80-\xbf])|(?<=[\xeb\xec][\x80-\xbf][\x80-\xbf]))"
+#: . , ; : ! ? and the wide 、 。 ！ ， ： ； ？
+_MARK = rb"(?:[.,;:!?]|\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f])"
+_BOUNDARY = re.compile(rb"[ \t\n\r\x0b\x0c]|" + _LETTER + rb"(?=" + _MARK + rb")")
 _STOPS = (b".", b",")
 #: One counter for each tokenizer and worker process: what one task has learned, the next need not encode again.
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -45,7 +50,7 @@ class PieceCounter:
     def _windows(self, text: bytes) -> Iterator[bytes]:
         start = 0
         while len(text) - start > self.window_bytes:
-            hit = _SPACE.search(text, start + self.window_bytes)
+            hit = _BOUNDARY.search(text, start + self.window_bytes)
             if hit is None:
                 break
             yield text[start : hit.start()]
