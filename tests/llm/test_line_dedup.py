@@ -94,6 +94,52 @@ def test_query_returns_every_document(spark, sf_dir):
     assert queries.op10_line_dedup(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
+def test_documents_lose_what_recurs_and_nothing_that_does_not(spark):
+    """Bounds by brute force, without hashes: a line that is alike (through others of its leaf) in fewer than three texts stays;
+    one that stands word for word in three texts, no two of which have much else in common, goes."""
+
+    def words(line):
+        return ["<*>" if re.search("[0-9]", w) else w for w in re.split(r"[ \t\n\r\f\x0B]+", line) if w]
+
+    def fields(w):
+        rest, m = len(w) - 2, min(8, len(w) - 2)
+        return tuple(tuple(w[2 + j * rest // m : 2 + (j + 1) * rest // m]) for j in range(m))
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    leaves, traits = {}, {}
+    for t in set(docs.values()):
+        parsed = [words(x) for x in t.split("\n")]
+        traits[t] = {x for w in parsed if w for x in ((len(w), *w[:2]), ("head", *w[:3]), ("tail", *w[-3:]))}
+        for w in parsed:
+            if len(w) >= 3:
+                leaves.setdefault((len(w), *w[:2]), {}).setdefault(fields(w), set()).add(t)
+    spared, doomed = set(), set()
+    for leaf, shapes in leaves.items():
+        left = set(shapes)
+        while left:
+            reached, new = set(), {left.pop()}
+            while new:
+                reached |= new
+                new = {f for f in left if any(sum(a == b for a, b in zip(f, g, strict=True)) >= 0.7 * len(f) - 1e-9 for g in new)}
+                left -= new
+            if len(set().union(*(shapes[f] for f in reached))) < 3:
+                spared |= {(leaf, f) for f in reached}
+        for f, texts in shapes.items():
+            apart = []
+            for t in sorted(texts):
+                if all(len(traits[t] & traits[o]) <= 0.1 * len(traits[t] | traits[o]) for o in apart):
+                    apart.append(t)
+            if len(apart) >= 12:  # more than three, as even such texts may share a band by chance
+                doomed.add((leaf, f))
+    assert spared and doomed
+    kept = {r.doc_id: r.text.split("\n") for r in queries.op10_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    for i, text in docs.items():
+        shapes = [((len(w), *w[:2]), fields(w)) if len(w) >= 3 else None for w in map(words, text.split("\n"))]
+        rest = [((len(w), *w[:2]), fields(w)) if len(w) >= 3 else None for w in map(words, kept[i])]
+        assert [s for s in shapes if s in spared] == [s for s in rest if s in spared]
+        assert not doomed & set(rest)
+
+
 def prose(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
