@@ -65,7 +65,8 @@ def month_cardinality(facts: DataFrame) -> DataFrame:
 
 def index_stats(facts: DataFrame, persons: DataFrame) -> DataFrame:
     """patient_count, and fact_count: distinct (value, person) and distinct (value, month, person) together."""
-    # one reading of the facts counts both
-    each = facts.groupBy("attr", "value", "person_id").agg(F.countDistinct("yyyymm").alias("months"))
+    # one reading of the facts counts both; distinct facts first, which takes fewer passes over them than a distinct count
+    distinct = facts.select("attr", "value", "person_id", "yyyymm").distinct()
+    each = distinct.groupBy("attr", "value", "person_id").agg(F.count("yyyymm").alias("months"))
     total = each.agg(F.coalesce(F.sum(F.lit(1) + F.col("months")), F.lit(0)).cast("long").alias("fact_count"))
     return total.select(persons.agg(F.count("*").alias("n")).scalar().alias("patient_count"), "fact_count")
