@@ -32,6 +32,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def valid_text(column: str = "text"):
+    """The same with U+FFFD for bytes that are not UTF-8, for code that can't read such."""
+    return F.make_valid_utf8(text_or_empty(column))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again; gone when the driver ends.
 

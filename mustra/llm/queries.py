@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm import byte_bpe, chat, line_dedup, merkle, mixing, near_dedup, quality, token_count, url_filter, voronoi
+from mustra.llm import byte_bpe, chat, collisions, fim, line_dedup, merkle, mixing, near_dedup, quality, runs, token_count, url_filter, voronoi
 from mustra.llm.common import read
 from mustra.llm.sql import SQL
 
@@ -66,6 +67,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text, as a hash of its id says, repeats a stretch of words from some word on; a null id counts as an empty one."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_runs(runs.find_runs(read(spark, sf_dir, "documents"), change=periodic))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform_documents(read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of ``op3_mixing``: sizes and targets."""
     return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
@@ -79,4 +105,4 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup, mixing_targets, edited_texts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_mixing, op4_top_k, op5_chat_format, op6_near_dedup, op7_byte_bpe, op8_url_filter, op9_fingerprints, op10_line_dedup, op11_collision_search, op12_periodic_runs, op13_fim, mixing_targets, edited_texts)}
