@@ -6,8 +6,8 @@ Index. Each of ``projections`` seeded normal directions gives a sorted array of
 Search. A query's window around its own projection has the half width ``half_width`` times a radius, in every array. A
 vector collides once for each window it is in, and is verified, by its exact distance, once it has collided ``threshold``
 times. Virtual rehashing widens the windows: the radius grows by steps to the query's reach, and only what a window
-gains is counted. The reach is the k-th smallest distance to a bounded sample of vectors, so no neighbour is farther; where k
-verified vectors of the block are nearer, that distance is the reach. A query that has no k sample vectors opens its
+gains is counted. The reach is the k-th smallest distance to a bounded sample of vectors, so no neighbour is farther; once the radius
+has come to the k-th distance of those verified, it stops. A query that has no k sample vectors opens its
 windows to the ends of the arrays, which verifies all.
 
 Recall. A vector as far as the reach is in a window with the probability that a normal value is within ``half_width``, nearer ones more
@@ -40,12 +40,12 @@ PROJECTIONS = 96
 HALF_WIDTH = 1.4
 MISS = 0.01
 SEED = 11
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 GROUP_QUERIES = 1024
 SAMPLE_ROWS = 2048
 SAMPLE_VALUES = 1 << 20
-#: Radii of the virtual rehashing as parts of the reach, but for the last, which is the reach.
-STEPS = (0.5, 0.65, 0.8, 0.9)
+#: Radii of the virtual rehashing as parts of the reach.
+STEPS = (0.5, 0.8, 1.0)
 #: Of the lengths of direction and query; far above the error of a product, far below what parts vectors that differ.
 ROUNDING = 1e-12
 _FOUND = "ask long, query_id long, row long, vec_id long, score double"
@@ -90,29 +90,30 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, along: np.ndarray):
         self.ids, self.vectors, self.along = ids, vectors, along
         projected = along @ vectors.T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, 1)
-        self.length = np.sqrt((along**2).sum(1))
 
-    def nearest(self, own: int, query: np.ndarray, reach: float, k: int, enough: int, half_width: float) -> tuple[np.ndarray, np.ndarray, int]:
+    def windows(self, queries: np.ndarray, reaches: np.ndarray, half_width: float) -> np.ndarray:
+        """For each query and step, and for the empty window before them, where its window begins and ends in each array."""
+        centres = queries @ self.along.T
+        # copies of a query may differ from it in the last digits of a projection
+        slack = ROUNDING * np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((self.along**2).sum(1))
+        halves = half_width * reaches[:, None, None] * np.array(STEPS)[:, None] + slack[:, None]
+        out = np.empty((len(queries), len(STEPS) + 1, 2, len(self.along)), np.int64)
+        for i, (values, centre) in enumerate(zip(self.sorted, centres.T, strict=True)):
+            out[:, 0, :, i] = values.searchsorted(centre)[:, None]
+            out[:, 1:, 0, i] = values.searchsorted(centre[:, None] - halves[:, :, i])
+            out[:, 1:, 1, i] = values.searchsorted(centre[:, None] + halves[:, :, i], "right")
+        return out
+
+    def nearest(self, own: int, query: np.ndarray, reach: float, windows: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and distances of the k nearest found, and how many vectors were verified."""
-        centre = self.along @ query
-        # copies of the query may differ from it in the last digits of a projection
-        slack = ROUNDING * self.length * np.sqrt((query**2).sum())
-        low = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre, strict=True)])
-        high = low.copy()
-        count = np.zeros(len(self.ids), np.int16)
-        open_ = self.ids != own
-        places, far, verified = np.zeros(0, np.int64), np.zeros(0), 0
-        steps = [reach * s for s in STEPS] + [reach]
-        while steps:
-            radius = min(steps.pop(0), reach)
-            for i, (s, c) in enumerate(zip(self.sorted, centre, strict=True)):
-                half = half_width * radius + slack[i]
-                left, right = s.searchsorted(c - half), s.searchsorted(c + half, "right")
-                count[self.order[i, left : low[i]]] += 1
-                count[self.order[i, high[i] : right]] += 1
-                low[i], high[i] = min(left, low[i]), max(right, high[i])
+        count, open_ = np.zeros(len(self.ids), np.int64), self.ids != own
+        places, far, verified, least = np.zeros(0, np.int64), np.zeros(0), 0, reach
+        for part, (low, high), (left, right) in zip(STEPS, windows[:-1], windows[1:], strict=True):
+            gained = [o[a:b] for o, a, b in zip(self.order, left.tolist(), low.tolist(), strict=True)]
+            gained += [o[a:b] for o, a, b in zip(self.order, high.tolist(), right.tolist(), strict=True)]
+            count += np.bincount(np.concatenate(gained), minlength=len(count))
             new = np.flatnonzero((count >= enough) & open_)
             open_[new] = False
             verified += len(new)
@@ -120,8 +121,8 @@ class Block:
             best = np.lexsort((self.ids[places], far))[:k]
             places, far = places[best], far[best]
             if len(far) == k:
-                reach = min(reach, float(far[-1]))
-            if radius >= reach:
+                least = min(least, float(far[-1]))
+            if part * reach >= least:
                 break
         return places, far, verified
 
@@ -160,8 +161,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
         if len(data) and len(asked):
             ids, numbers = data["vec_id"].to_numpy(), data["row"].to_numpy()
             block = Block(ids, _matrix(data["vector"], width) / unit, directions(seed, projections, width))
-            for ask, own, query, reach in zip(asked["ask"].to_pylist(), asked["query_id"].to_pylist(), _matrix(asked["query"], width) / unit, asked["reach"].to_pylist(), strict=True):
-                at, far, _ = block.nearest(own, query, reach, k, enough, half_width)
+            wanted, reaches = _matrix(asked["query"], width) / unit, asked["reach"].to_numpy()
+            windows = block.windows(wanted, reaches, half_width)
+            for ask, own, query, reach, window in zip(asked["ask"].to_pylist(), asked["query_id"].to_pylist(), wanted, reaches.tolist(), windows, strict=True):
+                at, far, _ = block.nearest(own, query, reach, window, k, enough)
                 for column, values in zip(out, ([ask] * len(at), [own] * len(at), numbers[at].tolist(), ids[at].tolist(), (far * unit).tolist()), strict=True):
                     column.extend(values)
         return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["ask", "query_id", "row", "vec_id", "score"])

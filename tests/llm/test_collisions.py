@@ -79,7 +79,8 @@ def test_far_vectors_are_not_verified():
     rng = np.random.default_rng(5)
     near, far = 0.01 * rng.normal(size=(50, 16)), 50 + rng.normal(size=(950, 16))
     block = collisions.Block(np.arange(1000), np.concatenate([near, far]), collisions.directions(1, 96, 16))
-    places, _, verified = block.nearest(0, near[0], 0.2, 10, collisions.threshold(96, 1.4, 0.01), 1.4)
+    windows = block.windows(near[:1], np.array([0.2]), 1.4)
+    places, _, verified = block.nearest(0, near[0], 0.2, windows[0], 10, collisions.threshold(96, 1.4, 0.01))
     exact = np.argsort(collisions.distances(near, near[0]))[1:11]
     assert set(places) == set(exact) and verified < 60
 
