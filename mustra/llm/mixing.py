@@ -7,9 +7,10 @@ Fit. A source takes every document ``r = floor(target / size)`` times. For what
 counted by exact length; each length gives the same fraction of its count, the rest goes from long to short as far as it
 fits, and the last words are fitted by bounded-knapsack dynamic programming over the shortest lengths (a bit set of the
 reachable sums, some documents of these lengths being given back first). Where that misses what the lengths' common
-divisor allows, all lengths are used and four times as many words given back, again until nothing is missed or
-everything was given back, which is the optimum. That yields how many documents of each
-length are taken once more; which ones, a seeded hash decides.
+divisor allows, the short lengths may have a divisor that some others lack: the same programme over residues says which of those
+are taken more, and the rest is fitted without them. Where that misses too, longer lengths are used and four times as many words given
+back, until nothing is missed, everything was given back (which is the optimum), or ``MOST_WORDS`` are (which bounds the memory; the nearest
+sum found stays). That yields how many documents of each length are taken once more; which ones, a seeded hash decides.
 
 Scale. The histograms are aggregated before they are shuffled and fitted per source, in parallel. Selection ranks rows
 by hash within (source, length); a length of more than ``bucket_rows`` documents is split into hash buckets whose counts
@@ -22,9 +23,10 @@ repeated in full are documents of their own; ties of the hash fall to the smalle
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ BUCKETS = 1 << 16
 #: The first knapsack's budget in words, and how many of the shortest lengths it may use.
 FIT_WORDS = 1 << 16
 FIT_LENGTHS = 256
+#: The last one's, which bounds its memory: 40 bytes for each of twice as many sums at most.
+MOST_WORDS = 1 << 22
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -68,57 +72,125 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, shar
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their words come as near to ``budget`` as found."""
-    total = sum(length * n for length, n in counts.items())
-    lengths = sorted((x for x in counts if x > 0), reverse=True)
+    counts = {x: n for x, n in counts.items() if x > 0 and n > 0}
+    total = _words(counts)
     if budget >= total:
-        return {x: counts[x] for x in lengths}
-    take = {x: counts[x] * budget // total for x in lengths}
-    left = budget - sum(x * n for x, n in take.items())
-    for x in lengths:
+        return counts
+    if 2 * budget > total:  # the same to choose what stays out, which is less
+        out = fit(counts, total - budget)
+        return {x: n - out.get(x, 0) for x, n in counts.items()}
+    least = min(budget % math.gcd(*counts), -budget % math.gcd(*counts))
+    best = _near(counts, budget, FIT_WORDS)
+    for other in (_by_residue, lambda c, b: _near(c, b, MOST_WORDS)):
+        if abs(budget - _words(best)) <= least:
+            break
+        found = other(counts, budget)
+        if found is not None and abs(budget - _words(found)) < abs(budget - _words(best)):
+            best = found
+    return best
+
+
+def _words(counts: dict[int, int]) -> int:
+    return sum(x * n for x, n in counts.items())
+
+
+def _near(counts: dict[int, int], budget: int, most: int) -> dict[int, int]:
+    """The same fraction of each length, the rest from long to short, and the last words by knapsacks over windows that grow to ``most``."""
+    total, lengths, divisor = _words(counts), sorted(counts), math.gcd(*counts)
+    take = {x: n * budget // total if budget < total else n for x, n in counts.items()}
+    left = budget - _words(take)
+    for x in reversed(lengths):
         if x <= left and take[x] < counts[x]:
             take[x] += 1
             left -= x
-    if not left:
+    if left <= 0:
         return take
-    unit = math.gcd(*lengths)
-    least, window, best, rest = min(budget % unit, -budget % unit), FIT_WORDS, take, left
-    pool = [x for x in reversed(lengths) if x <= FIT_WORDS][:FIT_LENGTHS]
+    best, rest, window = take, left, FIT_WORDS
+    over = next((x for x in lengths if take[x] < counts[x]), None)
+    if over is not None and abs(over - left) < left:
+        best, rest = take | {over: take[over] + 1}, abs(over - left)
+    pool = [x for x in lengths if x <= window][:FIT_LENGTHS]
     while True:
-        if window >= left:
-            found = _knapsack(counts, take, left, pool, window, least)
-            off = abs(budget - sum(x * n for x, n in found.items()))
+        if pool and window >= left:
+            unit = math.gcd(*pool)
+            found = _knapsack(counts, take, left, pool, window, min(left % unit, -left % unit))
+            off = abs(budget - _words(found))
             if off < rest:
                 best, rest = found, off
-        if rest <= least or window >= budget and len(pool) == len(lengths):
+        if rest <= min(budget % divisor, -budget % divisor) or window >= min(budget, most):
             return best
-        window, pool = window if window >= budget else 4 * window, lengths[::-1]
+        window *= 4
+        pool = [x for x in lengths if x <= window]
+
+
+def _by_residue(counts: dict[int, int], budget: int) -> dict[int, int] | None:
+    """Where the short lengths have a divisor that others lack: some of the others more, so that what is left has the right
+    residue, and the rest from the lengths with that divisor. None if that can't be."""
+    unit = math.gcd(*sorted(counts)[:FIT_LENGTHS])
+    even, odd = ({x: n for x, n in counts.items() if bool(x % unit) == other} for other in (False, True))
+    total = _words(counts)
+    take = {x: n * budget // total for x, n in odd.items()}
+    first, parts = np.full(unit, -1, np.int32), []
+    first[0], wanted = len(odd) * 64, (budget - _words(take)) % unit
+    for x in sorted(odd):
+        for part in _parts(min(odd[x] - take[x], unit - 1)):
+            reached = np.flatnonzero(first >= 0)
+            new = (reached + x * part) % unit
+            new = new[first[new] < 0]
+            first[new] = len(parts)
+            parts.append((x, part))
+        if first[wanted] >= 0:
+            break
+    at = min(np.flatnonzero(first >= 0).tolist(), key=lambda r: min((r - wanted) % unit, (wanted - r) % unit))
+    while at:
+        x, part = parts[first[at]]
+        take[x] += part
+        at = (at - x * part) % unit
+    left = budget - _words(take)
+    return take | _near(even, left, FIT_WORDS) if left >= 0 else None
+
+
+def _parts(n: int) -> Iterator[int]:
+    """Numbers that add up to every number up to ``n``."""
+    part = 1
+    while n > 0:
+        part = min(part, n)
+        yield part
+        n, part = n - part, part * 2
 
 
 def _knapsack(counts: dict[int, int], take: dict[int, int], left: int, pool: list[int], window: int, least: int) -> dict[int, int]:
-    """``take`` with the lengths of ``pool`` fitted anew to what is left, documents of up to ``window`` words given back before."""
+    """``take`` with the lengths of ``pool`` fitted anew to what is left, documents of up to ``window`` words given back before.
+
+    Of every sum the first part that reaches it is kept, which is enough to walk back: the sum before was there without it.
+    """
     take = dict(take)
     for x in pool:
         back = max(0, min(take[x], (window - left) // x))
         take[x] -= back
         left += back * x
-    reach, mask, seen = 1, (1 << (2 * left + 1)) - 1, []
+    reach, mask, first, parts = 1, (1 << (2 * left + 1)) - 1, np.zeros(2 * left + 8, np.int32), []
+    near = lambda: reach >> max(0, left - least) & 1 or reach >> (left + least) & 1
     for x in pool:
-        free, part = min(counts[x] - take[x], 2 * left // x), 1
-        while free > 0:
-            part = min(part, free)
-            seen.append((x, part, reach))
-            reach |= (reach << (x * part)) & mask
-            free, part = free - part, part * 2
-        if reach >> max(0, left - least) & 1 or reach >> (left + least) & 1:
+        for part in _parts(min(counts[x] - take[x], 2 * left // x)):
+            new = reach << x * part & mask & ~reach
+            if new:
+                whole = np.frombuffer(new.to_bytes(2 * left // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(whole)
+                byte, bit = np.nonzero(np.unpackbits(whole[some, None], axis=1, bitorder="little"))
+                first[8 * some[byte] + bit] = len(parts)
+                reach |= new
+            parts.append((x, part))
+        if near():
             break
     below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
     above = reach >> (left + 1)
     next_up = left + (above & -above).bit_length() if above else None
     at = below if next_up is None or left - below <= next_up - left else next_up
-    for x, part, before in reversed(seen):
-        if not before >> at & 1:
-            take[x] += part
-            at -= x * part
+    while at:
+        x, part = parts[first[at]]
+        take[x] += part
+        at -= x * part
     return take
 
 

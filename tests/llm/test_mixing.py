@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 from fractions import Fraction
 
 from mustra.llm import mixing, queries
@@ -39,6 +41,29 @@ def test_fit_of_long_documents():
         assert abs(words(lengths, budget) - budget) == min(abs(r - budget) for r in reach)
 
 
+def test_a_long_document_that_breaks_the_divisor_costs_little():
+    for n, odd in ((501, 2_000_001), (1001, 6_000_001), (2000, 50_000_001)):
+        counts = {2 * (i + 10): 1000 for i in range(n - 1)} | {odd: 1}
+        total = sum(x * k for x, k in counts.items())
+        for budget in (total // 3 | 1, total // 3 & ~1, total * 7 // 10 | 1):
+            tracemalloc.start()
+            begun = time.perf_counter()
+            take = mixing.fit(counts, budget)
+            took, peak = time.perf_counter() - begun, tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert sum(x * k for x, k in take.items()) == budget and all(0 <= k <= counts[x] for x, k in take.items())
+            assert took < 5 and peak < 100e6
+
+
+def test_memory_is_bounded_where_only_long_documents_are_left():
+    counts = {1_000_000 + 1009 * i: 2 for i in range(200)} | {7_000_003: 1, 30: 1}
+    tracemalloc.start()
+    take = mixing.fit(counts, 123_456_789)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and abs(sum(x * k for x, k in take.items()) - 123_456_789) < 5000
+
+
 def test_documents(spark, sf_dir):
     import re
 
