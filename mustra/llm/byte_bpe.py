@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mustra.llm.common import text_or_empty
+from mustra.llm.common import valid_text
 
 LEAF_CHARS = 16384
 WINDOW_CHARS = 64
@@ -139,7 +139,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         coder = _coder(ranks_path, pattern)
         return texts.map(lambda t: np.array(coder.encode(t), np.int32))
 
-    return docs.withColumn(ids_col, encode_all(text_or_empty(text_col)))
+    return docs.withColumn(ids_col, encode_all(valid_text(text_col)))
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def recode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     """``docs`` with a column ``ids_col`` of token ids behind the others, and ``text_col`` replaced by what they decode to; each
     text is encoded once, and ``rows`` of them are held at a time."""
     place = docs.columns.index(text_col)
-    given = docs.withColumn(text_col, text_or_empty(text_col))
+    given = docs.withColumn(text_col, valid_text(text_col))
     schema = T.StructType([*given.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +192,5 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 text_digests.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), valid_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

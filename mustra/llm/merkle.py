@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mustra.llm.common import text_or_empty
+from mustra.llm.common import valid_text
 
 SHORT = 8
 #: Leaves of more characters are cut, behind about every eighth word.
@@ -147,7 +147,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t).text for t in batch.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), valid_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
@@ -216,6 +216,6 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     rows, size = [], 0
         yield out(rows)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), valid_text(text_col).alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _ranges(rows, ranges).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)

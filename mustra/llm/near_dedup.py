@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.llm.common import fresh, stage, text_or_empty
+from mustra.llm.common import fresh, stage, valid_text
 
 WORDS = 5
 #: Similarity of a link, as a fraction.
@@ -198,7 +198,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                     sets, counts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["id", "key", "n", "signature"])
 
-    text = text_or_empty(text_col)
+    text = valid_text(text_col)
     rows = docs.select(F.col(id_col).alias("id"), _key(text).alias("key"), text.alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, key binary, n int, signature binary")
 
@@ -389,7 +389,7 @@ class NearClasses:
 
     def texts(self, keys: DataFrame) -> DataFrame:
         """key, text of the nodes named."""
-        text = text_or_empty(self.text_col)
+        text = valid_text(self.text_col)
         # copies are combined before the shuffle, so that no task gets all rows of a hot key
         once = self.docs.select(_key(text).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
         return stage(once.join(keys, "key"))
@@ -427,6 +427,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = NearClasses(docs, id_col, text_col, **settings).classes()
     stays = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("comp", "class_id").agg(F.min("key").alias("key"))
     key = fresh(docs, "text_key")
-    marked = docs.withColumn(key, _key(text_or_empty(text_col)))
+    marked = docs.withColumn(key, _key(valid_text(text_col)))
     kept = marked.alias("d").join(stays.alias("s"), (F.col(f"d.{key}") == F.col("s.key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("s.class_id"))).select("d.*")
     return kept.dropDuplicates([key, id_col]).drop(key)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mustra.llm.common import fresh, text_or_empty
+from mustra.llm.common import fresh, valid_text
 
 SAMPLE_ROWS = 20_000
 SEED = 11
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trees from at most ``sample_rows`` labelled documents that aren't held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     sample = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows)
-    chosen = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id")
+    chosen = docs.select(F.col(id_col).alias("id"), valid_text(text_col).alias("text")).join(F.broadcast(sample), "id")
     described = chosen.select("id", "label", _describe_all("text").alias("x")).groupBy("id", "label").agg(F.min("x").alias("x"))
     rows = described.toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
@@ -183,7 +183,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str
             return pd.Series([], dtype=float)
         return pd.Series(trees.score(np.stack([describe(t or "") for t in texts])))
 
-    return docs.withColumn(score_col, score_all(text_or_empty(text_col)))
+    return docs.withColumn(score_col, score_all(valid_text(text_col)))
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
