@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -104,3 +105,42 @@ def test_trees_and_likeness_against_another_way():
 def test_ids_are_integers(spark):
     with pytest.raises(TypeError):
         merkle.neighbour_likeness(spark.createDataFrame([("a", "t")], "doc_id string, text string"))
+
+
+SCRIPTS = {
+    "stops": lambda rng: "".join("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.randrange(5, 40))) + rng.choice("。！？") for _ in range(200)),
+    "no stops": lambda rng: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(6000)),
+    "letters": lambda rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)),
+    "wide": lambda rng: "".join(chr(rng.randrange(0x1F300, 0x1F600)) for _ in range(3000)),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_texts_without_white_space(script):
+    rng = random.Random(script)
+    text, other = SCRIPTS[script](rng), SCRIPTS[script](rng)
+    tree = merkle.fingerprint(text)
+    like = lambda changed: merkle.likeness(tree, merkle.fingerprint(changed))
+    assert 0.5 < like(merkle.edited(text, other)) < 0.8
+    assert 0.95 < like(text[:1000] + "x" + text[1000:]) < 1 and like(text[:-1]) > 0.95
+    assert like(other) < 0.05 and like(str(text)) == 1
+    assert "".join(merkle._leaves(text)) == text and max(map(len, merkle._leaves(text))) <= merkle.LEAF_MOST + merkle.LEAF_CHARS
+
+
+def test_leaves_of_one_character_again_and_again_and_of_blanks():
+    for text in ("a" * 5000, " " * 5000, "ab" * 3000, "。" * 300, "a" * 65, "é" * 64):
+        assert "".join(merkle._leaves(text)) == text and len(list(merkle._leaves(text))) <= 1 + len(text) / merkle.PIECE_LEAST
+
+
+def brute_likeness(a, b):
+    """Over the multisets of leaves as texts."""
+    one, two = (Counter(leaf for s in merkle._sections(t) for p in s.splitlines(keepends=True) for leaf in merkle._leaves(p)) for t in (a, b))
+    return 1.0 if a == b else 2 * sum(len(x) * min(n, two[x]) for x, n in one.items()) / (len(a) + len(b))
+
+
+def test_likeness_equals_brute_force_in_any_script():
+    rng = random.Random(9)
+    for _ in range(40):
+        text = rng.choice(list(SCRIPTS.values()))(rng)[: rng.randrange(900)] + rng.choice(["\n\n", "\n", " ", "。"]) + rng.choice(list(SCRIPTS.values()))(rng)[: rng.randrange(900)]
+        other = merkle.edited(text, text[::-1])
+        assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(other)) == pytest.approx(brute_likeness(text, other))
