@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mustra.model import CohortModel
+from mustra.operators import bitmap
 from mustra.operators import profile as profiles
 from mustra.operators import search as searches
-from mustra.plans.planner import AUTO, plan
+from mustra.plans.planner import AUTO, BITMAP, bitmaps, choose, plan
 from mustra.plans.resolve import LENIENT, ResolvedQuery, resolve
 from mustra.request import QueryRequest, model_context
-from mustra.sources.facts import load_index, save_index
+from mustra.sources.facts import open_index, save_index
 
 
 @dataclass(frozen=True)
@@ -45,17 +46,18 @@ class CohortResult:
 class CohortEngine:
     """Cohort queries over one table of facts.
 
-    ``words``: a table of the vocabulary (attr, value); without it names are looked up in the facts.
-    ``crosswalk``: (source, target, ord) for the model's crosswalk event.
+    ``words``: a table of the vocabulary (attr, value, n_persons); without it names are looked up in the facts.
+    ``crosswalk``: (source, target, ord) for the model's crosswalk event. ``blocks``: an index's bitmaps, which counts, profiles and
+    statistics then come from.
     """
 
-    def __init__(self, model: CohortModel, facts: DataFrame, persons: DataFrame, words: DataFrame | None = None, crosswalk: DataFrame | None = None, semantics: str = LENIENT, planner: str = AUTO):
-        self.model, self.facts, self.persons, self.words, self.crosswalk, self.semantics, self.planner = model, facts, persons, words, crosswalk, semantics, planner
+    def __init__(self, model: CohortModel, facts: DataFrame, persons: DataFrame, words: DataFrame | None = None, crosswalk: DataFrame | None = None, semantics: str = LENIENT, planner: str = AUTO, blocks: DataFrame | None = None):
+        self.model, self.facts, self.persons, self.words, self.crosswalk, self.semantics, self.planner, self.blocks = model, facts, persons, words, crosswalk, semantics, planner, blocks
 
     @classmethod
     def load(cls, spark: SparkSession, model: CohortModel, path: str, **options) -> CohortEngine:
-        facts, persons, words = load_index(spark, path)
-        return cls(model, facts, persons, words, **options)
+        index = open_index(spark, path)
+        return cls(model, index.facts, index.persons, index.words, blocks=index.blocks, **options)
 
     def save(self, path: str) -> None:
         """Writes the index; ``path`` may be the one that this engine was loaded from."""
@@ -91,17 +93,31 @@ class CohortEngine:
         return resolve(request, self.facts if self.words is None else self.words, self.model, self.crosswalk, self.semantics)
 
     def cohort(self, request: QueryRequest) -> DataFrame:
-        return plan(self.resolve(request), self.facts, self.planner)
+        return plan(self.resolve(request), self.facts, self.planner, self.words, self.blocks)
+
+    def cohort_bitmaps(self, request: QueryRequest) -> DataFrame:
+        """The cohort as a bitmap set (bucket, bitmap); of a loaded index only."""
+        if self.blocks is None:
+            raise ValueError("only an index has bitmaps")
+        return bitmaps(self.resolve(request), self.blocks)
 
     def query(self, request: QueryRequest, count_only: bool = True, profile: bool = False) -> CohortResult:
         resolved = self.resolve(request)
-        ids = plan(resolved, self.facts, self.planner)
+        planner, bounds = choose(resolved, self.words, self.blocks) if self.planner == AUTO else (self.planner, None)
         patients = found = None
+        if planner == BITMAP and self.blocks is not None:
+            held = bitmaps(resolved, self.blocks)
+            ids, count = bitmap.ids_of(held), bitmap.count_bitmaps(held)
+            if profile:
+                found = profiles.profile_of_blocks(self.blocks, held, self.model, resolved.included)
+        else:
+            ids = plan(resolved, self.facts, planner, bounds=bounds)
+            count = profiles.cohort_count(ids)
+            if profile:
+                found = profiles.profile_both(self.facts, ids, self.model, resolved.included)
         if not count_only:
             patients = self.persons.join(ids, "person_id", "left_semi").orderBy("person_id").select("person_id", "person_guid")
-        if profile:
-            found = profiles.ordered(profiles.profile_both(self.facts, ids, self.model, resolved.included), self.model)
-        return CohortResult(ids, profiles.cohort_count(ids), patients, found)
+        return CohortResult(ids, count, patients, None if found is None else profiles.ordered(found, self.model))
 
     def search(self, event_type: str, keyword: str, mode: str = searches.PREFIX, limit: int = searches.PAGE, offset: int = 0) -> DataFrame:
         """value, position, total."""
@@ -112,6 +128,8 @@ class CohortEngine:
         return searches.page(searches.ranked(values, keyword, mode, crosswalk), limit, offset)
 
     def stats(self) -> DataFrame:
+        if self.blocks is not None:
+            return profiles.index_stats_of_blocks(self.blocks, self.persons)
         return profiles.index_stats(self.facts, self.persons)
 
     def ask(self, messages: Sequence[dict], planner: Callable[[Sequence[dict], CohortEngine], QueryRequest | None], answer: Callable[[list[dict]], str] | None = None) -> dict:

@@ -1,15 +1,20 @@
 """Bitmap forms of sets: fixed blocks of 32,768 ids, for exact counts that combine without the ids.
 
-A bitmap set is a table (bucket, bitmap); the counts agree with countDistinct for ids from 1 up.
+A bitmap set is a table (bucket, bitmap). All is done by the JVM: ``and`` and ``or`` are aggregates, a block's complement is
+read off its hexadecimal digits, and ids come out of the bytes that aren't zero.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+BLOCK_BYTES = 4096
+BLOCK_IDS = 8 * BLOCK_BYTES
 
 
 def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
@@ -18,8 +23,30 @@ def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
+def fact_blocks(facts: DataFrame) -> DataFrame:
+    """attr, value, yyyymm, bucket, bitmap: a block for each value and month, and one with a null month over all facts of the value.
+
+    Facts are combined by value and month before they are shuffled, the months' blocks once more for the value's.
+    """
+    by_month = to_bitmaps(facts, "attr", "value", "yyyymm")
+    places = F.array_compact(F.array(F.lit(-1), F.col("yyyymm")))
+    dealt = by_month.select("attr", "value", F.explode(places).alias("month"), "bucket", "bitmap")
+    united = dealt.groupBy("attr", "value", "month", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return united.select("attr", "value", F.nullif(F.col("month"), F.lit(-1)).alias("yyyymm"), "bucket", "bitmap")
+
+
+def merged(blocks: DataFrame, *keys: str) -> DataFrame:
+    """One block a bucket and key, of blocks that came at different times."""
+    return blocks.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def whole(blocks: DataFrame) -> DataFrame:
+    """attr, value, bucket, bitmap over all facts of each value."""
+    return merged(blocks.filter(F.col("yyyymm").isNull()), "attr", "value")
+
+
 def count_bitmaps(bitmaps: DataFrame, *keys: str) -> DataFrame:
-    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bitmap")).alias("count"))
+    return bitmaps.groupBy(*keys).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("count"))
 
 
 def or_bitmaps(*sets: DataFrame) -> DataFrame:
@@ -38,14 +65,47 @@ def and_bitmaps(*sets: DataFrame) -> DataFrame:
     return met.filter(F.col("sets") == len(sets)).select("bucket", "bitmap")
 
 
-@F.pandas_udf(T.BinaryType())
-def _without(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Spark has no negation of bitmaps; blocks of 4096 bytes go through Arrow."""
-    cleared = lambda a, b: a if b is None else (np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes()
-    return pd.Series([cleared(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+def complement(bitmap: Column) -> Column:
+    """The ids of a block that it lacks; Spark has no such function, so its digits are exchanged."""
+    return F.unhex(F.translate(F.hex(bitmap), "0123456789ABCDEF", "FEDCBA9876543210"))
 
 
 def subtract_bitmaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """The ids of ``left`` that ``right`` lacks; both hold a bucket once."""
-    both = left.select("bucket", F.col("bitmap").alias("own")).join(right.select("bucket", F.col("bitmap").alias("other")), "bucket", "left")
-    return both.select("bucket", _without("own", "other").alias("bitmap"))
+    both = left.select("bucket", "bitmap", F.lit(True).alias("own")).unionByName(right.select("bucket", complement(F.col("bitmap")).alias("bitmap"), F.lit(False).alias("own")))
+    return both.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.bool_or("own").alias("own")).filter("own").select("bucket", "bitmap")
+
+
+def ids_of(bitmaps: DataFrame) -> DataFrame:
+    """person_id of every bit."""
+    one = lambda i: F.substring(F.col("bitmap"), i + 1, F.lit(1))
+    used = F.filter(F.sequence(F.lit(0), F.lit(BLOCK_BYTES - 1)), lambda i: one(i) != F.lit(b"\0"))
+    bytes_ = F.transform(used, lambda i: F.struct(i.alias("at"), F.conv(F.hex(one(i)), 16, 10).cast("int").alias("bits")))
+    spread = bitmaps.select("bucket", F.explode(bytes_).alias("byte"))
+    set_ = F.expr("filter(array(0, 1, 2, 3, 4, 5, 6, 7), b -> shiftright(byte.bits, b) & 1 = 1)")
+    placed = spread.select("bucket", F.explode(set_).alias("bit"), F.col("byte.at").alias("at"))
+    bit = F.col("at") * 8 + F.col("bit")
+    # buckets up to 0 hold places up to 0, counted backwards
+    return placed.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BLOCK_IDS + bit).otherwise(F.col("bucket") * BLOCK_IDS - bit - 1).cast("long").alias("person_id"))
+
+
+def profile(blocks: DataFrame, cohort: DataFrame) -> DataFrame:
+    """attr, value, count: how many of a bitmap set hold each value that ``blocks`` (over all facts, once a bucket) have; none for zero."""
+    met = blocks.join(cohort.select("bucket", F.col("bitmap").alias("cohort")), "bucket")
+    pairs = met.select("attr", "value", "bucket", F.explode(F.array("bitmap", "cohort")).alias("bitmap"))
+    both = pairs.groupBy("attr", "value", "bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
+    return count_bitmaps(both, "attr", "value").filter("count > 0")
+
+
+def clauses(blocks: DataFrame, all_of: Sequence[Column], none_of: Sequence[Column] = (), counted: Mapping[int, Column] = {}) -> DataFrame:  # noqa: B006
+    """bucket, bitmap: the ids that some block of each predicate in ``all_of`` holds and none of ``none_of``.
+
+    The blocks wanted are united per clause and bucket before they are shuffled; the clauses of a bucket then meet in one row.
+    ``counted``: by the place of a clause of ``all_of``, a scalar that says whether it is asked for at all.
+    """
+    flags = [*all_of, *none_of]
+    united = blocks.filter(reduce(or_, flags)).groupBy("bucket").agg(*(F.bitmap_or_agg(F.when(f, F.col("bitmap"))).alias(f"c{i}") for i, f in enumerate(flags)))
+    sets = [F.col(f"c{i}") if i < len(all_of) else complement(F.col(f"c{i}")) for i in range(len(flags))]
+    sets = [F.when(counted[i], s) if i in counted else s for i, s in enumerate(sets)]
+    met = united.select("bucket", F.explode(F.array(*sets)).alias("bitmap")).filter(F.col("bitmap").isNotNull())
+    return met.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap")).filter(F.bitmap_count("bitmap") > 0)

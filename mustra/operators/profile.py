@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mustra.model import CohortModel
+from mustra.operators import bitmap
 from mustra.plans.resolve import Term, any_term
 
 
@@ -64,9 +65,30 @@ def month_cardinality(facts: DataFrame) -> DataFrame:
 
 
 def index_stats(facts: DataFrame, persons: DataFrame) -> DataFrame:
-    """patient_count, and fact_count: distinct (value, person) and distinct (value, month, person) together."""
-    # one reading of the facts counts both; distinct facts first, which takes fewer passes over them than a distinct count
-    distinct = facts.select("attr", "value", "person_id", "yyyymm").distinct()
-    each = distinct.groupBy("attr", "value", "person_id").agg(F.count("yyyymm").alias("months"))
-    total = each.agg(F.coalesce(F.sum(F.lit(1) + F.col("months")), F.lit(0)).cast("long").alias("fact_count"))
+    """patient_count, and fact_count: distinct (value, person) and distinct (value, month, person) together.
+
+    Facts become blocks before they are shuffled, so what is shuffled follows the values and months, not the facts.
+    """
+    months = bitmap.to_bitmaps(facts, "attr", "value", "yyyymm")
+    return _stats(months, F.bitmap_count(F.bitmap_or_agg("bitmap")), F.col("yyyymm").isNotNull(), persons)
+
+
+def index_stats_of_blocks(blocks: DataFrame, persons: DataFrame) -> DataFrame:
+    """The same from an index's blocks alone."""
+    one = bitmap.merged(blocks, "attr", "value", "yyyymm")
+    return _stats(one, F.lit(0), F.lit(True), persons)
+
+
+def _stats(blocks: DataFrame, whole: Column, counted: Column, persons: DataFrame) -> DataFrame:
+    """The blocks for which ``counted`` holds, and ``whole`` of those of each value."""
+    each = blocks.groupBy("attr", "value", "bucket").agg((whole + F.coalesce(F.sum(F.when(counted, F.bitmap_count("bitmap"))), F.lit(0))).alias("n"))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("fact_count"))
     return total.select(persons.agg(F.count("*").alias("n")).scalar().alias("patient_count"), "fact_count")
+
+
+def profile_of_blocks(blocks: DataFrame, cohort: DataFrame, model: CohortModel, included: Sequence[Term]) -> DataFrame:
+    """The profiles of ``profile_both`` for a bitmap set, from an index's blocks alone."""
+    of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
+    named = any_term(included) if included else F.lit(False)
+    counts = bitmap.profile(bitmap.whole(blocks.filter(of_model | named)), cohort)
+    return counts.select(F.when(of_model, "attribute").otherwise("event").alias("kind"), F.col("attr").alias("name"), F.col("value").alias("key"), "count")

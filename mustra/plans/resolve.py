@@ -59,6 +59,8 @@ class ResolvedQuery:
     included: tuple[Term, ...] = ()
     void: bool = False
     lenient: bool = True
+    #: Whether anybody at all matches events.anyOf, where that came with looking up its names in the facts.
+    hit: bool | None = None
 
     @property
     def positive(self) -> bool:
@@ -77,14 +79,17 @@ def _in_doubt(request: QueryRequest, semantics: str) -> set[AttrFilter | EventFi
 class Lookup:
     """Which of the named values and prefixes exist, and the named codes' crosswalk targets."""
 
-    def __init__(self, request: QueryRequest, facts: DataFrame, crosswalk: DataFrame | None, model: CohortModel, semantics: str):
-        self.model, self.targets = model, {}
+    def __init__(self, request: QueryRequest, known: DataFrame, crosswalk: DataFrame | None, model: CohortModel, semantics: str):
+        self.model, self.targets, self.monthly = model, {}, "yyyymm" in known.columns
         mappable = sorted({f.value for f in request.events if f.attr == model.crosswalk_event and "*" not in f.value})
         if crosswalk is not None and mappable:
             for r in crosswalk.filter(F.col("source").isin(mappable)).orderBy("ord").collect():
                 self.targets.setdefault(r.source, []).append(r.target)
-        self.doubtful = {n for f in _in_doubt(request, semantics) for n in self.names(f)}
-        self.found = self._find(facts, self.doubtful)
+        doubtful = _in_doubt(request, semantics)
+        self.doubtful = {n for f in doubtful for n in self.names(f)}
+        # where names are looked up in facts, whether anybody has them in their months comes with it
+        dated = {Term(n.attr, n.values, n.prefix, f.months) for f in doubtful & set(request.events.any_of) for n in self.names(f) if f.months} if self.monthly else set()
+        self.found = self._find(known, self.doubtful | dated)
 
     def codes(self, f: AttrFilter | EventFilter) -> list[str]:
         """The values that an exact filter stands for."""
@@ -101,6 +106,13 @@ class Lookup:
     def known(self, f: AttrFilter | EventFilter) -> list[Term]:
         return [t for t in self.names(f) if t not in self.doubtful or t in self.found]
 
+    def hit(self, request: QueryRequest) -> bool | None:
+        """Whether anybody matches events.anyOf; None if that wasn't looked up."""
+        named = [(n, f.months) for f in request.events.any_of for n in self.names(f)]
+        if not self.monthly or any(n not in self.doubtful for n, _ in named):
+            return None
+        return any(n in self.found if months is None else Term(n.attr, n.values, n.prefix, months) in self.found for n, months in named)
+
     @staticmethod
     def _find(facts: DataFrame, named: set[Term]) -> set[Term]:
         terms = sorted(named, key=repr)
@@ -122,15 +134,17 @@ def attr_term(f: AttrFilter, lookup: Lookup) -> Term | None:
     return next(iter(lookup.known(f)), None)
 
 
-def resolve(request: QueryRequest, facts: DataFrame, model: CohortModel, crosswalk: DataFrame | None = None, semantics: str = LENIENT) -> ResolvedQuery:
-    """Lenient: an unknown item is dropped beside known ones. Strict: an unknown item of an allOf list matches nobody.
+def resolve(request: QueryRequest, known: DataFrame, model: CohortModel, crosswalk: DataFrame | None = None, semantics: str = LENIENT) -> ResolvedQuery:
+    """``known``: the vocabulary, or the facts where there is none.
+
+    Lenient: an unknown item is dropped beside known ones. Strict: an unknown item of an allOf list matches nobody.
 
     Both: a list of which nothing is known matches nobody; unknown exclusions don't count; without a positive
     item nobody matches.
     """
     if semantics not in (STRICT, LENIENT):
         raise ValueError(f"semantics is {STRICT} or {LENIENT}")
-    lookup = Lookup(request, facts, crosswalk, model, semantics)
+    lookup = Lookup(request, known, crosswalk, model, semantics)
     lenient, a, e = semantics == LENIENT, request.attributes, request.events
     lists = {"attr_all": (a.all_of, attr_term), "event_all": (e.all_of, event_term), "attr_any": (a.any_of, attr_term), "event_any": (e.any_of, event_term), "attr_not": (a.exclude, attr_term), "event_not": (e.exclude, event_term)}
     terms = {k: tuple(t for f in fs if (t := make(f, lookup))) for k, (fs, make) in lists.items()}
@@ -138,5 +152,5 @@ def resolve(request: QueryRequest, facts: DataFrame, model: CohortModel, crosswa
     if not lenient:  # what no lookup says is said by the facts themselves
         lost |= any(len(lists[k][0]) > len(terms[k]) for k in ("attr_all", "event_all"))
     included = tuple(dict.fromkeys(t.timeless() for t in terms["event_all"] + terms["event_any"]))
-    out = ResolvedQuery(terms["attr_all"] + terms["event_all"], terms["attr_any"], terms["event_any"], terms["attr_not"] + terms["event_not"], included, lenient=lenient)
+    out = ResolvedQuery(terms["attr_all"] + terms["event_all"], terms["attr_any"], terms["event_any"], terms["attr_not"] + terms["event_not"], included, lenient=lenient, hit=lookup.hit(request) if terms["event_any"] else None)
     return ResolvedQuery(void=True, lenient=lenient) if lost or not out.positive else out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +10,13 @@ from pyspark.sql import functions as F
 from mustra.engine import CohortEngine
 from mustra.functions.columns import month_list, normalised_code, year_of, yyyymm
 from mustra.operators import bitmap, profile, search, setops
-from mustra.plans.planner import JOINS, ONE_PASS
+from mustra.plans.planner import BITMAP, JOINS, ONE_PASS
 from mustra.plans.resolve import STRICT
 from mustra.request import QueryRequest
-from mustra.sources.crosswalk import read_crosswalk
+from mustra.sources.crosswalk import crosswalk_of, read_crosswalk
 from mustra.sources.datasets import ORDERS, ORDERS_CROSSWALK, clicks_engine, corpus_engine, order_facts, orders_engine, table
-from mustra.sources.facts import append_to_index, facts_of, remove_folder
+from mustra.sources.facts import append_to_index, compact_index, facts_of
+from mustra.sources.store import new_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,16 +238,9 @@ add("clickstream_no_attributes", lambda spark, sf_dir: profile.cohort_count(clic
 add("corpus_labels", lambda spark, sf_dir: corpus_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("lang", "en"), ("quality", "1")], attr_exclude=[("toxic", "1")])), "WITH l AS (SELECT * FROM labels) SELECT DISTINCT doc_id AS person_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM l WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)")
 
 
-def _place(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one (or the warehouse), gone when the driver ends."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(remove_folder, spark, path)
-    return path
-
-
 def _written(spark: SparkSession, engine: CohortEngine, use: Callable[[str], DataFrame]) -> DataFrame:
     """What ``use`` gives for the path of ``engine``'s saved index."""
-    path = _place(spark, "index")
+    path = new_place(spark, "index")
     engine.save(path)
     return use(path)
 
@@ -282,11 +274,51 @@ def _crosswalk_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file with a header behind an empty line, of nations and their regions, read back."""
     pairs = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lines = pairs.agg(F.array_sort(F.collect_list(F.concat(F.lit(' "'), "n_name", F.lit('"\t,'), "r_name", F.lit(" ")))).alias("lines"))
-    path = _place(spark, "walk")
+    path = new_place(spark, "walk")
     lines.select(F.concat(F.lit("\nRXNORM_Code,target\r\n"), F.array_join("lines", "\n")).alias("value")).coalesce(1).write.text(path)
     return read_crosswalk(spark, path).select("source", "target")
 
 
+def _indexed(use: Callable[[CohortEngine], DataFrame], **options) -> Query:
+    """What ``use`` gives for the engine of an index."""
+    return lambda spark, sf_dir: _written(spark, orders_engine(spark, sf_dir, once=True), lambda path: use(CohortEngine.load(spark, ORDERS, path, crosswalk=crosswalk_of(spark, ORDERS_CROSSWALK), **options)))
+
+
+def _append_twice(spark: SparkSession, path: str, sf_dir: str) -> None:
+    """Facts that the index has already and some that it hasn't, in two goes."""
+    clicks = facts_of(table(spark, sf_dir, "events"), F.col("user_id"), "priority", F.concat(F.lit("saw-"), F.col("event_type")), yyyymm(F.col("ts")))
+    append_to_index(clicks, path)
+    append_to_index(clicks.unionByName(order_facts(spark, sf_dir).filter("attr = 'priority'")), path)
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of an index after two appends and a compaction; each is there once."""
+
+    def use(path: str) -> DataFrame:
+        _append_twice(spark, path, sf_dir)
+        compact_index(spark, path)
+        return CohortEngine.load(spark, ORDERS, path).facts.filter("attr IN ('priority', 'segment')").select("person_id", "attr", "value", "yyyymm")
+
+    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+
+
+def _appended_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def use(path: str) -> DataFrame:
+        _append_twice(spark, path, sf_dir)
+        return CohortEngine.load(spark, ORDERS, path).words
+
+    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+
+
+_SAW = "SELECT user_id AS person_id, 'priority' AS attr, 'saw-' || event_type AS value, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS yyyymm FROM events"
+_PROFILES = f"SELECT 'attribute' AS kind, {_COUNTS.format(who=PROFILED_SQL, which=_ATTRS)} UNION ALL SELECT 'event', {_COUNTS.format(who=PROFILED_SQL, which=_EVENTS)}"
+add("cohort_flagship_bitmap", _indexed(lambda e: e.cohort(QueryRequest.of(**FLAGSHIP)), planner=BITMAP), FLAGSHIP_SQL)
+add("cohort_count_bitmap", _indexed(lambda e: e.query(QueryRequest.of(**FLAGSHIP)).count, planner=BITMAP), f"SELECT count(*) AS count FROM ({FLAGSHIP_SQL})")
+add("profile_bitmap", _indexed(lambda e: e.query(QueryRequest.of(**PROFILED), profile=True).profile, planner=BITMAP), _PROFILES)
+add("index_stats_bitmap", _indexed(lambda e: e.stats()), SQL["index_stats"])
+add("cohort_by_cost", _indexed(lambda e: e.cohort(QueryRequest.of(**PROFILED))), PROFILED_SQL)
+add("append_compact_query", _compacted, f"SELECT DISTINCT person_id, attr, value, yyyymm FROM (SELECT * FROM facts WHERE attr IN ('priority', 'segment') UNION ALL {_SAW})")
+add("vocabulary_after_append", _appended_words, f"SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM (SELECT * FROM facts UNION ALL {_SAW}) GROUP BY attr, value")
 add("index_round_trip", _round_trip, "SELECT DISTINCT person_id, attr, value, yyyymm FROM facts")
 add("append_then_query", _appended, who(_in(BUILDING), "IN (SELECT user_id FROM events WHERE event_type = 'purchase')"))
 add("index_vocabulary", _vocabulary, "SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM facts GROUP BY attr, value")

@@ -2,29 +2,62 @@
 
 Facts are one long table (person_id, attr, value, yyyymm); attributes have no month. They are unions of one projection
 per attribute with a literal ``attr``, so a filter on ``attr`` removes whole branches and one on ``value`` reaches the scan.
+
+An index is a log of snapshots. A snapshot names the folders that make it up and which attributes of each are its own::
+
+    meta/number=7        version, folder (that of the persons), parts: (folder, attrs; null: all), sealed
+    data-<id>/facts      attr=...: person_id, value, yyyymm, sorted by value
+    data-<id>/blocks     attr=...: value, yyyymm, bucket, bitmap, sorted by value; a null month stands for all facts of a value
+    data-<id>/vocabulary attr, value, n_persons: how many persons this folder adds to the value
+    data-<id>/persons    person_id, person_guid
+
+A save, an append and a compaction each write a folder of their own and then one snapshot, so what isn't written to the end
+is never read, and a reader keeps what it has opened. Blocks are united and counts added, so both stay right under appends;
+facts may repeat between folders until a compaction, which rewrites only attributes that several folders hold.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = 2
+from mustra.operators import bitmap
+from mustra.sources.store import exists, folders, remove_folder
+
+FORMAT_VERSION = 3
 FACTS = "person_id long, attr string, value string, yyyymm int"
+BLOCKS = "attr string, value string, yyyymm int, bucket long, bitmap binary"
 WORDS = "attr string, value string, n_persons long"
 PERSONS = "person_id long, person_guid string"
-META = "version int, folder string, number long"
+META = "version int, folder string, parts array<struct<folder: string, attrs: array<string>>>, sealed boolean, number long"
+LEASES = "number long, until double"
 
 
 class IndexFormatError(ValueError):
     """A folder that is no index of this format."""
 
 
+class IndexConflictError(RuntimeError):
+    """Another writer has made a snapshot meanwhile; what was written is not part of the index."""
+
+
+class Index(NamedTuple):
+    """A snapshot as tables."""
+
+    facts: DataFrame
+    persons: DataFrame
+    words: DataFrame
+    blocks: DataFrame
+
+
 def facts_of(rows: DataFrame, person: Column, attr: str, value: Column, month: Column | None = None) -> DataFrame:
     """One attribute's or event type's facts; rows without a person or a value make none."""
     out = rows.select(person.cast("long").alias("person_id"), F.lit(attr).alias("attr"), value.cast("string").alias("value"), (F.lit(None) if month is None else month).cast("int").alias("yyyymm"))
@@ -45,74 +78,168 @@ def vocabulary(facts: DataFrame) -> DataFrame:
     return facts.groupBy("attr", "value").agg(F.countDistinct("person_id").alias("n_persons"))
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Removes a folder of any store that Spark knows, as long as the session lives."""
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    place = context._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+def _snapshots(spark: SparkSession, path: str) -> list[Row]:
+    """The newest first; an error of the store or of rights is not taken for a missing index."""
+    if not exists(spark, f"{path}/meta"):
+        raise IndexFormatError(f"{path}: no index")
+    return spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.col("number").desc_nulls_last()).collect()
+
 
+def _current(spark: SparkSession, path: str) -> list[Row]:
+    """The snapshots of an index that can be read."""
+    found = _snapshots(spark, path)
+    if not found or found[0].version != FORMAT_VERSION or not found[0].parts:
+        raise IndexFormatError(f"{path}: version {found[0].version if found else None}, not {FORMAT_VERSION}")
+    return found
 
-def _saves(spark: SparkSession, path: str) -> list[Row]:
-    """The index's saves, the newest first."""
+
+def has_index(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path}/meta")
+
+
+def snapshot_number(spark: SparkSession, path: str) -> int:
+    return _current(spark, path)[0].number
+
+
+def _add_snapshot(spark: SparkSession, path: str, before: list[Row], folder: str, parts: list[tuple[str, list[str] | None]], sealed: bool) -> None:
+    """One that follows ``before``; a number exists once, so of two writers one gets an error."""
+    number = max((s.number or 0 for s in before), default=0) + 1
+    row = spark.createDataFrame([(FORMAT_VERSION, folder, parts, sealed)], META.rpartition(",")[0])
     try:
-        return spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.col("number").desc_nulls_last()).collect()
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta/number={number}")
     except AnalysisException as e:
-        raise IndexFormatError(f"{path}: no index") from e
+        raise IndexConflictError(f"{path}: snapshot {number} is there already") from e
+
+
+def _folders_of(snapshots: Iterable[Row]) -> set[str]:
+    return {f for s in snapshots for f in [s.folder, *(p.folder for p in s.parts or [])] if f}
+
+
+def _still_read(spark: SparkSession, path: str, found: list[Row]) -> set[str]:
+    """Folders of the snapshots since the last but one seal, and of those under a lease."""
+    kept = found[: next((i for i, s in enumerate(found) if s.sealed), len(found)) + 1]
+    if exists(spark, f"{path}/leases"):
+        leased = {r.number for r in spark.read.schema(LEASES).parquet(f"{path}/leases").filter(F.col("until") > time.time()).collect()}
+        kept += [s for s in found if s.number in leased]
+    return _folders_of(kept)
+
 
+def lease(spark: SparkSession, path: str, seconds: float) -> int:
+    """Keeps the newest snapshot's folders for so long, whatever is saved meanwhile; the snapshot's number."""
+    number = snapshot_number(spark, path)
+    spark.createDataFrame([(number, time.time() + seconds)], LEASES).coalesce(1).write.mode("append").parquet(f"{path}/leases")
+    return number
 
-def current_folder(spark: SparkSession, path: str) -> str:
-    """The folder of the newest save."""
-    saves = _saves(spark, path)
-    if not saves or saves[0].version != FORMAT_VERSION or saves[0].folder is None:
-        raise IndexFormatError(f"{path}: version {saves[0].version if saves else None}, not {FORMAT_VERSION}")
-    return f"{path}/{saves[0].folder}"
+
+def remove_orphans(spark: SparkSession, path: str, older_than: float = 86_400) -> list[str]:
+    """Removes folders of no snapshot that nobody has written to for so many seconds: of broken saves and lost races."""
+    known = _folders_of(_snapshots(spark, path))
+    gone = [name for name, changed in folders(spark, path) if name.startswith("data-") and name not in known and changed / 1000 <= time.time() - older_than]
+    for name in gone:
+        remove_folder(spark, f"{path}/{name}")
+    return gone
+
+
+def _write_facts(facts: DataFrame, folder: str) -> DataFrame:
+    # range partitioning by value keeps a code's facts in few files and splits attributes of any size
+    dealt = facts.repartitionByRange(F.col("attr"), F.col("value"), F.col("yyyymm"), F.col("person_id")).sortWithinPartitions("attr", "value", "yyyymm")
+    dealt.write.partitionBy("attr").parquet(f"{folder}/facts")
+    return facts.sparkSession.read.schema(FACTS).parquet(f"{folder}/facts")
+
+
+def _write_blocks(blocks: DataFrame, folder: str) -> DataFrame:
+    dealt = blocks.repartitionByRange(F.col("attr"), F.col("value"), F.col("yyyymm"), F.col("bucket")).sortWithinPartitions("attr", "value", "yyyymm", "bucket")
+    # mostly zeros where a value is rare, which compress to almost nothing
+    dealt.write.partitionBy("attr").option("compression", "zstd").parquet(f"{folder}/blocks")
+    return blocks.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks")
 
 
 def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
-    """Distinct facts in a folder per ``attr``, sorted by value within files, with vocabulary and persons.
+    """Distinct facts, their blocks, vocabulary and persons, as a snapshot of one folder.
 
-    They go to a folder of their own, and only then a row of ``meta`` names it; so an index may be saved over itself, and one that
-    isn't written to the end is never read. The save before stays for those who still read it, older ones go.
+    An index may be saved over itself. The seal before and what came since stay for those who still read it, as do leased
+    snapshots; older folders go.
     """
     spark = facts.sparkSession
-    try:
-        saves = _saves(spark, path)
-    except IndexFormatError:
-        saves = []
-    folder = f"data-{uuid.uuid4().hex}"
-    distinct = facts.select("person_id", "attr", "value", "yyyymm").distinct()
-    # range partitioning by value keeps a code's facts in few files and splits attributes of any size
-    dealt = distinct.repartitionByRange(F.col("attr"), F.col("value"), F.col("yyyymm"), F.col("person_id")).sortWithinPartitions("attr", "value", "yyyymm")
-    dealt.write.partitionBy("attr").parquet(f"{path}/{folder}/facts")
-    written = spark.read.schema(FACTS).parquet(f"{path}/{folder}/facts")
-    vocabulary(written).write.parquet(f"{path}/{folder}/vocabulary")
-    persons.select("person_id", "person_guid").write.parquet(f"{path}/{folder}/persons")
-    number = max((s.number or 0 for s in saves), default=0) + 1
-    spark.createDataFrame([(FORMAT_VERSION, folder, number)], META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
-    for old in saves[1:]:
-        if old.folder:
-            remove_folder(spark, f"{path}/{old.folder}")
+    before = _snapshots(spark, path) if has_index(spark, path) else []
+    name = f"data-{uuid.uuid4().hex}"
+    folder = f"{path}/{name}"
+    written = _write_facts(facts.select("person_id", "attr", "value", "yyyymm").distinct(), folder)
+    blocks = _write_blocks(bitmap.fact_blocks(written), folder)
+    bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons").write.parquet(f"{folder}/vocabulary")
+    persons.select("person_id", "person_guid").write.parquet(f"{folder}/persons")
+    _add_snapshot(spark, path, before, name, [(name, None)], sealed=True)
+    _forget_old(spark, path, before)
 
 
-def append_to_index(facts: DataFrame, path: str) -> None:
-    """Facts behind those of a saved index, their new codes in the vocabulary first (with a null count of persons).
+def _forget_old(spark: SparkSession, path: str, before: list[Row]) -> None:
+    newest = _snapshots(spark, path)[:1]
+    for old in _folders_of(before) - _still_read(spark, path, before) - _folders_of(newest):
+        remove_folder(spark, f"{path}/{old}")
 
-    Facts that are there already may repeat; queries count distinct persons.
-    """
-    folder = current_folder(facts.sparkSession, path)
-    known = facts.sparkSession.read.parquet(f"{folder}/vocabulary").select("attr", "value")
-    new = facts.select("attr", "value").distinct().join(known, ["attr", "value"], "left_anti")
-    new.withColumn("n_persons", F.lit(None).cast("long")).write.mode("append").parquet(f"{folder}/vocabulary")
-    facts.select("person_id", "attr", "value", "yyyymm").write.mode("append").partitionBy("attr").parquet(f"{folder}/facts")
 
+def append_to_index(facts: DataFrame, path: str) -> None:
+    """Facts behind those of a saved index. Their blocks and the persons they add to each value come with them, so counts stay
+    right where facts are there already; an append that breaks off or is done again changes no answer."""
+    spark = facts.sparkSession
+    before = _current(spark, path)
+    old = _tables(spark, path, before[0])
+    name = f"data-{uuid.uuid4().hex}"
+    folder = f"{path}/{name}"
+    written = _write_facts(facts.select("person_id", "attr", "value", "yyyymm").distinct(), folder)
+    blocks = _write_blocks(bitmap.fact_blocks(written), folder)
+    new = bitmap.whole(blocks)
+    met = bitmap.whole(old.blocks).join(new.select("attr", "value", "bucket"), ["attr", "value", "bucket"], "left_semi")
+    both = new.withColumn("old", F.lit(False)).unionByName(met.withColumn("old", F.lit(True)))
+    grown = both.groupBy("attr", "value", "bucket").agg((F.bitmap_count(F.bitmap_or_agg("bitmap")) - F.bitmap_count(F.bitmap_or_agg(F.when(F.col("old"), F.col("bitmap"))))).alias("n"))
+    grown.groupBy("attr", "value").agg(F.sum("n").alias("n_persons")).filter("n_persons > 0").write.parquet(f"{folder}/vocabulary")
+    parts = [(p.folder, p.attrs) for p in before[0].parts]
+    _add_snapshot(spark, path, before, before[0].folder, [*parts, (name, None)], sealed=False)
+
+
+def compact_index(spark: SparkSession, path: str) -> list[str]:
+    """Seals what was appended: attributes that several folders hold are merged, their facts distinct and sorted, their blocks
+    united; the others stay where they are. The attributes that were merged."""
+    before = _current(spark, path)
+    held = [(p.folder, sorted(p.attrs if p.attrs is not None else _attrs_of(spark, f"{path}/{p.folder}/facts"))) for p in before[0].parts]
+    touched = sorted(a for a in {a for _, attrs in held for a in attrs} if sum(a in attrs for _, attrs in held) > 1)
+    if not touched:
+        return []
+    now, name = _tables(spark, path, before[0]), f"data-{uuid.uuid4().hex}"
+    folder, of = f"{path}/{name}", F.col("attr").isin(*touched)
+    _write_facts(now.facts.filter(of).distinct(), folder)
+    blocks = _write_blocks(bitmap.merged(now.blocks.filter(of), "attr", "value", "yyyymm"), folder)
+    bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons").write.parquet(f"{folder}/vocabulary")
+    rest = [(f, [a for a in attrs if a not in touched]) for f, attrs in held]
+    _add_snapshot(spark, path, before, before[0].folder, [*((f, attrs) for f, attrs in rest if attrs), (name, touched)], sealed=True)
+    _forget_old(spark, path, before)
+    return touched
+
+
+def _attrs_of(spark: SparkSession, folder: str) -> list[str]:
+    """The attributes of a folder of facts, by the names of its folders."""
+    return [unquote(name.partition("=")[2]) for name, _ in folders(spark, folder) if name.startswith("attr=")]
+
+
+def _tables(spark: SparkSession, path: str, snapshot: Row) -> Index:
+    def read(kind: str, schema: str) -> DataFrame:
+        tables = ((spark.read.schema(schema).parquet(f"{path}/{p.folder}/{kind}"), p.attrs) for p in snapshot.parts)
+        return union(t if attrs is None else t.filter(F.col("attr").isin(*attrs)) for t, attrs in tables)
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """facts, persons and vocabulary of a saved index."""
-    folder = current_folder(spark, path)
     try:
-        facts = spark.read.schema(FACTS).parquet(f"{folder}/facts")
-        return facts, spark.read.schema(PERSONS).parquet(f"{folder}/persons"), spark.read.schema(WORDS).parquet(f"{folder}/vocabulary")
+        words, blocks = read("vocabulary", WORDS), read("blocks", BLOCKS)
+        if len(snapshot.parts) > 1:
+            words = words.groupBy("attr", "value").agg(F.sum("n_persons").alias("n_persons"))
+        return Index(read("facts", FACTS), spark.read.schema(PERSONS).parquet(f"{path}/{snapshot.folder}/persons"), words, blocks)
     except AnalysisException as e:
         raise IndexFormatError(f"{path}: a part is missing") from e
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The newest snapshot. Blocks of one value, month and bucket may come from several folders; they are to be united."""
+    return _tables(spark, path, _current(spark, path)[0])
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts, persons and vocabulary of a saved index."""
+    return open_index(spark, path)[:3]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mustra.functions.columns import yyyymm
-from mustra.sources.facts import IndexFormatError, append_to_index, current_folder
+from mustra.sources.facts import append_to_index, has_index
 
 
 def stream_facts(events: DataFrame, person: Column, attr: str, value: Column, ts: Column, delay: str = "1 day") -> DataFrame:
@@ -20,12 +20,9 @@ def stream_facts(events: DataFrame, person: Column, attr: str, value: Column, ts
 
 
 def append_facts(facts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Writes a stream of facts behind those of the index saved at ``path``, batch by batch, with their codes; a batch that is done
-    again after a failure repeats facts, which changes no answer. Where no index is, facts are written to ``path``/facts."""
-    spark = facts.sparkSession
-    try:
-        current_folder(spark, path)
-    except IndexFormatError:
+    """Writes a stream of facts behind those of the index saved at ``path``, batch by batch, with their codes and blocks; a batch that is
+    done again after a failure repeats facts, which changes no answer. Where no index is, facts are written to ``path``/facts."""
+    if not has_index(facts.sparkSession, path):
         writer = facts.writeStream.format("parquet").partitionBy("attr").option("path", f"{path}/facts").outputMode("append")
     else:
         writer = facts.writeStream.foreachBatch(lambda batch, number: append_to_index(batch, path)).outputMode("append")

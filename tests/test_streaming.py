@@ -24,4 +24,4 @@ def test_a_stream_is_appended_to_a_saved_index(spark, tmp_path):
     append_facts(stream_facts(stream, F.col("who"), "kind", F.col("what"), F.col("at")), path, str(tmp_path / "check")).awaitTermination()
     facts, _, words = load_index(spark, path)
     assert {(r.person_id, r.value, r.yyyymm) for r in facts.collect()} == {(1, "old", 202001), (1, "new", 202002), (2, "new", 202003)}
-    assert {(r.value, r.n_persons) for r in words.collect()} == {("old", 1), ("new", None)}
+    assert {(r.value, r.n_persons) for r in words.collect()} == {("old", 1), ("new", 2)}
