@@ -12,7 +12,7 @@ from mustra.model import CohortModel
 from mustra.operators import bitmap
 from mustra.operators import profile as profiles
 from mustra.operators import search as searches
-from mustra.plans.planner import AUTO, BITMAP, bitmaps, choose, plan
+from mustra.plans.planner import AUTO, BITMAP, ONE_PASS, bitmaps, choose, one_pass, plan
 from mustra.plans.resolve import LENIENT, ResolvedQuery, resolve
 from mustra.request import QueryRequest, model_context
 from mustra.sources.facts import open_index, save_index
@@ -113,7 +113,9 @@ class CohortEngine:
         else:
             ids = plan(resolved, self.facts, planner, bounds=bounds)
             count = profiles.cohort_count(ids)
-            if profile:
+            if profile and planner == ONE_PASS:
+                found = profiles.profile_of_held(one_pass(resolved, self.facts, profiles.profiled(self.model, resolved.included)), self.model)
+            elif profile:
                 found = profiles.profile_both(self.facts, ids, self.model, resolved.included)
         if not count_only:
             patients = self.persons.join(ids, "person_id", "left_semi").orderBy("person_id").select("person_id", "person_guid")

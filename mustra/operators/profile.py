@@ -33,15 +33,27 @@ def profile_events(facts: DataFrame, ids: DataFrame, included: Sequence[Term]) -
     return _counts(facts.filter(any_term(included) if included else F.lit(False)), ids, "event")
 
 
+def profiled(model: CohortModel, included: Sequence[Term]) -> Column:
+    """Which facts a profile counts: the attributes and the codes named."""
+    of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
+    return of_model | any_term(included) if included else of_model
+
+
 def profile_both(facts: DataFrame, ids: DataFrame, model: CohortModel, included: Sequence[Term]) -> DataFrame:
     """The profiles of attributes and of the codes named, from one reading of the facts."""
     of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
-    named = any_term(included) if included else F.lit(False)
-    held = facts.filter(of_model | named).select("person_id", "attr", "value").join(ids, "person_id", "left_semi")
+    held = facts.filter(profiled(model, included)).select("person_id", "attr", "value").join(ids, "person_id", "left_semi")
     counts = held.groupBy("attr", "value").agg(F.countDistinct("person_id").alias("count"))
     return counts.select(F.when(of_model, "attribute").otherwise("event").alias("kind"), F.col("attr").alias("name"), F.col("value").alias("key"), "count")
 
 
+def profile_of_held(held: DataFrame, model: CohortModel) -> DataFrame:
+    """The same of persons with lists of what they hold (``one_pass``), without reading the facts again."""
+    of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
+    counts = held.select(F.inline("held")).groupBy("attr", "value").agg(F.count("*").alias("count"))
+    return counts.select(F.when(of_model, "attribute").otherwise("event").alias("kind"), F.col("attr").alias("name"), F.col("value").alias("key"), "count")
+
+
 def ordered(profile: DataFrame, model: CohortModel) -> DataFrame:
     """Attributes in the model's order, then event types by name; keys by count, largest first, then by key."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, model.attributes)).cast("array<string>"), F.col("name")), F.lit(0))
@@ -89,6 +101,5 @@ def _stats(blocks: DataFrame, whole: Column, counted: Column, persons: DataFrame
 def profile_of_blocks(blocks: DataFrame, cohort: DataFrame, model: CohortModel, included: Sequence[Term]) -> DataFrame:
     """The profiles of ``profile_both`` for a bitmap set, from an index's blocks alone."""
     of_model = F.col("attr").isin(*model.attributes) if model.attributes else F.lit(False)
-    named = any_term(included) if included else F.lit(False)
-    counts = bitmap.profile(bitmap.whole(blocks.filter(of_model | named)), cohort)
+    counts = bitmap.profile(bitmap.whole(blocks.filter(profiled(model, included))), cohort)
     return counts.select(F.when(of_model, "attribute").otherwise("event").alias("kind"), F.col("attr").alias("name"), F.col("value").alias("key"), "count")

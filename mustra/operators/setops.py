@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,37 +41,43 @@ def holders(facts: DataFrame, items: Sequence[Sequence]) -> DataFrame:
     return facts.filter(found).select("person_id").distinct()
 
 
-def _all(facts: DataFrame, items: Sequence[Sequence]) -> DataFrame:
-    return intersect_ids(*(facts.filter(_one(i)).select("person_id") for i in items))
+def _held(facts: DataFrame, groups: Sequence[Sequence[Sequence]]) -> DataFrame:
+    """person_id and, for each group of items, whether the person holds one of them: one reading of the facts, combined by person
+    before it is shuffled. A group of no items is held by nobody."""
+    found = [reduce(or_, map(_one, items), F.lit(False)) for items in groups]
+    # the month of timeless facts is null, and so is what it is compared to
+    flags = (F.bool_or(F.coalesce(f, F.lit(False))).alias(f"g{i}") for i, f in enumerate(found))
+    return facts.filter(reduce(or_, found)).groupBy("person_id").agg(*flags)
 
 
-def _without(facts: DataFrame, ids: DataFrame, nots: Sequence[Sequence]) -> DataFrame:
-    return subtract_ids(ids, holders(facts, nots)) if nots else ids
+def _select(facts: DataFrame, needed: Sequence[Sequence[Sequence]], minus: Sequence[Sequence]) -> DataFrame:
+    """Those who hold one item of each group, and none of ``minus``; nobody for no groups."""
+    if not needed:
+        return holders(facts, [])
+    held = _held(facts, [*needed, minus])
+    return held.filter(reduce(and_, (F.col(f"g{i}") for i in range(len(needed)))) & ~F.col(f"g{len(needed)}")).select("person_id")
 
 
 def query_all(facts: DataFrame, values: Sequence[Value], buckets: Sequence[Bucket] = (), minus: Sequence[Value] = ()) -> DataFrame:
     """Those who hold all values and buckets, and none of ``minus``; nobody if nothing is asked for."""
-    items = [*values, *buckets]
-    return _without(facts, _all(facts, items), minus) if items else holders(facts, [])
+    return _select(facts, [[x] for x in (*values, *buckets)], minus)
 
 
 def query_any(facts: DataFrame, any_of: Sequence[Value] = (), values: Sequence[Value] = (), buckets: Sequence[Bucket] = (), minus: Sequence[Value] = ()) -> DataFrame:
     """Those who hold one of ``any_of`` (if there are any), all values and buckets, and none of ``minus``."""
-    sets = ([holders(facts, any_of)] if any_of else []) + [holders(facts, [i]) for i in (*values, *buckets)]
-    return _without(facts, intersect_ids(*sets), minus) if sets else holders(facts, [])
+    return _select(facts, ([any_of] if any_of else []) + [[x] for x in (*values, *buckets)], minus)
 
 
 def query_any_bucket(facts: DataFrame, buckets: Sequence[Bucket], values: Sequence[Value] = (), minus: Sequence[Value] = ()) -> DataFrame:
     """Those who hold one of the buckets, all values, and none of ``minus``."""
-    sets = [holders(facts, buckets), *(holders(facts, [v]) for v in values)]
-    return _without(facts, intersect_ids(*sets), minus)
+    return _select(facts, [buckets, *([v] for v in values)], minus)
 
 
 def query_widening(facts: DataFrame, all_of: Sequence[Sequence] = (), any_of: Sequence[Sequence] = (), minus: Sequence[Sequence] = ()) -> DataFrame:
     """The older full query: those of all_of *or* any_of, without ``minus``; nobody as soon as all_of, if given, matches nobody."""
     if not all_of:
-        return _without(facts, holders(facts, any_of), minus)
-    both = _all(facts, all_of)
-    wide = union_ids(both, holders(facts, any_of)) if any_of else both
-    some = both.limit(1).agg((F.count("*") > 0).alias("some")).scalar()
-    return _without(facts, wide.filter(some), minus)
+        return _select(facts, [any_of], minus) if any_of else holders(facts, [])
+    held = _held(facts, [*([x] for x in all_of), any_of, minus])
+    every, one, none = reduce(and_, (F.col(f"g{i}") for i in range(len(all_of)))), F.col(f"g{len(all_of)}"), ~F.col(f"g{len(all_of) + 1}")
+    some = held.filter(every).limit(1).agg((F.count("*") > 0).alias("some")).scalar()
+    return held.filter((every | one) & none & some).select("person_id")

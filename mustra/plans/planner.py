@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from mustra.operators import bitmap
 from mustra.plans.resolve import ResolvedQuery, Term, any_term
 
 ONE_PASS, JOINS, BITMAP, AUTO = "onepass", "joins", "bitmap", "auto"
-MOST_JOINED = 2
+MOST_JOINED = 1
 #: Ids that a broadcast may hold (8 MB of them), and persons from which on blocks are read rather than facts.
 BROADCAST_IDS = 1_000_000
 BITMAP_FROM = 100_000
@@ -59,13 +59,15 @@ def estimates(clauses: Sequence[Clause], words: DataFrame) -> list[int] | None:
     if not clauses:
         return []
     of = [any_term(t.timeless() for t in c) for c in clauses]
-    sums = words.filter(reduce(lambda a, b: a | b, of)).agg(F.bool_or(F.col("n_persons").isNull()).alias("unknown"), *(F.sum(F.when(c, F.col("n_persons"))).alias(f"n{i}") for i, c in enumerate(of))).first()
+    sums = words.filter(reduce(or_, of)).agg(F.bool_or(F.col("n_persons").isNull()).alias("unknown"), *(F.sum(F.when(c, F.col("n_persons"))).alias(f"n{i}") for i, c in enumerate(of))).first()
     return None if sums.unknown else [n or 0 for n in sums[1:]]
 
 
-def one_pass(q: ResolvedQuery, facts: DataFrame) -> DataFrame:
+def one_pass(q: ResolvedQuery, facts: DataFrame, held: Column | None = None) -> DataFrame:
+    """``held``: a predicate on facts; with it, ``held`` lists the (attr, value) of each person's facts that meet it."""
     if q.void:
-        return _nobody(facts)
+        nobody = _nobody(facts)
+        return nobody if held is None else nobody.withColumn("held", F.lit(None).cast("array<struct<attr: string, value: string>>"))
     positive = positive_clauses(q)
     flags = {f"p{i}": any_term(c) for i, c in enumerate(positive)}
     if q.event_any and not _dropped(q):
@@ -73,13 +75,15 @@ def one_pass(q: ResolvedQuery, facts: DataFrame) -> DataFrame:
     if q.exclude:
         flags["no"] = any_term(q.exclude)
     # the comparison with a null month is null: without coalesce a person with timeless facts only would be lost
-    per_person = facts.filter(reduce(lambda a, b: a | b, flags.values())).groupBy("person_id").agg(*(F.bool_or(F.coalesce(p, F.lit(False))).alias(k) for k, p in flags.items()))
+    sums = [F.bool_or(F.coalesce(p, F.lit(False))).alias(k) for k, p in flags.items()]
+    lists = [] if held is None else [F.collect_set(F.when(held, F.struct("attr", "value"))).alias("held")]
+    per_person = facts.filter(reduce(or_, [*flags.values(), *([] if held is None else [held])])).groupBy("person_id").agg(*sums, *lists)
     wanted = [F.col(k) for k in flags if k.startswith("p")]
     if "any" in flags:
         wanted.append(F.col("any") | ~_hit(facts, flags["any"]) if _vanishing(q) else F.col("any"))
     if q.exclude:
         wanted.append(~F.col("no"))
-    return per_person.filter(reduce(and_, wanted)).select("person_id")
+    return per_person.filter(reduce(and_, wanted)).select("person_id", *([] if held is None else ["held"]))
 
 
 def joined(q: ResolvedQuery, facts: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
@@ -114,7 +118,7 @@ def joined(q: ResolvedQuery, facts: DataFrame, bounds: Sequence[int] | None = No
 
 def _of_blocks(clause: Clause) -> Column:
     """Which blocks hold a clause's ids: of the months asked for, or of all facts."""
-    return reduce(lambda a, b: a | b, (t.predicate() if t.months else t.predicate() & F.col("yyyymm").isNull() for t in clause))
+    return reduce(or_, (t.predicate() if t.months else t.predicate() & F.col("yyyymm").isNull() for t in clause))
 
 
 def bitmaps(q: ResolvedQuery, blocks: DataFrame) -> DataFrame:

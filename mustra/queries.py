@@ -83,7 +83,7 @@ cohort("attr_all_of", who(IN_BUILDING, f"IN {held('region', 'ASIA')}"), attr_all
 cohort("attr_any_of", who(f"IN {held('nation', 'NATION_3', 'NATION_11')}"), attr_any=[("nation", "NATION_3"), ("nation", "NATION_11")])
 cohort("event_exact_timeless", who(f"IN {held('brand', 'Brand#1')}"), event_all=[("brand", "Brand#1")])
 cohort("event_all_of_exact_month", who(f"IN {held('brand', 'Brand#12', months=(199703, 199703))}"), event_all=[("brand", "Brand#12", 199703, 199703)])
-cohort("event_all_of_two", who(f"IN {held('brand', 'Brand#3', months=(199601, 199612))}", f"IN {held('ptype', 'PROMO', months=(199701, 199706))}"), event_all=[("brand", "Brand#3", 199601, 199612), ("ptype", "PROMO", 199701, 199706)])
+cohort("event_all_of_two", who(f"IN {held('brand', 'Brand#3', months=(199601, 199612))}", f"IN {held('ptype', 'PROMO', months=(199701, 199706))}"), options={"once": True}, event_all=[("brand", "Brand#3", 199601, 199612), ("ptype", "PROMO", 199701, 199706)])
 cohort("event_prefix_timeless", who(f"IN {held('brand', 'Brand#2%')}"), event_all=[("brand", "Brand#2*")])
 cohort("event_prefix_month", who(f"IN {held('brand', 'Brand#2%', months=(200001, 200003))}"), event_all=[("brand", "Brand#2*", 200001, 200003)])
 cohort("event_prefix_single_month", who(f"IN {held('brand', 'Brand#1%', months=(199805, 199805))}"), event_all=[("brand", "Brand#1*", 199805, 199805)])
@@ -112,9 +112,9 @@ cohort("crosswalk_many", who(f"IN {held('ptype', 'SMALL', 'MEDIUM', 'LARGE', mon
 cohort("crosswalk_not_for_wildcards", "SELECT 1 WHERE false", counted=True, event_all=[("ptype", "promo-all*")])
 
 
-def _request(request: dict, kind: str) -> Query:
+def _request(request: dict, kind: str, once: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = orders_engine(spark, sf_dir).query(QueryRequest.of(**request), count_only=False, profile=True)
+        result = orders_engine(spark, sf_dir, once).query(QueryRequest.of(**request), count_only=False, profile=True)
         return {"count": result.count, "patients": result.patients, "profile": result.profile}[kind]
 
     return run
@@ -126,7 +126,7 @@ _COUNTS = "name, key, count(DISTINCT person_id) AS count FROM (SELECT attr AS na
 add("cohort_count", _request(FLAGSHIP, "count"), f"SELECT count(*) AS count FROM ({FLAGSHIP_SQL})")
 add("cohort_ids_guid", _request(FLAGSHIP, "patients"), f"SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE c_custkey IN ({FLAGSHIP_SQL})")
 _ATTRS, _EVENTS = "attr IN ('segment', 'nation', 'region')", "attr = 'brand' AND starts_with(value, 'Brand#1') OR attr = 'ptype' AND value = 'PROMO'"
-add("profile_full", _request(PROFILED, "profile"), f"SELECT 'attribute' AS kind, {_COUNTS.format(who=PROFILED_SQL, which=_ATTRS)} UNION ALL SELECT 'event', {_COUNTS.format(who=PROFILED_SQL, which=_EVENTS)}")
+add("profile_full", _request(PROFILED, "profile", once=True), f"SELECT 'attribute' AS kind, {_COUNTS.format(who=PROFILED_SQL, which=_ATTRS)} UNION ALL SELECT 'event', {_COUNTS.format(who=PROFILED_SQL, which=_EVENTS)}")
 
 
 def _profile_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,18 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return DATA
+
+
+@pytest.fixture
+def stages(spark):
+    """What a function's Spark stages read and shuffled: (input rows, shuffle bytes written) of each."""
+
+    def of(run):
+        store, java = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+        every = lambda: {s.stageId(): (s.inputRecords(), s.shuffleWriteBytes()) for s in java.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(java.double, 0), None))}
+        before = every()
+        run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return [v for k, v in every().items() if k not in before]
+
+    return of
