@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,12 @@ from mustra.operators import bitmap, profile, search, setops
 from mustra.plans.planner import BITMAP, JOINS, ONE_PASS
 from mustra.plans.resolve import STRICT
 from mustra.request import QueryRequest
+from mustra.sources.bucketed import deal_by_person, dealt_engine
 from mustra.sources.crosswalk import crosswalk_of, read_crosswalk
 from mustra.sources.datasets import ORDERS, ORDERS_CROSSWALK, clicks_engine, corpus_engine, order_facts, orders_engine, table
 from mustra.sources.facts import append_to_index, compact_index, facts_of
 from mustra.sources.store import new_place
+from mustra.sql import CohortSql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,12 +170,15 @@ add("yearly_buckets", _yearly, "SELECT 'priority' AS attr, o_orderpriority AS va
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = spark.createDataFrame([(199811, 199902), (200001, 200001), (199905, 199904)], "start int, end int")
-    return spans.select("start", F.explode(month_list(F.col("start"), F.col("end"))).alias("yyyymm"))
+    """How many persons each month lies between the first and the last order of."""
+    month = yyyymm(F.col("o_orderdate"))
+    spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(month).alias("start"), F.max(month).alias("end"))
+    return spans.select(F.explode(month_list(F.col("start"), F.col("end"))).alias("yyyymm")).groupBy("yyyymm").agg(F.count("*").alias("n_persons"))
 
 
-add("month_expansion", _months, """WITH spans(start, last) AS (VALUES (199811, 199902), (200001, 200001), (199905, 199904))
-    SELECT CAST(start AS INTEGER) AS start, CAST(m AS INTEGER) AS yyyymm FROM spans, (SELECT unnest(range(190001, 210013)) AS m) WHERE m BETWEEN start AND last AND m % 100 BETWEEN 1 AND 12""")
+add("month_expansion", _months, """WITH spans AS (SELECT o_custkey, min(year(o_orderdate) * 100 + month(o_orderdate)) AS start, max(year(o_orderdate) * 100 + month(o_orderdate)) AS last FROM orders GROUP BY o_custkey),
+    months AS (SELECT m FROM (SELECT unnest(range(190001, 210013)) AS m) WHERE m % 100 BETWEEN 1 AND 12)
+    SELECT CAST(m AS INTEGER) AS yyyymm, count(*) AS n_persons FROM spans JOIN months ON m BETWEEN start AND last GROUP BY m""")
 
 
 def overload(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -226,11 +233,20 @@ add("values_unknown_attr", lambda spark, sf_dir: orders_engine(spark, sf_dir).va
 
 
 def _names(kind: str) -> Query:
-    return lambda spark, sf_dir: spark.createDataFrame([(i, n) for i, n in enumerate(getattr(ORDERS, kind))], "position int, name string")
+    """The model's names that the data set has values of, in the model's order, and how many."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = orders_engine(spark, sf_dir, once=True)
+        names = F.array(*map(F.lit, getattr(engine.model, kind)))
+        known = engine.facts.groupBy("attr").agg(F.countDistinct("value").alias("n_values"))
+        return known.select((F.array_position(names, F.col("attr")) - 1).cast("int").alias("position"), F.col("attr").alias("name"), "n_values").filter("position >= 0").orderBy("position")
+
+    return run
 
 
-add("attributes_listing", _names("attributes"), "SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0, 'segment'), (1, 'nation'), (2, 'region')) AS x(i, name)")
-add("event_types_listing", _names("event_types"), "SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0, 'brand'), (1, 'ptype'), (2, 'priority')) AS x(i, name)")
+_LISTING = "SELECT CAST(i AS INTEGER) AS position, name, count(DISTINCT value) AS n_values FROM facts JOIN (VALUES {}) AS x(i, name) ON attr = name GROUP BY i, name"
+add("attributes_listing", _names("attributes"), _LISTING.format("(0, 'segment'), (1, 'nation'), (2, 'region')"))
+add("event_types_listing", _names("event_types"), _LISTING.format("(0, 'brand'), (1, 'ptype'), (2, 'priority')"))
 add("persons_guid_lookup", lambda spark, sf_dir: orders_engine(spark, sf_dir).persons.filter(F.col("person_guid").endswith("7")), "SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE ends_with(c_name, '7')")
 add("persons_guid_lookup_all", lambda spark, sf_dir: orders_engine(spark, sf_dir).persons, "SELECT c_custkey AS person_id, c_name AS person_guid FROM customer")
 add("clickstream_any_of", lambda spark, sf_dir: clicks_engine(spark, sf_dir).cohort(QueryRequest.of(event_any=[("event_type", "purch*", 202401, 202401), ("event_type", "view", 202402, 202403)], event_exclude=[("event_type", "err*", 202402, 202412)])), "WITH e AS (SELECT user_id, event_type, year(ts) * 100 + month(ts) AS m FROM events) SELECT DISTINCT user_id AS person_id FROM e WHERE (starts_with(event_type, 'purch') AND m = 202401 OR event_type = 'view' AND m BETWEEN 202402 AND 202403) AND user_id NOT IN (SELECT user_id FROM e WHERE starts_with(event_type, 'err') AND m BETWEEN 202402 AND 202412)")
@@ -319,6 +335,42 @@ add("index_stats_bitmap", _indexed(lambda e: e.stats()), SQL["index_stats"])
 add("cohort_by_cost", _indexed(lambda e: e.cohort(QueryRequest.of(**PROFILED))), PROFILED_SQL)
 add("append_compact_query", _compacted, f"SELECT DISTINCT person_id, attr, value, yyyymm FROM (SELECT * FROM facts WHERE attr IN ('priority', 'segment') UNION ALL {_SAW})")
 add("vocabulary_after_append", _appended_words, f"SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM (SELECT * FROM facts UNION ALL {_SAW}) GROUP BY attr, value")
+def _by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over facts dealt by person; the table goes with the session or the driver."""
+    name = f"dealt_{uuid.uuid4().hex}"
+    engine = orders_engine(spark, sf_dir, once=True, planner=ONE_PASS)
+    deal_by_person(engine.facts, name)
+    atexit.register(lambda: spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped() or spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    return dealt_engine(spark, ORDERS, name, engine.persons, planner=ONE_PASS).cohort(QueryRequest.of(**FLAGSHIP))
+
+
+def _in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort by name, set algebra over the table function, and a view of the facts, in one text of SQL."""
+    views = CohortSql(orders_engine(spark, sf_dir), prefix="orders_")
+    views.define("asians", QueryRequest.of(attr_all=[ASIA]))
+    return views.sql("""
+        SELECT f.value AS nation, count(DISTINCT f.person_id) AS n_persons FROM orders_facts AS f
+        WHERE f.attr = 'nation' AND f.person_id IN (
+          SELECT person_id FROM orders_asians INTERSECT SELECT person_id FROM orders_holders('brand', 'Brand#1*', 199701, 199706)
+          EXCEPT SELECT person_id FROM orders_holders('segment', 'BUILDING'))
+        GROUP BY f.value""")
+
+
+def _written_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's patients, written as lines of JSON by the executors and read again."""
+    path = new_place(spark, "patients")
+    orders_engine(spark, sf_dir).write_patients(QueryRequest.of(**FLAGSHIP), path)
+    return spark.read.schema("person_id long, person_guid string").json(path)
+
+
+_PATIENTS = f"SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE c_custkey IN ({FLAGSHIP_SQL})"
+add("cohort_by_person", _by_person, FLAGSHIP_SQL)
+add("cohort_in_sql", _in_sql, f"""SELECT value AS nation, count(DISTINCT person_id) AS n_persons FROM facts WHERE attr = 'nation' AND person_id IN (
+    {who(_in(ASIA), f"IN {held('brand', 'Brand#1%', months=(199701, 199706))}", _not(BUILDING))}) GROUP BY value""")
+add("patients_page", lambda spark, sf_dir: orders_engine(spark, sf_dir).patients_page(QueryRequest.of(attr_all=[BUILDING]), after=40, limit=25), f"SELECT c_custkey AS person_id, c_name AS person_guid FROM customer WHERE c_custkey {IN_BUILDING} AND c_custkey > 40 ORDER BY c_custkey LIMIT 25")
+add("patients_written", _written_patients, _PATIENTS)
+for _name, _search in {"search_prefix": ("brand", "brand#1", search.PREFIX), "search_contains": ("ptype", "o", search.CONTAINS), "search_medication_merge": ("ptype", "m", search.CONTAINS), "search_page_total": ("brand", "BRAND", search.CONTAINS, 7, 5)}.items():
+    add(f"{_name}_by_grams", _indexed(lambda e, of=_search: e.search(*of)), SQL[_name])
 add("index_round_trip", _round_trip, "SELECT DISTINCT person_id, attr, value, yyyymm FROM facts")
 add("append_then_query", _appended, who(_in(BUILDING), "IN (SELECT user_id FROM events WHERE event_type = 'purchase')"))
 add("index_vocabulary", _vocabulary, "SELECT attr, value, count(DISTINCT person_id) AS n_persons FROM facts GROUP BY attr, value")

@@ -9,6 +9,7 @@ An index is a log of snapshots. A snapshot names the folders that make it up and
     data-<id>/facts      attr=...: person_id, value, yyyymm, sorted by value
     data-<id>/blocks     attr=...: value, yyyymm, bucket, bitmap, sorted by value; a null month stands for all facts of a value
     data-<id>/vocabulary attr, value, n_persons: how many persons this folder adds to the value
+    data-<id>/grams      attr=...: gram, value, sorted by gram: the short substrings of the vocabulary's values
     data-<id>/persons    person_id, person_guid
 
 A save, an append and a compaction each write a folder of their own and then one snapshot, so what isn't written to the end
@@ -29,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from mustra.operators import bitmap
+from mustra.operators import bitmap, search
 from mustra.sources.store import exists, folders, remove_folder
 
 FORMAT_VERSION = 3
@@ -38,6 +39,7 @@ BLOCKS = "attr string, value string, yyyymm int, bucket long, bitmap binary"
 WORDS = "attr string, value string, n_persons long"
 PERSONS = "person_id long, person_guid string"
 META = "version int, folder string, parts array<struct<folder: string, attrs: array<string>>>, sealed boolean, number long"
+GRAMS = "attr string, gram string, value string"
 LEASES = "number long, until double"
 
 
@@ -56,6 +58,7 @@ class Index(NamedTuple):
     persons: DataFrame
     words: DataFrame
     blocks: DataFrame
+    grams: DataFrame
 
 
 def facts_of(rows: DataFrame, person: Column, attr: str, value: Column, month: Column | None = None) -> DataFrame:
@@ -154,6 +157,12 @@ def _write_blocks(blocks: DataFrame, folder: str) -> DataFrame:
     return blocks.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks")
 
 
+def _write_words(words: DataFrame, folder: str) -> None:
+    words.write.parquet(f"{folder}/vocabulary")
+    found = search.grams(words.sparkSession.read.schema(WORDS).parquet(f"{folder}/vocabulary"))
+    found.repartitionByRange("attr", "gram", "value").sortWithinPartitions("attr", "gram", "value").write.partitionBy("attr").parquet(f"{folder}/grams")
+
+
 def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
     """Distinct facts, their blocks, vocabulary and persons, as a snapshot of one folder.
 
@@ -166,7 +175,7 @@ def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
     folder = f"{path}/{name}"
     written = _write_facts(facts.select("person_id", "attr", "value", "yyyymm").distinct(), folder)
     blocks = _write_blocks(bitmap.fact_blocks(written), folder)
-    bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons").write.parquet(f"{folder}/vocabulary")
+    _write_words(bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons"), folder)
     persons.select("person_id", "person_guid").write.parquet(f"{folder}/persons")
     _add_snapshot(spark, path, before, name, [(name, None)], sealed=True)
     _forget_old(spark, path, before)
@@ -192,7 +201,7 @@ def append_to_index(facts: DataFrame, path: str) -> None:
     met = bitmap.whole(old.blocks).join(new.select("attr", "value", "bucket"), ["attr", "value", "bucket"], "left_semi")
     both = new.withColumn("old", F.lit(False)).unionByName(met.withColumn("old", F.lit(True)))
     grown = both.groupBy("attr", "value", "bucket").agg((F.bitmap_count(F.bitmap_or_agg("bitmap")) - F.bitmap_count(F.bitmap_or_agg(F.when(F.col("old"), F.col("bitmap"))))).alias("n"))
-    grown.groupBy("attr", "value").agg(F.sum("n").alias("n_persons")).filter("n_persons > 0").write.parquet(f"{folder}/vocabulary")
+    _write_words(grown.groupBy("attr", "value").agg(F.sum("n").alias("n_persons")).filter("n_persons > 0"), folder)
     parts = [(p.folder, p.attrs) for p in before[0].parts]
     _add_snapshot(spark, path, before, before[0].folder, [*parts, (name, None)], sealed=False)
 
@@ -209,7 +218,7 @@ def compact_index(spark: SparkSession, path: str) -> list[str]:
     folder, of = f"{path}/{name}", F.col("attr").isin(*touched)
     _write_facts(now.facts.filter(of).distinct(), folder)
     blocks = _write_blocks(bitmap.merged(now.blocks.filter(of), "attr", "value", "yyyymm"), folder)
-    bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons").write.parquet(f"{folder}/vocabulary")
+    _write_words(bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons"), folder)
     rest = [(f, [a for a in attrs if a not in touched]) for f, attrs in held]
     _add_snapshot(spark, path, before, before[0].folder, [*((f, attrs) for f, attrs in rest if attrs), (name, touched)], sealed=True)
     _forget_old(spark, path, before)
@@ -230,7 +239,7 @@ def _tables(spark: SparkSession, path: str, snapshot: Row) -> Index:
         words, blocks = read("vocabulary", WORDS), read("blocks", BLOCKS)
         if len(snapshot.parts) > 1:
             words = words.groupBy("attr", "value").agg(F.sum("n_persons").alias("n_persons"))
-        return Index(read("facts", FACTS), spark.read.schema(PERSONS).parquet(f"{path}/{snapshot.folder}/persons"), words, blocks)
+        return Index(read("facts", FACTS), spark.read.schema(PERSONS).parquet(f"{path}/{snapshot.folder}/persons"), words, blocks, read("grams", GRAMS))
     except AnalysisException as e:
         raise IndexFormatError(f"{path}: a part is missing") from e
 

@@ -188,3 +188,94 @@ def test_overloads_equal_set_algebra(spark):
         assert got(setops.query_any_bucket(facts, c, a, d)) == set.intersection(union(c), *map(holds, a)) - union(d)
         wide = both(a) | union(c) if a and both(a) else set() if a else union(c)
         assert got(setops.query_widening(facts, a, c, d)) == wide - union(d)
+
+
+def test_searches_read_only_the_grams_of_the_keyword(engine, spark):
+    plain = CohortEngine(MODEL, engine.facts, engine.persons, crosswalk=engine.crosswalk)
+    for attr, keyword, mode in (("dx", "a", "prefix"), ("dx", "AB", "contains"), ("dx", "abc", "prefix"), ("dx", "bc", "contains"), ("dx", "b*c", "prefix"), ("rx", "o", "contains"), ("rx", "r", "prefix"), ("dx", "nothing", "contains"), ("dx", "", "prefix"), ("sex", "f", "prefix")):
+        assert [tuple(r) for r in engine.search(attr, keyword, mode).orderBy("position").collect()] == [tuple(r) for r in plain.search(attr, keyword, mode).orderBy("position").collect()], (attr, keyword, mode)
+    assert re.search(r"PushedFilters: \[[^]]*gram", engine.search("dx", "abc", "contains")._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_value_of_any_length_has_its_grams(spark):
+    from mustra.operators import search
+
+    words = spark.createDataFrame([("a", "", 1), ("a", "X", 1), ("a", "xy", 1), ("a", "\U0001f600bcd", 1), ("a", "x" * 5000, 1)], "attr string, value string, n_persons long")
+    index = search.grams(words).cache()
+    for keyword, mode, want in (("x", "prefix", {"X", "xy", "x" * 5000}), ("y", "contains", {"xy"}), ("y", "prefix", set()), ("\U0001f600b", "prefix", {"\U0001f600bcd"}), ("xxxx", "contains", {"x" * 5000}), ("bcd", "contains", {"\U0001f600bcd"})):
+        assert {r.value for r in search.candidates(index, "a", keyword, mode).collect()} == want
+
+
+def test_facts_dealt_by_person_need_no_shuffle(spark, engine, tmp_path):
+    from mustra.operators import profile
+    from mustra.sources.bucketed import deal_by_person, dealt_engine
+
+    deal_by_person(engine.facts, "dealt_facts", 3)
+    try:
+        request = QueryRequest.of(attr_all=[("sex", "F")], event_all=[("dx", "a*")], attr_exclude=[("state", "CA")])
+        want = model(request, LENIENT)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for how in (ONE_PASS, JOINS):
+            dealt = dealt_engine(spark, MODEL, "dealt_facts", engine.persons, planner=how)
+            found = dealt.cohort(request)
+            assert {r.person_id for r in found.collect()} == want
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        held = profile.profile_both(dealt.facts, found, MODEL, dealt.resolve(request).included)
+        assert held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(person_id") == 0
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    finally:
+        spark.sql("DROP TABLE dealt_facts")
+
+
+def test_large_results_go_by_pages_or_files(engine, spark, tmp_path):
+    from mustra.engine import ResultTooLargeError
+
+    engine.semantics, engine.planner = LENIENT, planner.AUTO
+    request = QueryRequest.of(attr_any=[("sex", "F"), ("sex", "M")])
+    with pytest.raises(ResultTooLargeError):
+        engine.query(request, count_only=False).to_dict(most=39)
+    assert len(engine.query(request, count_only=False).to_dict(most=40)["patients"]) == 40
+    pages, after = [], None
+    while rows := engine.patients_page(request, after, 7).collect():
+        pages += [r.person_id for r in rows]
+        after = pages[-1]
+    assert pages == list(range(1, 41))
+    engine.write_patients(request, str(tmp_path / "out"))
+    assert sorted(r.person_guid for r in spark.read.json(str(tmp_path / "out")).collect()) == sorted(f"g{i}" for i in range(1, 41))
+
+
+def test_a_planner_that_is_wrong_gets_its_errors_back(engine):
+    engine.semantics, engine.planner = LENIENT, planner.AUTO
+    seen = []
+
+    def learns(messages, e):
+        seen.append([m["content"] for m in messages])
+        return [{"attributes": {"allOf": [{"attr": "shoe", "value": "9"}]}}, "no request at all", 'Here: {"events": {"allOf": [{"attr": "dx", "value": "abX"}]}}'][len(seen) - 1]
+
+    out = engine.ask([{"role": "user", "content": "who has ab?"}], learns)
+    assert [len(s) for s in seen] == [1, 3, 5] and "unknown attribute 'shoe'" in seen[1][2] and "no JSON object" in seen[2][4]
+    assert out["proposedQuery"] == {"events": {"allOf": [{"attr": "dx", "value": "ab*"}]}} and out["queryResults"]["count"] == len(model(QueryRequest.of(event_all=[("dx", "ab*")]), LENIENT))
+    stubborn = engine.ask([], lambda m, e: {"attributes": []}, lambda context: "never", rounds=2)
+    assert stubborn["proposedQuery"] is None and "object of lists" in stubborn["content"]
+
+
+def test_months_between(spark):
+    from pyspark.sql import functions as F
+
+    from mustra.functions.columns import month_list
+
+    spans = spark.createDataFrame([(199811, 199902), (200001, 200001), (199905, 199904)], "a int, b int")
+    assert [r.m for r in spans.select(month_list(F.col("a"), F.col("b")).alias("m")).collect()] == [[199811, 199812, 199901, 199902], [200001], []]
+
+
+def test_a_missing_folder_is_no_index_and_other_errors_are_errors(spark, tmp_path):
+    from mustra.sources.facts import IndexFormatError
+
+    with pytest.raises(IndexFormatError):
+        open_index(spark, str(tmp_path / "none"))
+    (tmp_path / "bad" / "meta").mkdir(parents=True)
+    (tmp_path / "bad" / "meta" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="not a Parquet file") as e:
+        save_index(spark.createDataFrame(FACT_ROWS[:3], FACTS), spark.createDataFrame([(1, "g")], PERSONS), str(tmp_path / "bad"))
+    assert not isinstance(e.value, IndexFormatError)
