@@ -47,11 +47,19 @@ def shared_root(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def new_place(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one that is gone when the session or the driver ends."""
-    path = f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder that is there when the driver ends, also where the session was stopped before: the JVM's own hook does it then."""
+    atexit.register(remove_folder, spark, path)
     found = _at(spark, path)
     if found is not None:
-        found[0].deleteOnExit(found[1])  # by the JVM's own hook, which outlives a stopped session
-    atexit.register(remove_folder, spark, path)
-    return path
+        found[0].deleteOnExit(found[1])
+
+
+def new_place(spark: SparkSession, kind: str) -> str:
+    """A path for a new table or index, in a folder of its own in the shared one, that is gone when the driver ends."""
+    folder = f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    found = _at(spark, folder)
+    if found is not None:
+        found[0].mkdirs(found[1])
+    gone_at_exit(spark, folder)
+    return f"{folder}/{kind}"
