@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from mustra.sources.store import gone_at_exit, shared_root
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,17 +15,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for written tables: what the cluster names; with a local master, where all is one machine, else one
-    in the warehouse."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    named = spark.conf.get(CHECKPOINT_CONF, None) or (known.get() if known.isDefined() else None)
-    if named is None and not context.master.startswith("local["):
-        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
 def text_or_empty(column: str = "text"):
     """The text column as string, a null text being an empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -43,20 +31,12 @@ def stage(df: DataFrame) -> DataFrame:
     It cuts the lineage, and is for what is used more than once and must survive the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

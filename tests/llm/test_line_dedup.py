@@ -209,3 +209,14 @@ def test_forms_with_names_go_beside_a_more_frequent_line(spark):
     texts += ["\n".join([*some(3), x, *some(3)]) for x in forms]
     out = cleaned(spark, texts)
     assert not any("This form" in t for t in out) and all(len(t.split("\n")) == 6 for t in out)
+
+
+def test_very_long_texts_and_lines(spark):
+    shared = " ".join(f"passage{i}" for i in range(30))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(9)) for _ in range(4000)] + [shared])) for i in range(4)]
+    rows += [(9, "one line " * 60_000), (10, "x" * 300_000), (11, "\n" * 200_000)]
+    out = {r.doc_id: r for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert all(out[i].n_dropped == 1 and out[i].n_lines == 4001 and out[i].text.rstrip("\n") == rows[i][1].removesuffix(shared).rstrip("\n") for i in range(4))
+    assert all(out[i].text == t and out[i].n_dropped == 0 for i, t in rows[4:])

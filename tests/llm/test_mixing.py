@@ -106,3 +106,14 @@ def test_hard_rows(spark):
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
     assert mixing.mix_words(docs.limit(0)).count() == mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "w " * n, "s") for i, n in enumerate((400_001, 300_000, 200_002, 5, 5, 5, 3))] + [(9, "x" * 500_000, "s"), (10, " " * 500_000, "s")]
+    out = {r.doc_id: r for r in mixing.mix_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [out[i].size for i in (0, 1, 2, 9, 10)] == [400_001, 300_000, 200_002, 1, 0]
+    sizes, reach = [r.size for r in out.values()], {0}
+    for n in sizes:
+        reach |= {r + n for r in reach}
+    taken, want = sum(r.taken for r in out.values()), out[0].target
+    assert abs(taken - want) == min(abs(sum(sizes) + r - want) for r in reach)

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -83,3 +83,46 @@ def test_signatures_estimate_weighted_similarity():
     out = near_dedup.dart_signatures(sets, coordinates=2048)
     assert abs((out[0] == out[1]).mean() - 200 / 400) < 0.05 and not out[3].any()
     assert (near_dedup.dart_signatures([a[:300]], coordinates=2048)[0] == out[0]).all()
+
+
+def brute_weighted(rows):
+    """Classes by the weighted Jaccard similarity of runs counted as often as they occur."""
+    bags = []
+    for _, text in rows:
+        words = re.findall(r"\w+", (text or "").lower())
+        n = min(5, len(words))
+        bags.append(Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else Counter())
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            if (rows[i][1] or "") == (rows[j][1] or "") or both and 5 * both >= 4 * either:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    held = defaultdict(list)
+    for i in range(len(rows)):
+        held[top(i)].append(rows[i][0])
+    return sorted(((rows[i][0], min(held[top(i)])) for i in range(len(rows))), key=repr)
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):  # a line again and again: as sets these are alike, weighted they are not where it is there more often
+        line, text = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(n)) for n in (9, 60))
+        rows += [(10 * g + k, text + " " + " ".join([line] * times)) for k, times in enumerate((3, 4, 12, 13, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.near_classes(docs, weighted=True)) == brute_weighted(rows)
+    assert got(near_dedup.near_classes(docs)) == brute(rows) and brute(rows) != brute_weighted(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:60_000], "other", *words[60_001:]])), (3, " ".join(words[:60_000])), (4, " ".join(words[::-1])), (5, "x" * 300_000), (6, "x" * 300_000)]
+    assert got(near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5)]

@@ -80,3 +80,11 @@ def test_steps_change_verdicts_and_own_links_hold_mass(spark):
     none, all_ = ({r.page_id: r for r in url_filter.judge(pages, queries.RULES, steps=n).collect()} for n in (0, url_filter.STEPS))
     assert none[5].verdict == "allow" and all_[5].verdict == "block"  # distrust reaches who links to a host with blocked pages
     assert abs(none[4].trust - 0.3) < 1e-9 and none[4].trust < all_[4].trust and all_[4].verdict == "allow" == all_[6].verdict
+
+
+def test_very_long_urls_and_pages(spark):
+    links = "".join(f'<a href="/p{i}">x</a>' for i in range(20_000))
+    rows = [(1, "https://A.Example.org/en/1" + "x" * 200_000, links), (2, "http://" + "h" * 100_000 + ".com/de/" + "?" * 50_000, "<" * 300_000), (3, "no scheme " * 20_000, 'href="' * 50_000)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert (got[1].host, len(got[1].path), got[1].rule, got[1].verdict) == ("a.example.org", 200_005, "example.org/en/1", "block")
+    assert (len(got[2].host), got[2].path, got[2].verdict) == (100_004, "/de/", "block") and (got[3].host, got[3].path, got[3].rule) == ("", "", None)
