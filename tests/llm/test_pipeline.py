@@ -1,3 +1,10 @@
+import re
+
+import public_tokenizers
+import tiktoken
+from test_near_dedup import brute
+from tiktoken.load import load_tiktoken_bpe
+
 import corpus_pipeline
 from mustra.llm import mixing, near_dedup
 
@@ -14,6 +21,24 @@ def test_stages_follow_one_another(spark, sf_dir):
     assert {r.doc_id for r in kept["quality"].collect()} < {r.doc_id for r in kept[None].collect()}
     classes = near_dedup.near_classes(kept["line_dedup"]).select("class_id").distinct().collect()
     assert sorted(r.doc_id for r in kept["near_dedup"].collect()) == sorted(r.class_id for r in classes)
+    # and by brute force over what the stage got
+    rows = [(r.doc_id, r.text) for r in kept["line_dedup"].collect()]
+    assert sorted({c for _, c in brute(rows)}) == sorted(r.doc_id for r in kept["near_dedup"].collect())
+    texts = {r.doc_id: r.text for r in kept["near_dedup"].collect()}
+    assert all(texts[r.doc_id] == r.text for r in kept["mixing"].collect())
+    words, got = {}, {}
+    for r in kept["near_dedup"].collect():
+        words.setdefault(r.source, []).append(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
+    for r in kept["mixing"].collect():
+        got[r.source] = got.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    for source, want in mixing.targets({k: sum(v) for k, v in words.items()}).items():
+        reach = 1
+        for n in words[source]:
+            reach |= reach << n
+        repeats = int(want // sum(words[source])) * sum(words[source])
+        assert abs(got.get(source, 0) - want) <= min(abs(repeats + i - want) for i in range(reach.bit_length()) if reach >> i & 1) + 1
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert all(list(r.ids) == library.encode_ordinary(r.text or "") for r in kept["byte_bpe"].collect())
     copies = {r.doc_id: r.copies for r in mixing.decide(kept["near_dedup"]).collect()}
     assert kept["mixing"].count() == sum(copies.values())
     assert sorted(r.text for r in kept["mixing"].collect()) == sorted(r.text for r in kept["byte_bpe"].collect())
