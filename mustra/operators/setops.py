@@ -79,5 +79,6 @@ def query_widening(facts: DataFrame, all_of: Sequence[Sequence] = (), any_of: Se
         return _select(facts, [any_of], minus) if any_of else holders(facts, [])
     held = _held(facts, [*([x] for x in all_of), any_of, minus])
     every, one, none = reduce(and_, (F.col(f"g{i}") for i in range(len(all_of)))), F.col(f"g{len(all_of)}"), ~F.col(f"g{len(all_of) + 1}")
-    some = held.filter(every).limit(1).agg((F.count("*") > 0).alias("some")).scalar()
-    return held.filter((every | one) & none & some).select("person_id")
+    # all flags take part, so the scalar's plan is the same up to its shuffle and Spark reads the facts once for both
+    some = held.agg(F.max(F.struct(every.alias("every"), *(c for c in held.columns if c != "person_id"))).alias("most")).scalar()
+    return held.filter((every | one) & none & F.coalesce(some.getField("every"), F.lit(False))).select("person_id")

@@ -167,7 +167,7 @@ def test_of_two_writers_one_is_told(spark, tmp_path):
 
 def test_line_items_are_read_once_or_twice(spark, sf_dir, stages):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    for name, most in (("profile_full", 2), ("event_all_of_two", 2), ("index_stats", 1), ("bitmap_count_by_key", 1), ("legacy_all_of", 1)):
+    for name, most in (("profile_full", 2), ("event_all_of_two", 2), ("index_stats", 1), ("bitmap_count_by_key", 1), ("legacy_all_of", 1), ("legacy_nine_arg", 2)):
         found = stages(lambda n=name: QUERIES[n](spark, sf_dir).collect())
         assert 1 <= sum(read // rows for read, _ in found) <= most, name
 
