@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from mustra.llm import line_dedup, queries
 
 
@@ -220,3 +222,31 @@ def test_very_long_texts_and_lines(spark):
     out = {r.doc_id: r for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
     assert all(out[i].n_dropped == 1 and out[i].n_lines == 4001 and out[i].text.rstrip("\n") == rows[i][1].removesuffix(shared).rstrip("\n") for i in range(4))
     assert all(out[i].text == t and out[i].n_dropped == 0 for i, t in rows[4:])
+
+
+def test_a_class_of_edited_copies_is_one_group(spark):
+    """Lines of a chain of copies, each an edit of the one before, stay; a line that unrelated texts share goes."""
+    rng = random.Random(5)
+    lines, chain = prose(77)(12), []
+    for i in range(40):
+        at = rng.randrange(len(lines))
+        lines[at] = f"edit{chr(97 + i % 26)}{chr(97 + i // 26)} " + lines[at].partition(" ")[2]
+        chain.append("\n".join(lines))
+    shared = "this very line stands in many texts that have nothing else in common"
+    others = ["\n".join([*prose(500 + i)(), shared]) for i in range(6)]
+    got = cleaned(spark, chain + others)
+    assert got[: len(chain)] == chain
+    assert got[len(chain) :] == [t.rpartition("\n")[0] for t in others]
+
+
+def test_groups_are_the_components_of_close_texts(spark):
+    """Groups follow the links of texts that are alike to their ends, and keep unrelated texts apart."""
+    base = prose(31)(12)
+    near = ["\n".join([*base[:i], f"own{chr(97 + i)} words begin and end this line of text{chr(97 + i)}", *base[i + 1 :]]) for i in range(5)]
+    apart = ["\n".join(prose(900 + i)()) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(near + apart)), "doc_id long, text string")
+    keys = [r.key for r in docs.select("doc_id", line_dedup.text_key(F.col("text")).alias("key")).orderBy("doc_id").collect()]
+    found = {bytes(r.key): r.group for r in line_dedup.copy_groups(line_dedup.parse_lines(docs).filter("tokens > 0")).collect()}
+    assert len({found.get(bytes(k), bytes(k)) for k in keys[5:]}) == 8
+    own = {r.key: r.mark for r in docs.select(line_dedup.text_key(F.col("text")).alias("key")).select("key", F.xxhash64("key").alias("mark")).collect()}
+    assert len({found.get(bytes(k), own[k]) for k in keys[:5]}) == 1
