@@ -54,8 +54,9 @@ BAND_ROWS = 4
 ALIKE = 0.65
 #: 0.95 of the pairs of likeness 0.5 do, 0.0002 of those of 0.2.
 RELATED = 0.4
-#: Lines with a digit or white space other than blanks (and those with blanks that don't stand alone between tokens).
-_REWRITTEN = r"[0-9\t\r\f\x0B]"
+#: Lines with a digit or white space other than blanks (and those with blanks that don't stand alone between tokens). Single characters
+#: are looked up at once, a range isn't.
+_REWRITTEN = r"[0123456789\t\r\f\x0B]"
 
 
 def text_key(text: Column) -> Column:
@@ -77,13 +78,25 @@ def parse_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     odd = line.rlike(_REWRITTEN) | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     rows = rows.select("key", "at", F.when(odd, plain).otherwise(F.col("line")).alias("line"))
     rows = rows.select("key", "at", "line", F.when(F.col("line") == "", 0).otherwise(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("tokens"))
-    n = F.col("tokens")
-    rest = F.greatest(n - LEADING, F.lit(0))
-    m = F.least(F.lit(FIELDS), rest)
-    cuts = lambda j: F.floor(j * rest / m).cast("int")
+    n, line, rest = F.col("tokens"), F.col("line"), F.col("rest")
+    rows = rows.select("key", "at", "line", "tokens", F.greatest(n - LEADING, F.lit(0)).alias("rest"))
     part = lambda text, count: F.call_function("substring_index", text, F.lit(" "), count)
-    field = lambda j: F.hash(part(part(line, cuts(j + 1) + LEADING), cuts(j) - cuts(j + 1)))
-    fields = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), field)).otherwise(F.array().cast("array<int>"))
+    # field j holds the tokens from cut j to cut j + 1 behind the leading ones; halves are halved, so a line is walked three times
+    # whatever FIELDS is, by compiled code (a function over an array of cuts is not)
+    cut = lambda j: F.floor(j * rest / FIELDS).cast("int")
+    spans, parts = [(0, FIELDS)], [line]
+    while spans[0][1] > 1:
+        halved = []
+        for (i, j), of in zip(spans, parts, strict=True):
+            mid = (i + j) // 2
+            halved += [((i, mid), part(of, cut(mid) - cut(i) + (0 if i else LEADING))), ((mid, j), part(of, cut(mid) - cut(j)))]
+        spans = [span for span, _ in halved]
+        names = [f"part{i}" for i in range(len(halved))]
+        rows = rows.select("key", "at", "line", "tokens", "rest", *(c.alias(as_) for (_, c), as_ in zip(halved, names, strict=True)))
+        parts = [F.col(c) for c in names]
+    parts[0] = part(parts[0], -cut(1))
+    short = F.transform(F.slice(F.split("line", " "), LEADING + 1, rest), lambda w: F.hash(w))
+    fields = F.when(rest >= FIELDS, F.array(*map(F.hash, parts))).when(rest > 0, short).otherwise(F.array().cast("array<int>"))
     return rows.select("key", "at", "tokens", F.xxhash64(n, part(line, F.lit(LEADING))).alias("leaf"), fields.alias("fields"), F.xxhash64(F.lit(0), part(line, F.lit(ENDS))).alias("head"), F.xxhash64(F.lit(1), part(line, F.lit(-ENDS))).alias("tail"))
 
 
@@ -166,9 +179,10 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS, agreement: float = AGR
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, agreement: float = AGREEMENT) -> DataFrame:
     """From ``parse_lines``: key and ``dropped``, the positions of its lines whose template recurs."""
-    lines = stage(lines.filter("tokens > 0"))
+    # blank lines are left out behind the stage: a filter before it is pushed to the texts and parses every line again, some parts four times
+    lines = stage(lines)
     groups = copy_groups(lines)
-    lines = lines.filter(F.col("tokens") >= min_tokens).select("key", "at", "leaf", "fields")
+    lines = lines.filter(F.col("tokens") >= max(min_tokens, 1)).select("key", "at", "leaf", "fields")
     # most leaves hold one line; only those of min_docs and more are looked into
     leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
     lines = stage(lines.join(leaves, "leaf", "left_semi"))

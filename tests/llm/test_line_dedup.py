@@ -250,3 +250,20 @@ def test_groups_are_the_components_of_close_texts(spark):
     assert len({found.get(bytes(k), bytes(k)) for k in keys[5:]}) == 8
     own = {r.key: r.mark for r in docs.select(line_dedup.text_key(F.col("text")).alias("key")).select("key", F.xxhash64("key").alias("mark")).collect()}
     assert len({found.get(bytes(k), own[k]) for k in keys[:5]}) == 1
+
+
+def test_fields_are_runs_of_words(spark):
+    """Of lines of any number of words, and the whole line is parsed once before it is staged."""
+    lines = [" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(n)) for n in range(60)]
+    frame = spark.createDataFrame([("\n".join(lines),)], "text string")
+    wanted = spark.createDataFrame([(n, [" ".join(w[2 + j * r // m : 2 + (j + 1) * r // m]) for j in range(m)]) for n, x in enumerate(lines) for w in [x.split()] for r in [max(len(w) - 2, 0)] for m in [min(8, r)]], "at int, parts array<string>")
+    hashed = {r.at: r.fields for r in wanted.select("at", F.transform("parts", lambda x: F.hash(x)).alias("fields")).collect()}
+    got = {r.at: r for r in line_dedup.parse_lines(frame).collect()}
+    assert {at: r.fields for at, r in got.items()} == hashed and [got[n].tokens for n in range(60)] == list(range(60))
+
+
+def test_lines_are_parsed_once(spark, monkeypatch):
+    plans, stage = [], line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    line_dedup.recurring_lines(line_dedup.parse_lines(spark.createDataFrame([("a b c\n\n \t",)], "text string")))
+    assert plans[0].count("replace(") == 1 and plans[0].lower().count("rlike(") <= 2
