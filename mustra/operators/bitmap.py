@@ -15,12 +15,46 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4096
 BLOCK_IDS = 8 * BLOCK_BYTES
+#: A part of a block: so many words of 64 ids.
+WORDS = tuple(f"w{i}" for i in range(16))
+PART_IDS = 64 * len(WORDS)
+PARTS = BLOCK_IDS // PART_IDS
 
 
-def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
-    """keys, bucket, bitmap. Ids are moved by one, as the built-in blocks begin with 1."""
+def to_parts(facts: DataFrame, *keys: str, scattered: bool = False) -> DataFrame:
+    """keys, bucket, part, w0 to w15: the ids of a block's 32 parts as bits of long words.
+
+    Words are added to by hash aggregates, so facts needn't be sorted for it; a binary block would sort every fact of a task.
+    Ids are moved by one, as the built-in blocks begin with 1. ``scattered``: few facts of a part lie together, so they are
+    shuffled as they are, not combined before.
+    """
     place = F.col("person_id") + 1
-    return facts.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    at = F.bitmap_bit_position(place)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place_in_word(at))
+    placed = facts.select(*keys, F.bitmap_bucket_number(place).alias("bucket"), F.shiftright(at, 10).cast("int").alias("part"), F.shiftright(at, 6).bitwiseAND(15).cast("int").alias("word"), bit.alias("bit"))
+    if scattered:
+        placed = placed.repartition(*keys, "bucket", "part")
+    words = (F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(WORDS))
+    return placed.groupBy(*keys, "bucket", "part").agg(*words)
+
+
+def _place_in_word(at: Column) -> Column:
+    """How far left the bit of a place is in its word, whose digits are to give a block's bytes in order."""
+    return (56 - at.bitwiseAND(56) + at.bitwiseAND(7)).cast("int")
+
+
+def blocks_of_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """keys, bucket, bitmap."""
+    whole_part = F.unhex(F.concat(*(F.lpad(F.hex(w), 16, "0") for w in WORDS)))
+    dealt = parts.select(*keys, "bucket", "part", whole_part.alias("bytes")).repartition(*keys, "bucket")
+    met = dealt.groupBy(*keys, "bucket").agg(*(F.max(F.when(F.col("part") == i, F.col("bytes"))).alias(f"p{i}") for i in range(PARTS)))
+    none = F.lit(bytes(PART_IDS // 8))
+    return met.select(*keys, "bucket", F.concat(*(F.coalesce(f"p{i}", none) for i in range(PARTS))).alias("bitmap"))
+
+
+def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
+    """keys, bucket, bitmap."""
+    return blocks_of_parts(to_parts(facts, *keys), *keys)
 
 
 def fact_blocks(facts: DataFrame) -> DataFrame:

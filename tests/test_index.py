@@ -84,6 +84,22 @@ def test_ids_of_any_size_come_back(spark):
     assert bitmap.count_bitmaps(bitmap.and_bitmaps(bits, some)).first()["count"] == len(every[::2])
 
 
+def test_blocks_are_built_without_sorting_facts(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(-70_000, 70_000), "dx", rng.choice("ab"), None) for _ in range(3000)] + [(i, "dx", "c", None) for i in range(2100)]
+    facts = spark.createDataFrame(rows, FACTS)
+    place = F.col("person_id") + 1
+    plain = facts.groupBy("value", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    made = bitmap.to_bitmaps(facts, "value")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain.collect()))
+    before_the_first_shuffle = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].rsplit("Exchange", 1)[1]
+    assert "HashAggregate" in before_the_first_shuffle and "Sort" not in before_the_first_shuffle
+    dealt = bitmap.blocks_of_parts(bitmap.to_parts(facts, "value", scattered=True), "value")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_the_smallest_clause_comes_first_and_is_broadcast(spark, tmp_path):
     rows = [(i, "sex", "FM"[i % 2], None) for i in range(4000)] + [(i, "dx", "rare" if i % 100 == 0 else "often", 202001) for i in range(4000)]
     save_index(spark.createDataFrame(rows, FACTS), spark.createDataFrame([(1, "g")], PERSONS), str(tmp_path / "i"))
