@@ -74,7 +74,7 @@ class CohortEngine:
 
     def save(self, path: str) -> None:
         """Writes the index; ``path`` may be the one that this engine was loaded from."""
-        save_index(self.facts, self.persons, path)
+        save_index(self.facts, self.persons, path, scattered=self.blocks is None)
 
     def person_ids(self, guids: DataFrame) -> DataFrame:
         """person_id, person_guid of the persons that ``guids`` (person_guid) names; unknown ones are left out."""

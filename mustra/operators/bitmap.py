@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +45,12 @@ def _place_in_word(at: Column) -> Column:
 
 def blocks_of_parts(parts: DataFrame, *keys: str) -> DataFrame:
     """keys, bucket, bitmap."""
-    whole_part = F.unhex(F.concat(*(F.lpad(F.hex(w), 16, "0") for w in WORDS)))
-    dealt = parts.select(*keys, "bucket", "part", whole_part.alias("bytes")).repartition(*keys, "bucket")
-    met = dealt.groupBy(*keys, "bucket").agg(*(F.max(F.when(F.col("part") == i, F.col("bytes"))).alias(f"p{i}") for i in range(PARTS)))
+    zeros = "0" * 16
+    digits = F.concat(*(F.when(F.col(w) == 0, zeros).otherwise(F.lpad(F.hex(w), 16, "0")) for w in WORDS))
+    dealt = parts.select(*keys, "bucket", F.coalesce("part", F.lit(0)).alias("part"), F.unhex(digits).alias("bytes")).repartition(*keys, "bucket")
+    met = dealt.groupBy(*keys, "bucket").agg(F.map_from_entries(F.collect_list(F.struct("part", "bytes"))).alias("parts"))
     none = F.lit(bytes(PART_IDS // 8))
-    return met.select(*keys, "bucket", F.concat(*(F.coalesce(f"p{i}", none) for i in range(PARTS))).alias("bitmap"))
+    return met.select(*keys, "bucket", F.concat(*(F.coalesce(F.element_at("parts", i), none) for i in range(PARTS))).alias("bitmap"))
 
 
 def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
@@ -57,18 +58,35 @@ def to_bitmaps(facts: DataFrame, *keys: str) -> DataFrame:
     return blocks_of_parts(to_parts(facts, *keys), *keys)
 
 
-def fact_blocks(facts: DataFrame) -> DataFrame:
-    """attr, value, yyyymm, bucket, bitmap: a block for each value and month, and one with a null month over all facts of the value.
-
-    Facts are combined by value and month before they are shuffled, the months' blocks once more for the value's.
-    """
-    by_month = to_bitmaps(facts, "attr", "value", "yyyymm")
+def fact_blocks(parts: DataFrame) -> DataFrame:
+    """attr, value, yyyymm, bucket, bitmap of facts' parts by attr, value and yyyymm: a block for each value and month, and one with a
+    null month over all facts of the value, which the months' blocks are united for."""
+    by_month = blocks_of_parts(parts, "attr", "value", "yyyymm")
     places = F.array_compact(F.array(F.lit(-1), F.col("yyyymm")))
     dealt = by_month.select("attr", "value", F.explode(places).alias("month"), "bucket", "bitmap")
     united = dealt.groupBy("attr", "value", "month", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     return united.select("attr", "value", F.nullif(F.col("month"), F.lit(-1)).alias("yyyymm"), "bucket", "bitmap")
 
 
+def count_parts() -> Column:
+    """An aggregate: how many ids parts hold."""
+    return F.coalesce(F.sum(reduce(add, (F.bit_count(w) for w in WORDS))), F.lit(0))
+
+
+def ids_of_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """keys, person_id of every bit, in the order of the parts and of the places in them."""
+    eight = F.array(*map(F.lit, range(8)))
+    words = parts.select(*keys, "bucket", "part", F.posexplode(F.array(*WORDS)).alias("word", "bits")).filter("bits != 0")
+    digits = words.select(*keys, "bucket", "part", "word", "bits", F.explode(eight).alias("byte")).filter("shiftright(bits, 56 - 8 * byte) & 255 != 0")
+    set_ = digits.select("*", F.explode(eight).alias("bit")).filter("shiftright(bits, 56 - 8 * byte + bit) & 1 = 1")
+    return set_.select(*keys, _id_at(F.col("bucket"), F.col("part") * PART_IDS + F.col("word") * 64 + F.col("byte") * 8 + F.col("bit")).alias("person_id"))
+
+
+def _id_at(bucket: Column, bit: Column) -> Column:
+    # buckets up to 0 hold places up to 0, counted backwards
+    return F.when(bucket > 0, (bucket - 1) * BLOCK_IDS + bit).otherwise(bucket * BLOCK_IDS - bit - 1).cast("long")
+
+
 def merged(blocks: DataFrame, *keys: str) -> DataFrame:
     """One block a bucket and key, of blocks that came at different times."""
     return blocks.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
@@ -119,8 +137,7 @@ def ids_of(bitmaps: DataFrame) -> DataFrame:
     set_ = F.expr("filter(array(0, 1, 2, 3, 4, 5, 6, 7), b -> shiftright(byte.bits, b) & 1 = 1)")
     placed = spread.select("bucket", F.explode(set_).alias("bit"), F.col("byte.at").alias("at"))
     bit = F.col("at") * 8 + F.col("bit")
-    # buckets up to 0 hold places up to 0, counted backwards
-    return placed.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BLOCK_IDS + bit).otherwise(F.col("bucket") * BLOCK_IDS - bit - 1).cast("long").alias("person_id"))
+    return placed.select(_id_at(F.col("bucket"), bit).alias("person_id"))
 
 
 def profile(blocks: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ An index is a log of snapshots. A snapshot names the folders that make it up and
 A save, an append and a compaction each write a folder of their own and then one snapshot, so what isn't written to the end
 is never read, and a reader keeps what it has opened. Blocks are united and counts added, so both stay right under appends;
 facts may repeat between folders until a compaction, which rewrites only attributes that several folders hold.
+
+Facts are shuffled at most once on their way into a folder: they become parts of bitmaps by value and month (``parts``, gone when the
+folder is done), which are their distinct set, and facts and blocks are both made of those.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ PERSONS = "person_id long, person_guid string"
 META = "version int, folder string, parts array<struct<folder: string, attrs: array<string>>>, sealed boolean, number long"
 GRAMS = "attr string, gram string, value string"
 LEASES = "number long, until double"
+#: So many facts a task writes, about.
+TASK_FACTS = 1_000_000
 
 
 class IndexFormatError(ValueError):
@@ -143,11 +148,30 @@ def remove_orphans(spark: SparkSession, path: str, older_than: float = 86_400) -
     return gone
 
 
-def _write_facts(facts: DataFrame, folder: str) -> DataFrame:
-    # range partitioning by value keeps a code's facts in few files and splits attributes of any size
-    dealt = facts.repartitionByRange(F.col("attr"), F.col("value"), F.col("yyyymm"), F.col("person_id")).sortWithinPartitions("attr", "value", "yyyymm")
-    dealt.write.partitionBy("attr").parquet(f"{folder}/facts")
-    return facts.sparkSession.read.schema(FACTS).parquet(f"{folder}/facts")
+def _write_parts(facts: DataFrame, folder: str, scattered: bool) -> DataFrame:
+    """The distinct facts as parts of bitmaps, which are few against the facts; read for facts and blocks, then removed."""
+    parts = bitmap.to_parts(facts, "attr", "value", "yyyymm", scattered=scattered)
+    parts.write.parquet(f"{folder}/parts")
+    return facts.sparkSession.read.schema(parts.schema).parquet(f"{folder}/parts")
+
+
+def _write_facts(parts: DataFrame, folder: str) -> None:
+    # range partitioning by value keeps a code's facts in few files and splits attributes of any size; parts are dealt, not facts,
+    # and to a number of tasks that follows the facts, as a part may hold a thousand
+    order = ["attr", "value", "yyyymm", "bucket", "part"]
+    tasks = -(-parts.agg(bitmap.count_parts().alias("n")).first()["n"] // TASK_FACTS)
+    dealt = parts.repartitionByRange(max(1, tasks), *order).sortWithinPartitions(*order)
+    facts = bitmap.ids_of_parts(dealt, "attr", "value", "yyyymm").select("person_id", "attr", "value", "yyyymm")
+    facts.sortWithinPartitions("attr", "value", "yyyymm").write.partitionBy("attr").parquet(f"{folder}/facts")
+
+
+def _write_facts_and_blocks(facts: DataFrame, folder: str, scattered: bool = False) -> DataFrame:
+    """Writes both and gives the blocks. ``scattered``: the facts lie in no order."""
+    parts = _write_parts(facts, folder, scattered)
+    _write_facts(parts, folder)
+    blocks = _write_blocks(bitmap.fact_blocks(parts), folder)
+    remove_folder(facts.sparkSession, f"{folder}/parts")
+    return blocks
 
 
 def _write_blocks(blocks: DataFrame, folder: str) -> DataFrame:
@@ -163,9 +187,11 @@ def _write_words(words: DataFrame, folder: str) -> None:
     found.repartitionByRange("attr", "gram", "value").sortWithinPartitions("attr", "gram", "value").write.partitionBy("attr").parquet(f"{folder}/grams")
 
 
-def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
+def save_index(facts: DataFrame, persons: DataFrame, path: str, scattered: bool = True) -> None:
     """Distinct facts, their blocks, vocabulary and persons, as a snapshot of one folder.
 
+    ``scattered``: whether facts lie in no order, as those of source tables do; those of an index lie by value, so many become one
+    part before a shuffle. The index is the same.
     An index may be saved over itself. The seal before and what came since stay for those who still read it, as do leased
     snapshots; older folders go.
     """
@@ -173,8 +199,7 @@ def save_index(facts: DataFrame, persons: DataFrame, path: str) -> None:
     before = _snapshots(spark, path) if has_index(spark, path) else []
     name = f"data-{uuid.uuid4().hex}"
     folder = f"{path}/{name}"
-    written = _write_facts(facts.select("person_id", "attr", "value", "yyyymm").distinct(), folder)
-    blocks = _write_blocks(bitmap.fact_blocks(written), folder)
+    blocks = _write_facts_and_blocks(facts, folder, scattered)
     _write_words(bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons"), folder)
     persons.select("person_id", "person_guid").write.parquet(f"{folder}/persons")
     _add_snapshot(spark, path, before, name, [(name, None)], sealed=True)
@@ -195,8 +220,7 @@ def append_to_index(facts: DataFrame, path: str) -> None:
     old = _tables(spark, path, before[0])
     name = f"data-{uuid.uuid4().hex}"
     folder = f"{path}/{name}"
-    written = _write_facts(facts.select("person_id", "attr", "value", "yyyymm").distinct(), folder)
-    blocks = _write_blocks(bitmap.fact_blocks(written), folder)
+    blocks = _write_facts_and_blocks(facts, folder)
     new = bitmap.whole(blocks)
     met = bitmap.whole(old.blocks).join(new.select("attr", "value", "bucket"), ["attr", "value", "bucket"], "left_semi")
     both = new.withColumn("old", F.lit(False)).unionByName(met.withColumn("old", F.lit(True)))
@@ -216,7 +240,8 @@ def compact_index(spark: SparkSession, path: str) -> list[str]:
         return []
     now, name = _tables(spark, path, before[0]), f"data-{uuid.uuid4().hex}"
     folder, of = f"{path}/{name}", F.col("attr").isin(*touched)
-    _write_facts(now.facts.filter(of).distinct(), folder)
+    _write_facts(_write_parts(now.facts.filter(of), folder, scattered=False), folder)
+    remove_folder(spark, f"{folder}/parts")
     blocks = _write_blocks(bitmap.merged(now.blocks.filter(of), "attr", "value", "yyyymm"), folder)
     _write_words(bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons"), folder)
     rest = [(f, [a for a in attrs if a not in touched]) for f, attrs in held]

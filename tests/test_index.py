@@ -158,6 +158,22 @@ def test_appends_and_compaction(spark, tmp_path):
     assert compact_index(spark, path) == []
 
 
+def test_an_index_saved_again_shuffles_parts_of_bitmaps_not_facts(spark, tmp_path, stages):
+    path = str(tmp_path / "index")
+    every = spark.range(40_000)
+    facts = every.selectExpr("id AS person_id", "'dx' AS attr", "'a' || id % 3 AS value", "CAST(202001 + id % 2 AS int) AS yyyymm").union(every.selectExpr("id - 9", "'sex'", "'F'", "CAST(NULL AS int)"))
+    save_index(facts.union(facts), spark.createDataFrame([(1, "g")], PERSONS), path)
+    shuffled = [b for _, b in stages(lambda: CohortEngine.load(spark, MODEL, path).save(path))]
+    assert 0 < max(shuffled) < 100_000, shuffled
+    found = open_index(spark, path)
+    assert found.facts.select(*facts.columns).exceptAll(facts).isEmpty() and facts.exceptAll(found.facts.select(*facts.columns)).isEmpty()
+    assert counts_in(spark, path) == {("dx", "a0"): 13_334, ("dx", "a1"): 13_333, ("dx", "a2"): 13_333, ("sex", "F"): 40_000}
+    assert all(sorted(f.name for f in d.iterdir()) == ["blocks", "facts", "grams", "persons", "vocabulary"] for d in (tmp_path / "index").glob("data-*"))
+    for name in found.facts.inputFiles():
+        values = [r.value for r in spark.read.parquet(name).select("value").collect()]
+        assert values == sorted(values)
+
+
 def test_old_folders_go_unless_leased_and_orphans_too(spark, tmp_path):
     path = str(tmp_path / "index")
     facts, persons = spark.createDataFrame(FACT_ROWS[:20], FACTS), spark.createDataFrame([(1, "g")], PERSONS)
