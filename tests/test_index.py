@@ -174,6 +174,15 @@ def test_an_index_saved_again_shuffles_parts_of_bitmaps_not_facts(spark, tmp_pat
         assert values == sorted(values)
 
 
+def test_an_append_shuffles_parts_of_bitmaps_not_facts(spark, tmp_path, stages):
+    path = str(tmp_path / "index")
+    save_index(spark.createDataFrame([(7, "rx", "r1", 202001)], FACTS), spark.createDataFrame([(1, "g")], PERSONS), path)
+    more = spark.range(40_000).selectExpr("id AS person_id", "'rx' AS attr", "'r' || id % 2 AS value", "202001 AS yyyymm")
+    shuffled = [b for _, b in stages(lambda: append_to_index(more.union(more), path))]
+    assert 0 < max(shuffled) < 100_000, shuffled
+    assert counts_in(spark, path) == {("rx", "r0"): 20_000, ("rx", "r1"): 20_000} and open_index(spark, path).facts.count() == 40_001
+
+
 def test_old_folders_go_unless_leased_and_orphans_too(spark, tmp_path):
     path = str(tmp_path / "index")
     facts, persons = spark.createDataFrame(FACT_ROWS[:20], FACTS), spark.createDataFrame([(1, "g")], PERSONS)
