@@ -72,9 +72,9 @@ class CohortEngine:
         index = open_index(spark, path)
         return cls(model, index.facts, index.persons, index.words, blocks=index.blocks, grams=index.grams, **options)
 
-    def save(self, path: str) -> None:
-        """Writes the index; ``path`` may be the one that this engine was loaded from."""
-        save_index(self.facts, self.persons, path, scattered=self.blocks is None)
+    def save(self, path: str, dealt: bool = False) -> None:
+        """Writes the index; ``path`` may be the one that this engine was loaded from. ``dealt``: the facts' rows were, by month and part."""
+        save_index(self.facts, self.persons, path, scattered=self.blocks is None and not dealt)
 
     def person_ids(self, guids: DataFrame) -> DataFrame:
         """person_id, person_guid of the persons that ``guids`` (person_guid) names; unknown ones are left out."""

@@ -21,6 +21,12 @@ PART_IDS = 64 * len(WORDS)
 PARTS = BLOCK_IDS // PART_IDS
 
 
+def part_of(person: Column) -> tuple[Column, Column]:
+    """The bucket and the part that a person's bit is in."""
+    place = person + 1
+    return F.bitmap_bucket_number(place), F.shiftright(F.bitmap_bit_position(place), 10).cast("int")
+
+
 def to_parts(facts: DataFrame, *keys: str, scattered: bool = False) -> DataFrame:
     """keys, bucket, part, w0 to w15: the ids of a block's 32 parts as bits of long words.
 
@@ -28,10 +34,10 @@ def to_parts(facts: DataFrame, *keys: str, scattered: bool = False) -> DataFrame
     Ids are moved by one, as the built-in blocks begin with 1. ``scattered``: few facts of a part lie together, so they are
     shuffled as they are, not combined before.
     """
-    place = F.col("person_id") + 1
-    at = F.bitmap_bit_position(place)
+    at = F.bitmap_bit_position(F.col("person_id") + 1)
+    bucket, part = part_of(F.col("person_id"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place_in_word(at))
-    placed = facts.select(*keys, F.bitmap_bucket_number(place).alias("bucket"), F.shiftright(at, 10).cast("int").alias("part"), F.shiftright(at, 6).bitwiseAND(15).cast("int").alias("word"), bit.alias("bit"))
+    placed = facts.select(*keys, bucket.alias("bucket"), part.alias("part"), F.shiftright(at, 6).bitwiseAND(15).cast("int").alias("word"), bit.alias("bit"))
     if scattered:
         placed = placed.repartition(*keys, "bucket", "part")
     words = (F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(WORDS))

@@ -254,10 +254,10 @@ add("clickstream_no_attributes", lambda spark, sf_dir: profile.cohort_count(clic
 add("corpus_labels", lambda spark, sf_dir: corpus_engine(spark, sf_dir).cohort(QueryRequest.of(attr_all=[("lang", "en"), ("quality", "1")], attr_exclude=[("toxic", "1")])), "WITH l AS (SELECT * FROM labels) SELECT DISTINCT doc_id AS person_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM l WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)")
 
 
-def _written(spark: SparkSession, engine: CohortEngine, use: Callable[[str], DataFrame]) -> DataFrame:
-    """What ``use`` gives for the path of ``engine``'s saved index."""
+def _written(spark: SparkSession, sf_dir: str, use: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``use`` gives for the path of the orders' saved index."""
     path = new_place(spark, "index")
-    engine.save(path)
+    orders_engine(spark, sf_dir, dealt=True).save(path, dealt=True)
     return use(path)
 
 
@@ -268,7 +268,7 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         CohortEngine.load(spark, ORDERS, path).save(path)
         return CohortEngine.load(spark, ORDERS, path).facts.select("person_id", "attr", "value", "yyyymm")
 
-    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+    return _written(spark, sf_dir, use)
 
 
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,11 +279,11 @@ def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
         append_to_index(clicks.distinct(), path)
         return CohortEngine.load(spark, ORDERS, path).cohort(QueryRequest.of(attr_all=[BUILDING], event_all=[("priority", "saw-purchase")]))
 
-    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+    return _written(spark, sf_dir, use)
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, orders_engine(spark, sf_dir, once=True), lambda path: CohortEngine.load(spark, ORDERS, path).words)
+    return _written(spark, sf_dir, lambda path: CohortEngine.load(spark, ORDERS, path).words)
 
 
 def _crosswalk_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +297,7 @@ def _crosswalk_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _indexed(use: Callable[[CohortEngine], DataFrame], **options) -> Query:
     """What ``use`` gives for the engine of an index."""
-    return lambda spark, sf_dir: _written(spark, orders_engine(spark, sf_dir, once=True), lambda path: use(CohortEngine.load(spark, ORDERS, path, crosswalk=crosswalk_of(spark, ORDERS_CROSSWALK), **options)))
+    return lambda spark, sf_dir: _written(spark, sf_dir, lambda path: use(CohortEngine.load(spark, ORDERS, path, crosswalk=crosswalk_of(spark, ORDERS_CROSSWALK), **options)))
 
 
 def _append_twice(spark: SparkSession, path: str, sf_dir: str) -> None:
@@ -315,7 +315,7 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         compact_index(spark, path)
         return CohortEngine.load(spark, ORDERS, path).facts.filter("attr IN ('priority', 'segment')").select("person_id", "attr", "value", "yyyymm")
 
-    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+    return _written(spark, sf_dir, use)
 
 
 def _appended_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def _appended_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         _append_twice(spark, path, sf_dir)
         return CohortEngine.load(spark, ORDERS, path).words
 
-    return _written(spark, orders_engine(spark, sf_dir, once=True), use)
+    return _written(spark, sf_dir, use)
 
 
 _SAW = "SELECT user_id AS person_id, 'priority' AS attr, 'saw-' || event_type AS value, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS yyyymm FROM events"

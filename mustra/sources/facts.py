@@ -17,7 +17,8 @@ is never read, and a reader keeps what it has opened. Blocks are united and coun
 facts may repeat between folders until a compaction, which rewrites only attributes that several folders hold.
 
 Facts are shuffled at most once on their way into a folder: they become parts of bitmaps by value and month (``parts``, gone when the
-folder is done), which are their distinct set, and facts and blocks are both made of those.
+folder is done), which are their distinct set, and facts and blocks are both made of those. Where a row makes several facts, rows
+are dealt instead (``deal_rows``), and only parts are shuffled behind that.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from mustra.operators import bitmap, search
@@ -77,6 +78,16 @@ def traits(rows: DataFrame, person: Column, columns: Mapping[str, Column]) -> Da
     return union(facts_of(rows, person, attr, value) for attr, value in columns.items())
 
 
+def deal_rows(rows: DataFrame) -> DataFrame:
+    """Rows of persons and months (person_id, yyyymm), shuffled so that those of a month and a part of a block lie together.
+
+    It is done before a row becomes several facts, so rows are shuffled, not facts; these are then combined where they lie
+    (``save_index`` with ``scattered=False``). A month and part of very many rows is split, as dealing is a help, not a need.
+    """
+    bucket, part = bitmap.part_of(F.col("person_id"))
+    return rows.withColumns({"dealt_bucket": bucket, "dealt_part": part}).hint("rebalance", "yyyymm", "dealt_bucket", "dealt_part").drop("dealt_bucket", "dealt_part")
+
+
 def union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -148,18 +159,21 @@ def remove_orphans(spark: SparkSession, path: str, older_than: float = 86_400) -
     return gone
 
 
-def _write_parts(facts: DataFrame, folder: str, scattered: bool) -> DataFrame:
-    """The distinct facts as parts of bitmaps, which are few against the facts; read for facts and blocks, then removed."""
-    parts = bitmap.to_parts(facts, "attr", "value", "yyyymm", scattered=scattered)
-    parts.write.parquet(f"{folder}/parts")
-    return facts.sparkSession.read.schema(parts.schema).parquet(f"{folder}/parts")
+def _write_parts(facts: DataFrame, folder: str, scattered: bool) -> tuple[DataFrame, int]:
+    """The distinct facts as parts of bitmaps, which are few against the facts, and how many facts they hold; read for facts and
+    blocks, then removed."""
+    parts, counted = bitmap.to_parts(facts, "attr", "value", "yyyymm", scattered=scattered), Observation()
+    # words hardly repeat, so dictionaries of them are given up after they were made
+    plain = {f"parquet.enable.dictionary#{w}": "false" for w in bitmap.WORDS}
+    parts.observe(counted, bitmap.count_parts().alias("n")).write.options(**plain).parquet(f"{folder}/parts")
+    return facts.sparkSession.read.schema(parts.schema).parquet(f"{folder}/parts"), counted.get["n"]
 
 
-def _write_facts(parts: DataFrame, folder: str) -> None:
+def _write_facts(parts: DataFrame, n_facts: int, folder: str) -> None:
     # range partitioning by value keeps a code's facts in few files and splits attributes of any size; parts are dealt, not facts,
     # and to a number of tasks that follows the facts, as a part may hold a thousand
     order = ["attr", "value", "yyyymm", "bucket", "part"]
-    tasks = -(-parts.agg(bitmap.count_parts().alias("n")).first()["n"] // TASK_FACTS)
+    tasks = -(-n_facts // TASK_FACTS)
     dealt = parts.repartitionByRange(max(1, tasks), *order).sortWithinPartitions(*order)
     facts = bitmap.ids_of_parts(dealt, "attr", "value", "yyyymm").select("person_id", "attr", "value", "yyyymm")
     facts.sortWithinPartitions("attr", "value", "yyyymm").write.partitionBy("attr").parquet(f"{folder}/facts")
@@ -167,8 +181,8 @@ def _write_facts(parts: DataFrame, folder: str) -> None:
 
 def _write_facts_and_blocks(facts: DataFrame, folder: str, scattered: bool = False) -> DataFrame:
     """Writes both and gives the blocks. ``scattered``: the facts lie in no order."""
-    parts = _write_parts(facts, folder, scattered)
-    _write_facts(parts, folder)
+    parts, n_facts = _write_parts(facts, folder, scattered)
+    _write_facts(parts, n_facts, folder)
     blocks = _write_blocks(bitmap.fact_blocks(parts), folder)
     remove_folder(facts.sparkSession, f"{folder}/parts")
     return blocks
@@ -240,7 +254,7 @@ def compact_index(spark: SparkSession, path: str) -> list[str]:
         return []
     now, name = _tables(spark, path, before[0]), f"data-{uuid.uuid4().hex}"
     folder, of = f"{path}/{name}", F.col("attr").isin(*touched)
-    _write_facts(_write_parts(now.facts.filter(of), folder, scattered=False), folder)
+    _write_facts(*_write_parts(now.facts.filter(of), folder, scattered=False), folder)
     remove_folder(spark, f"{folder}/parts")
     blocks = _write_blocks(bitmap.merged(now.blocks.filter(of), "attr", "value", "yyyymm"), folder)
     _write_words(bitmap.count_bitmaps(bitmap.whole(blocks), "attr", "value").withColumnRenamed("count", "n_persons"), folder)

@@ -183,6 +183,42 @@ def test_an_append_shuffles_parts_of_bitmaps_not_facts(spark, tmp_path, stages):
     assert counts_in(spark, path) == {("rx", "r0"): 20_000, ("rx", "r1"): 20_000} and open_index(spark, path).facts.count() == 40_001
 
 
+def test_saving_orders_shuffles_rows_not_their_facts(spark, sf_dir, tmp_path):
+    from mustra.queries import _written
+
+    store, java = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    every = lambda: {s.stageId(): s.shuffleWriteRecords() for s in java.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(java.double, 0), None))}
+    before = every()
+    facts = _written(spark, sf_dir, lambda path: open_index(spark, path).facts)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    shuffled, rows = max(n for k, n in every().items() if k not in before), spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert 0 < shuffled <= rows < facts.count()
+
+
+def test_dealt_rows_make_the_same_facts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mustra.sources.datasets import order_facts
+
+    rng, path = random.Random(8), str(tmp_path)
+    some = lambda *xs: rng.choice((*xs, None))
+    tables = {
+        "customer": ([(i, f"c{i}", some(0, 1), some("A", "B")) for i in range(-3, 90)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "nation": ([(0, "N", 0), (1, None, 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "orders": ([(i, some(7, 7, 7, -3, 40_000, rng.randrange(90)), f"199{rng.randrange(5, 7)}-0{rng.randrange(1, 9)}-03 00:00:00" if i % 9 else None, some("1-HIGH", "5-LOW")) for i in range(300)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string"),
+        "part": ([(i, some("b1", "b2"), some("t1", "t2")) for i in range(20)], "p_partkey long, p_brand string, p_type string"),
+        "lineitem": ([(some(rng.randrange(310)), some(rng.randrange(22))) for _ in range(1500)], "l_orderkey long, l_partkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        frame = spark.createDataFrame(rows, schema)
+        (frame.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")) if name == "orders" else frame).write.parquet(f"{path}/{name}.parquet")
+    plain, dealt = order_facts(spark, path, once=True), order_facts(spark, path, dealt=True)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, dealt.collect()))
+    save_index(dealt, spark.createDataFrame([(1, "g")], PERSONS), f"{path}/index", scattered=False)
+    assert facts_in(spark, f"{path}/index") == sorted(map(tuple, plain.distinct().collect()), key=repr)
+
+
 def test_old_folders_go_unless_leased_and_orphans_too(spark, tmp_path):
     path = str(tmp_path / "index")
     facts, persons = spark.createDataFrame(FACT_ROWS[:20], FACTS), spark.createDataFrame([(1, "g")], PERSONS)
